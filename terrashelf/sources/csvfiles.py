@@ -1,0 +1,68 @@
+"""CSV deliveries: declared tables and header inventories."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BAD = "_bad_record"
+HEADER_SIGNS = 9000
+
+
+def load_csv(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",") -> DataFrame:
+    """Files with a declared schema. Headers must agree; lines that do not fit are kept in ``_bad_record``."""
+    return (
+        spark.read.schema(f"{schema}, {BAD} STRING")
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("sep", sep)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD)
+        .csv(paths)
+    )
+
+
+def good_rows(loaded: DataFrame) -> DataFrame:
+    return loaded.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def csv_headers(
+    spark: SparkSession, paths: str | list[str], sep: str = ",", lower: bool = False, zero_based: bool = True
+) -> DataFrame:
+    """One row per file, column name and position. ``sep`` is a regular expression.
+
+    Quotes vanish before the split, so a quoted separator splits as well. Files are streamed line by
+    line and only the first line of their first block goes on, so no file is held in memory.
+    """
+    first = (
+        spark.read.option("lineSep", "\n").text(paths)
+        .select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")
+        )
+        .where("_start = 0")
+        .withColumn("_line", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by(F.substring("value", 1, HEADER_SIGNS), "_line").alias("_header"))
+    )
+    names = F.split(F.replace("_header", F.lit('"'), F.lit("")), sep)
+    column = F.lower("_name") if lower else F.col("_name")
+    return first.select("file", F.posexplode(names).alias("_pos", "_name")).select(
+        "file",
+        F.trim(column, F.lit(' "')).alias("column"),
+        (F.col("_pos") + (0 if zero_based else 1)).alias("position"),
+    )
+
+
+def header_drift(headers: DataFrame) -> DataFrame:
+    """Files per column name, with its lowest and highest position."""
+    return headers.groupBy("column").agg(
+        F.count_distinct("file").alias("n_files"), F.min("position").alias("min_position"),
+        F.max("position").alias("max_position"),
+    )
+
+
+def header_positions(headers: DataFrame, wanted: list[str]) -> DataFrame:
+    """Per file the positions of the wanted columns, in the wanted order, null where absent."""
+    # A name that a header repeats counts at its last place.
+    spots = [F.max(F.when(F.col("column") == name, F.col("position"))) for name in wanted]
+    return headers.groupBy("file").agg(F.array(*spots).alias("positions"))
