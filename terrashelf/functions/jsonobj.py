@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OBJECT = "map<string,variant>"
 
@@ -52,20 +53,23 @@ def array_texts(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def _strip(value):
-    if isinstance(value, dict):
-        return {k: _strip(v) for k, v in value.items() if v is not None}
-    if isinstance(value, list):
-        return [_strip(v) for v in value]
-    return value
+def _nested_stripper():
+    """Arrow helper for nested documents; built in a function so that it travels to the workers by value."""
 
+    def strip(value):
+        if isinstance(value, dict):
+            return {k: strip(v) for k, v in value.items() if v is not None}
+        if isinstance(value, list):
+            return [strip(v) for v in value]
+        return value
 
-@F.pandas_udf("string")
-def _strip_nested(texts: pd.Series) -> pd.Series:
     def one(text):
-        return None if text is None else json.dumps(_strip(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        return None if text is None else json.dumps(strip(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
 
-    return texts.map(one)
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(every, T.StringType())
 
 
 def strip_nulls(text: Column, keep_empty: bool = True) -> Column:
@@ -78,6 +82,6 @@ def strip_nulls(text: Column, keep_empty: bool = True) -> Column:
     with_null = text.rlike(r":\s*null")
     nested = F.substring(F.trim(text), 2, 2147483647).rlike(r"[{\[]")
     flat = F.to_json(F.map_filter(parsed, lambda _, v: ~F.is_variant_null(v)))
-    deep = _strip_nested(F.when(with_null & nested & F.try_parse_json(text).isNotNull(), text))
+    deep = _nested_stripper()(F.when(with_null & nested & F.try_parse_json(text).isNotNull(), text))
     out = F.when(with_null & nested, deep).when(parsed.isNotNull(), flat).otherwise(F.to_json(F.try_parse_json(text)))
     return out if keep_empty else F.when(out != "{}", out)

@@ -108,7 +108,7 @@ def rollup(
     for _ in range(max(size, 0)):
         stepped = cut(_round(active, max_cells, percentile, floor))
         finished.append(stepped.where("done"))
-        active = stepped.where("NOT done")
+        active = stepped.where("NOT done").drop("done")
         if active.isEmpty():
             break
     result = active.select("dataset", "key", "n")

@@ -6,7 +6,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,34 +23,35 @@ def connect(sf_dir):
 
 
 def shown(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, float):
         return repr(int(value)) if value == int(value) else f"{value:.9g}"
-    if isinstance(value, pd.Timestamp) or hasattr(value, "isoformat"):
-        return pd.Timestamp(value).isoformat()
-    if hasattr(value, "tolist"):
-        value = value.tolist()
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
     return str(value)
 
 
-def rows_of(pdf):
-    pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple(shown(v) for v in row) for row in pdf.itertuples(index=False, name=None))
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(shown(row[i]) for i in order) for row in rows)
 
 
 def check(spark, con, name, query, sql, sf_dir):
     start = time.time()
-    mine = query(spark, sf_dir).toPandas()
+    df = query(spark, sf_dir)
+    mine = df.collect()
     took = time.time() - start
     if sql is None:
         return True, f"rows-only {len(mine)} rows {took:.1f}s"
     start = time.time()
-    theirs = con.execute(sql).fetch_df() if hasattr(con, "fetch_df") else con.execute(sql).df()
+    result = con.execute(sql)
+    columns = [c[0] for c in result.description]
+    theirs = result.fetchall()
     sql_took = time.time() - start
-    if sorted(mine.columns) != sorted(theirs.columns):
-        return False, f"columns {sorted(mine.columns)} / {sorted(theirs.columns)}"
-    a, b = rows_of(mine), rows_of(theirs)
+    if sorted(df.columns) != sorted(columns):
+        return False, f"columns {sorted(df.columns)} / {sorted(columns)}"
+    a, b = rows_of(df.columns, mine), rows_of(columns, theirs)
     if a != b:
         only_a, only_b = sorted(set(a) - set(b))[:3], sorted(set(b) - set(a))[:3]
         return False, f"{len(a)} / {len(b)} rows\n   spark {only_a}\n   sql   {only_b}"

@@ -41,7 +41,8 @@ def donors_with_totals(spark, sf_dir):
     df = catalogue.donors_with_totals(tables.donor(spark, sf_dir), _base(spark, sf_dir))
     return df.select(
         "id", "scope", "shortname", "vat_id", "legalname", "wikidata_id", "url",
-        F.col("kx").isNotNull().alias("has_kx"), "kx.n_packs", "kx.n_files", "kx.tot_bytes",
+        F.col("kx").isNotNull().alias("has_kx"),
+        *[F.col(f"kx.{c}").cast("string").alias(c) for c in ("n_packs", "n_files", "tot_bytes")],
     )
 
 
@@ -129,8 +130,9 @@ ORACLE = {
                count(DISTINCT jurisd_osm_id) AS n_jurisds, CAST(sum(size) AS BIGINT) AS bytes
         FROM star GROUP BY 1, 2, 3 ORDER BY 2"""),
     "donors_with_totals": with_tables("star", """
-        SELECT id, scope, shortname, vat_id, legalname, wikidata_id, url, n_packs IS NOT NULL AS has_kx, n_packs,
-               n_files, tot_bytes
+        SELECT id, scope, shortname, vat_id, legalname, wikidata_id, url, n_packs IS NOT NULL AS has_kx,
+               CAST(n_packs AS VARCHAR) AS n_packs, CAST(n_files AS VARCHAR) AS n_files,
+               CAST(tot_bytes AS VARCHAR) AS tot_bytes
         FROM donor LEFT JOIN (
             SELECT donor_id, count(DISTINCT pack_id) AS n_packs, count(*) AS n_files,
                    CAST(sum(size) AS BIGINT) AS tot_bytes
