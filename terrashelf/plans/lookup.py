@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from terrashelf.functions.text import split_uri, vat_key
 from terrashelf.operators.prefix import containing, lengths_of, prefix_lengths
 from terrashelf.plans.catalogue import star
+from terrashelf.session import cut
 
 NUMBER = r"^\d+\z"
 
@@ -28,10 +29,12 @@ def _distinct(requests: DataFrame) -> DataFrame:
     parts = split_uri(F.col("uri"))
     return (
         requests.where(F.col("uri").isNotNull())
-        .groupBy(F.array_join(parts, "/").alias("uri"))
+        .groupBy(
+            F.array_join(parts, "/").alias("uri"),
+            F.get(parts, F.lit(0)).alias("p1"),
+            F.get(parts, F.lit(1)).alias("p2"),
+        )
         .agg(F.count(F.lit(1)).alias("n_requests"))
-        .withColumn("p1", F.split("uri", "/")[0])
-        .withColumn("p2", F.get(F.split("uri", "/"), F.lit(1)))
     )
 
 
@@ -44,16 +47,27 @@ def _starts(word: str) -> Column:
 
 
 def _classed(requests: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFrame:
-    """Add ``kind`` and ``key`` by the first rule whose condition holds."""
+    """Add ``kind`` and ``key`` by the first rule whose condition holds.
+
+    Written once: every kind reads the classed requests again, and their size is then known.
+    """
     found = None
     for condition, kind, key in rules:
         value = F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
         found = F.when(condition, value) if found is None else found.when(condition, value)
-    return _distinct(requests).withColumn("_found", found).select(
+    return cut(_distinct(requests).withColumn("_found", found)).select(
         "uri", "n_requests", "p1", "p2", "_found.kind", "_found.key"
     )
 
 
+def _beginnings(kind: str, text: Column, lengths: Column) -> Column:
+    """Entries for the beginnings of ``text`` of the given lengths; none for a null text."""
+    cuts = F.coalesce(prefix_lengths(text, lengths), F.array().cast("array<int>"))
+    return F.transform(
+        cuts, lambda n: F.struct(F.lit(kind).alias("kind"), F.substring(text, F.lit(1), n).alias("key"))
+    )
+
+
 def _joined(asked: DataFrame, rows: DataFrame, keys: list[tuple[str, Column]], heads: dict[str, Column]) -> DataFrame:
     """Match on (kind, key). ``heads`` are starts-with kinds: a row lists its text's beginnings, but
     only of lengths that some request of the kind has."""
@@ -62,14 +76,7 @@ def _joined(asked: DataFrame, rows: DataFrame, keys: list[tuple[str, Column]], h
     for kind, text in heads.items():
         lengths = lengths_of(asked.where(F.col("kind") == kind), "key")
         listed = listed.withColumn(f"_n_{kind}", lengths)
-        arrays.append(
-            F.transform(
-                F.coalesce(prefix_lengths(text, F.col(f"_n_{kind}")), F.array().cast("array<int>")),
-                lambda n, kind=kind, text=text: F.struct(
-                    F.lit(kind).alias("kind"), F.substring(text, F.lit(1), n).alias("key")
-                ),
-            )
-        )
+        arrays.append(_beginnings(kind, text, F.col(f"_n_{kind}")))
     listed = listed.withColumn("_entry", F.explode(F.concat(*arrays))).select(
         *rows.columns, F.col("_entry.kind").alias("kind"), F.col("_entry.key").alias("key")
     ).where("key IS NOT NULL")
@@ -159,13 +166,8 @@ def donors(requests: DataFrame, donor: DataFrame) -> DataFrame:
     return answers
 
 
-def origin_keys(requests: DataFrame, jurisdiction: DataFrame, pack: DataFrame, donor: DataFrame) -> DataFrame:
-    """Requests for origins as keys of the fact table itself: jurisdiction, pack, id or hash beginning.
-
-    Labels, states and donors are resolved on the small tables, so the fact table is read once and
-    filtered by its own columns.
-    """
-    asked = _classed(requests, [
+def _origin_requests(requests: DataFrame) -> DataFrame:
+    return _classed(requests, [
         (_starts("jurisd_osm_id.eq."), "jurisdiction", _rest(18).try_cast("long")),
         (_starts("jurisd_isolabel_ext.eq."), "label", F.upper(_rest(24))),
         (_starts("donor_id.eq."), "donor", _rest(13).try_cast("long")),
@@ -175,6 +177,13 @@ def origin_keys(requests: DataFrame, jurisdiction: DataFrame, pack: DataFrame, d
         (F.col("p1").rlike(r"^sha256:[0-9a-f]{4}"), "hash", _rest(8)),
     ]).where("kind IS NOT NULL").select("uri", "n_requests", "kind", "key")
 
+
+def _fact_keys(asked: DataFrame, jurisdiction: DataFrame, pack: DataFrame, donor: DataFrame) -> DataFrame:
+    """Requests as keys of the fact table itself: jurisdiction, pack, id or hash beginning.
+
+    Labels, states and donors are resolved on the small tables, so the fact table is read once and
+    filtered by its own columns.
+    """
     in_state = (F.substring("isolabel_ext", 3, 1) == "-") & F.startswith(
         F.expr("substr(isolabel_ext, 4)"), F.col("parent_abbrev")
     )
@@ -199,20 +208,17 @@ def origin_keys(requests: DataFrame, jurisdiction: DataFrame, pack: DataFrame, d
     return direct.unionByName(places).unionByName(packs)
 
 
-def _origins_found(keyed: DataFrame, origin: DataFrame) -> DataFrame:
-    asked = keyed.select("uri", "n_requests", F.col("kind").alias("asked_as"), F.col("found_by").alias("kind"), "key")
+def _origins_found(asked: DataFrame, keyed: DataFrame, origin: DataFrame) -> DataFrame:
     lengths = lengths_of(asked.where(F.col("kind") == "hash"), "key")
+    wanted = keyed.select("uri", "n_requests", F.col("kind").alias("asked_as"), F.col("found_by").alias("kind"), "key")
     entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"))
-    by_hash = F.transform(
-        prefix_lengths(F.col("fhash"), F.col("_n")),
-        lambda n: F.struct(F.lit("hash").alias("kind"), F.substring(F.col("fhash"), F.lit(1), n).alias("key")),
-    )
+    by_hash = _beginnings("hash", F.col("fhash"), F.col("_n"))
     entries = F.concat(
         F.array(entry("jurisdiction", "jurisd_osm_id"), entry("pack", "pack_id"), entry("id", "id")), by_hash
     )
     listed = origin.withColumn("_n", lengths).withColumn("_entry", F.explode(entries))
     listed = listed.select(*origin.columns, F.col("_entry.kind").alias("kind"), F.col("_entry.key").alias("key"))
-    return listed.join(asked, ["kind", "key"]).select("uri", "n_requests", F.col("asked_as").alias("kind"), *origin.columns)
+    return listed.join(wanted, ["kind", "key"]).select("uri", "n_requests", F.col("asked_as").alias("kind"), *origin.columns)
 
 
 def origins(
@@ -220,7 +226,8 @@ def origins(
     donor: DataFrame,
 ) -> DataFrame:
     """Origins by jurisdiction, donor, state, id or hash beginning, with ``kx`` from the joined tables."""
-    found = _origins_found(origin_keys(requests, jurisdiction, pack, donor), origin)
+    asked = _origin_requests(requests)
+    found = _origins_found(asked, _fact_keys(asked, jurisdiction, pack, donor), origin)
     starred = star(found, jurisdiction, content_type, pack, donor)
     kx = F.struct(
         F.struct(
