@@ -13,51 +13,52 @@ from terrashelf.operators.ranking import numbered
 from terrashelf.session import cut
 
 
-def _complete(key: list[str]) -> str:
-    return " AND ".join(f"`{c}` IS NOT NULL" for c in key)
-
-
-def _without_clashes(rows: DataFrame, taken: DataFrame, keys: list[list[str]]) -> DataFrame:
-    for key in keys:
-        rows = rows.join(taken.where(_complete(key)).select(*key), key, "left_anti")
-    return rows
+def _key_entries(keys: list[list[str]]) -> Column:
+    """A row's complete unique keys as (number of the key, its values); keys with a null are left out."""
+    entries = [
+        F.when(
+            reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in key)),
+            F.struct(F.lit(i).alias("k"), F.array(*[F.col(c).cast("string") for c in key]).alias("v")),
+        )
+        for i, key in enumerate(keys)
+    ]
+    return F.array_compact(F.array(*entries))
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
     """Incoming rows that may be inserted when any of several unique keys must not clash.
 
     Gives what a scan in ``order`` (unique) gives that skips rows clashing with the table or with a
-    row it took. Each round takes the rows that are first in all their key groups and drops those that
-    clash with them; the first row left is always taken, so the loop ends.
+    row it took. All keys are handled in one long table of (row, key, value) without the payload.
+    Each round takes the rows that are first in all their key groups and drops those that clash with
+    them; the first row left is always taken, so the loop ends.
     """
-    columns = incoming.columns
-    fresh = _without_clashes(incoming, existing, keys)
-    # Copies that agree in every key column: only the first can ever be taken.
-    every = sorted({c for key in keys for c in key})
-    rest = [c for c in columns if c not in every]
-    clashing = reduce(lambda a, b: f"{a} OR ({b})", (_complete(k) for k in keys[1:]), f"({_complete(keys[0])})")
-    once = fresh.where(clashing).groupBy(*every).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*every, "_r.*")
-    free = fresh.where(f"NOT ({clashing})").select(*columns)
-    once = once.select(*columns)
+    entries = incoming.select(F.col(order).alias("_row"), _key_entries(keys).alias("_keys"))
+    keyless = entries.where(F.size("_keys") == 0).select("_row")
+    # Copies that agree in all keys: only the first can ever be taken.
+    firsts = entries.where(F.size("_keys") > 0).groupBy("_keys").agg(F.min("_row").alias("_row"))
+    offered = firsts.select("_row", F.inline("_keys"))
+    known = existing.select(F.inline(_key_entries(keys)))
+    clashing = offered.join(known, ["k", "v"], "left_semi").select("_row").distinct()
+    undecided = offered.join(clashing, "_row", "left_anti")
     if len(keys) == 1:
-        return once.unionByName(free)
-    taken: list[DataFrame] = [free]
-    undecided = once
-    while True:
-        marked = undecided
-        first_everywhere = F.lit(True)
-        for i, key in enumerate(keys):
-            heads = undecided.where(_complete(key)).groupBy(*key).agg(F.min(order).alias(f"_first{i}"))
-            marked = marked.join(heads, key, "left")
-            first_everywhere = first_everywhere & (
-                F.col(f"_first{i}").isNull() | (F.col(f"_first{i}") == F.col(order))
-            )
-        decided = cut(marked.select(*columns, first_everywhere.alias("_take")))
-        winners = decided.where("_take").select(*columns)
-        taken.append(winners)
-        undecided = cut(_without_clashes(decided.where("NOT _take").select(*columns), winners, keys))
-        if undecided.isEmpty():
-            return reduce(DataFrame.unionByName, taken).select(*columns)
+        taken = [keyless, undecided.groupBy("k", "v").agg(F.min("_row").alias("_row")).select("_row")]
+    else:
+        taken = [keyless]
+        while True:
+            heads = undecided.groupBy("k", "v").agg(F.min("_row").alias("_first"))
+            marked = cut(undecided.join(heads, ["k", "v"]))
+            winners = marked.groupBy("_row").agg(F.bool_and(F.col("_first") == F.col("_row")).alias("_take")).where(
+                "_take"
+            ).select("_row")
+            taken.append(winners)
+            # A row clashes with a winner exactly when a winner heads one of its keys.
+            settled = marked.join(winners.withColumnRenamed("_row", "_first"), "_first", "left_semi").select("_row").distinct()
+            undecided = cut(marked.join(settled, "_row", "left_anti").select("_row", "k", "v"))
+            if undecided.isEmpty():
+                break
+    accepted = reduce(DataFrame.unionByName, taken).withColumnRenamed("_row", order)
+    return incoming.join(accepted, order, "left_semi").select(*incoming.columns)
 
 
 def _single(incoming: DataFrame, key: str) -> DataFrame:
