@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BAD = "_bad_record"
 HEADER_SIGNS = 9000
 
 
 def load_csv(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",") -> DataFrame:
-    """Files with a declared schema. Headers must agree; lines that do not fit are kept in ``_bad_record``."""
-    return (
-        spark.read.schema(f"{schema}, {BAD} STRING")
+    """Files with a declared schema. Headers must agree with it.
+
+    Fields are read as text and cast one by one, so a line is judged by all its fields whichever of
+    them a query uses. A line that does not fit is kept as text in ``_bad_record``, fields null where
+    they cannot be read.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in [*(f.name for f in fields), BAD]])
+    raw = (
+        spark.read.schema(texts)
         .option("header", True)
         .option("enforceSchema", False)
         .option("sep", sep)
+        .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
         .csv(paths)
     )
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    misfit = reduce(lambda x, y: x | y, (F.col(n).isNotNull() & c.isNull() for n, c in typed.items()))
+    line = F.to_json(F.struct(*typed))
+    return raw.select(
+        *[c.alias(n) for n, c in typed.items()], F.coalesce(F.col(BAD), F.when(misfit, line)).alias(BAD)
+    )
 
 
 def good_rows(loaded: DataFrame) -> DataFrame:

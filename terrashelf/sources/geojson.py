@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashelf.functions import jsonobj
 
 
 def _whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).text(paths).select(
+    return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("_text")
     )
 
@@ -68,16 +68,17 @@ def _shaped(features: DataFrame) -> DataFrame:
     )
 
 
-def geojson_features_jgeom(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Features of the files listed in ``files`` (path, file_id); properties are taken as they are.
-
-    The list is a driver-side argument as paths always are: it must be a list of files, not of rows.
-    """
-    listed = [row.path for row in files.select("path").distinct().toLocalIterator()]
-    ids = files.select(F.regexp_replace("path", "^file:/+|^/", "").alias("_path"), "file_id")
-    features = _features(_whole_files(spark, listed))
-    return features.join(ids, F.regexp_replace("file", "^file:/+", "") == F.col("_path")).select(
+def geojson_features_jgeom(spark: SparkSession, paths: str | list[str], files: DataFrame) -> DataFrame:
+    """Features of ``paths`` under the caller's ids: ``files`` lists (path, file_id). Properties are taken as they are."""
+    ids = files.select(_plain_path(F.col("path")).alias("_path"), "file_id")
+    features = _features(_whole_files(spark, paths))
+    return features.join(ids, _plain_path(F.col("file")) == F.col("_path")).select(
         "file_id", "feature_id", "feature_type",
         F.to_json("_properties").alias("properties"),
         F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("jgeom"),
     )
+
+
+def _plain_path(path: Column) -> Column:
+    """Local paths compare equal with and without their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
