@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def nearest_slot(ts: Column, minutes: int) -> Column:
     """The grid point nearest to ``ts``; half-way times go to the even step."""
-    past = F.minute(ts) + F.extract(F.lit("SECOND"), ts).cast("double") / 60
-    steps = F.rint(past / F.lit(float(minutes))).cast("int")
-    return F.date_trunc("hour", ts).cast("timestamp_ntz") + F.make_dt_interval(mins=steps * minutes)
+    minute, second = F.minute(ts), F.extract(F.lit("SECOND"), ts)
+    steps = F.rint((minute + second.cast("double") / 60) / F.lit(float(minutes))).cast("int")
+    return ts - F.make_dt_interval(mins=minute, secs=second) + F.make_dt_interval(mins=steps * minutes)
 
 
 def nearest_slot_text(ts: Column, minutes: int, pattern: str) -> Column:

@@ -11,9 +11,21 @@ from pyspark.sql.streaming import DataStreamWriter
 from terrashelf.operators.upsert import insert_ignore, new_subscribers, normal_emails
 
 
+SALTS = 16
+
+
 def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """Drop repeats of a key that arrive within ``delay`` of each other; state is bounded by the watermark."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    """Drop most repeats of a key that arrive within ``delay``; state is bounded by the watermark.
+
+    A hot key is spread over tasks by a salt from its times, so up to ``SALTS`` repeats may pass; the
+    batch job behind takes one of them. Watermarks need zoned timestamps, so the time goes there and
+    back; run the session in UTC.
+    """
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+    salted = timed.withColumn("_salt", F.pmod(F.xxhash64(event_time), F.lit(SALTS)))
+    return salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt").withColumn(
+        event_time, F.col(event_time).cast("timestamp_ntz")
+    )
 
 
 def subscriber_writer(

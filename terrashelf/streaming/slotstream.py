@@ -9,19 +9,18 @@ from terrashelf.functions.timegrid import nearest_slot
 
 
 def slot_stream(events: DataFrame, ts: str, minutes: int, keys: list[str], delay: str) -> DataFrame:
-    """Events per nearest grid point, emitted once the watermark has passed.
+    """Events per nearest grid point, emitted once the watermark has passed its window.
 
-    ``minutes`` divides 60. The window runs over the time moved by half a step; a half-way time that
-    belongs to the even step below is moved a microsecond less, so ties end as in the batch job.
+    ``minutes`` divides 60. Each event is moved to its grid point first and that column serves as the
+    event time, so half-way times fall as in the batch job. Watermarks need zoned timestamps: run the
+    session in UTC, as the catalogue's times have no zone.
     """
     if 60 % minutes:
         raise ValueError("minutes must divide 60")
-    slot = nearest_slot(F.col(ts), minutes)
-    # The grid point itself lies inside its own window and serves as the event time.
-    moved = events.withColumn("_slot", slot)
+    moved = events.withColumn("_slot", nearest_slot(F.col(ts), minutes).cast("timestamp"))
     return (
         moved.withWatermark("_slot", delay)
         .groupBy(F.window("_slot", f"{minutes} minutes"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("slot"), *keys, "n")
+        .select(F.col("window.start").cast("timestamp_ntz").alias("slot"), *keys, "n")
     )
