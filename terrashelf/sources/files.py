@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# How each digest is computed.
+DIGESTS = {"md5": F.md5, "sha256": lambda c: F.sha2(c, 256)}
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All files with their content. The scan passes over empty files, so those are added from its listing."""
+    found = spark.read.format("binaryFile").load(paths).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modification"), "content"
+    )
+    listed = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "path string")
+    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    empty = listed.join(found.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modification"),
+        F.lit(b"").alias("content"),
+    )
+    return found.unionByName(empty)
+
+
+def _manifest_columns(digest: str | None) -> list[Column]:
+    columns = [F.col("path"), F.col("size"), F.col("modification")]
+    if digest is not None:
+        columns.append(DIGESTS[digest](F.col("content")).alias("hash"))
+    return columns
+
+
 def file_manifest(spark: SparkSession, paths: str | list[str], digest: str | None = None) -> DataFrame:
     """Path, size and modification time per file; ``digest`` adds ``hash`` by 'md5' or 'sha256'.
 
     Without a digest no content is read. With one, a file is read by one task, as hashing requires.
+    The modification time of an empty file is null.
     """
-    found = spark.read.format("binaryFile").load(paths)
-    columns = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modification")]
-    if digest == "md5":
-        columns.append(F.md5("content").alias("hash"))
-    elif digest == "sha256":
-        columns.append(F.sha2("content", 256).alias("hash"))
-    elif digest is not None:
-        raise ValueError(f"unknown digest: {digest}")
-    return found.select(*columns)
+    return _files(spark, paths).select(*_manifest_columns(digest))
 
 
 def json_documents(
@@ -29,14 +49,12 @@ def json_documents(
 
     A path that names no file is an error, or no row when ``missing_ok``.
     """
-    found = spark.read.format("binaryFile").option("ignoreMissingFiles", missing_ok).load(
-        _existing(spark, paths) if missing_ok else paths
+    known = _existing(spark, paths) if missing_ok else paths
+    schema = "path string, size long, modification timestamp, content binary"
+    found = _files(spark, known) if known else spark.createDataFrame([], schema)
+    parsed = found.select(
+        *_manifest_columns(digest), F.try_parse_json(F.decode("content", "UTF-8")).alias("document")
     )
-    content = F.decode("content", "UTF-8")
-    columns = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modification")]
-    if digest:
-        columns.append((F.md5("content") if digest == "md5" else F.sha2("content", 256)).alias("hash"))
-    parsed = found.select(*columns, F.try_parse_json(content).alias("document"))
     return parsed.withColumn("error", F.when(F.col("document").isNull(), "not JSON"))
 
 

@@ -1,0 +1,63 @@
+"""Hand cases for wiki markup."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrashelf.operators import markup
+from tests.conftest import rows
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+@pytest.mark.parametrize("given, expected", [
+    ("[[Arquivo:a.png|x]] [[imagem:b]]", "[[File:a.png|x]] [[File:b]]"),
+    ("[[CATEGORIA:X]] {{ predefinição:Y}} [[Predefinição:Z]]", "[[Category:X]] {{Template:Y}} [[Template:Z]]"),
+    ("Arquivo:a <gallery>Arquivo:a\nImage:b</gallery> Image:c", "Arquivo:a <gallery>File:a\nFile:b</gallery> Image:c"),
+    ("<Gallery x=1>imagem:a</GALLERY><gallery>Imagem:b</gallery>", "<Gallery x=1>File:a</GALLERY><gallery>File:b</gallery>"),
+    ("<gallery>Imagem:open", "<gallery>Imagem:open"),
+    (None, ""),
+])
+def test_canonical_page(spark, given, expected):
+    assert one(spark, markup.canonical_page(F.lit(given).cast("string"))) == expected
+
+
+def test_canonical_template(spark):
+    text = "[[Imagem:a|miniaturadaimagem]] | Miniatura |semmoldura"
+    assert one(spark, markup.canonical_template(F.lit(text))) == "[[File:a|thumb]] |thumb |frameless"
+
+
+def test_rule_order(spark):
+    """The long form comes first; otherwise it would end as 'thumbdaimagem'."""
+    df = spark.createDataFrame([("|miniaturadaimagem |miniatura",)], "text string")
+    counts = {r.rule: r.n_hits for r in markup.rule_counts(df, "text", markup.TEMPLATE_RULES).collect()}
+    assert counts["thumb, long form"] == 1 and counts["thumb"] == 1
+
+
+def test_links_and_paths(spark):
+    text = "[[Arquivo: a b.png |x]] [[FILE:c.jpg]] [[Image:a b.png]] [[Outra:d]] [[File:e\nf]]"
+    pages = spark.createDataFrame([(1, text), (2, "[[file:c.jpg]]"), (3, None)], "id int, text string")
+    links = markup.file_links(pages, "id", "text")
+    assert rows(links) == [(1, "a b.png"), (1, "c.jpg"), (2, "c.jpg")]
+    assert rows(markup.link_counts(links)) == [("a b.png", 1), ("c.jpg", 2)]
+    digest = hashlib.md5("a_b.png".encode()).hexdigest()
+    assert one(spark, markup.media_path(F.lit("Arquivo: a b.png"))) == f"{digest[0]}/{digest[:2]}/a_b.png"
+    stored = spark.createDataFrame([("x",)], "n string").select(markup.media_path(F.lit("c.jpg")).alias("path")).union(
+        spark.createDataFrame([("0/00/old",)], "path string")
+    )
+    assert [r[0] for r in rows(markup.missing_media(links, stored))] == ["a b.png"]
+    assert rows(markup.unused_media(links, stored)) == [("0/00/old",)]
+
+
+def test_titles_and_categories(spark):
+    assert one(spark, markup.template_title(F.lit("Predefinição:Template: Box "))) == "Template:Box"
+    pages = spark.createDataFrame(
+        [("A_b", 0, "[[Categoria:Public]]"), ("A b", 3014, "[[category:Public|key]]"), ("C", 10, "[[Category:Other_one]]")],
+        "page_title string, page_namespace int, text string",
+    )
+    assert rows(markup.page_titles(pages)) == [("A b",)]
+    assert rows(markup.pages_in_category(pages, "page_title", "text", "Public")) == [("A b",), ("A_b",)]
+    assert ("C", "Other one") in rows(markup.page_categories(pages, "page_title", "text"))
