@@ -29,9 +29,8 @@ def longest_prefix(keys: DataFrame, key: str, prefixes: DataFrame, prefix: str)
         .select("_key", F.explode(prefix_lengths(F.col("_key"), F.col("_lengths"))).alias("_n"))
         .select("_key", F.expr("left(_key, _n)").alias("_prefix"))
     )
-    best = probes.join(listed, "_prefix").groupBy("_key").agg(
-        F.max_by("_prefix", F.length("_prefix")).alias("matched_prefix")
-    )
+    longest = probes.join(listed, "_prefix").groupBy("_key").agg(F.max(F.length("_prefix")).alias("_n"))
+    best = longest.select("_key", F.expr("left(_key, _n)").alias("matched_prefix"))
     return keys.join(best, keys[key] == best["_key"], "left").drop("_key")
 
 

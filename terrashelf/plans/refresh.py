@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrashelf import schemas
 from terrashelf.operators import audit
 from terrashelf.operators.upsert import insert_ignore, upsert_donors, upsert_packs
-from terrashelf.session import scratch_path
+from terrashelf.session import cut
 from terrashelf.sources.csvfiles import good_rows, load_csv
 
 
@@ -21,10 +21,8 @@ def refresh(
     ``action`` says what became of each row. Packs refer to users and donors, so those come first.
     """
     sent = good_rows(load_csv(spark, deliveries["jurisdiction"], schemas.JURISDICTION))
-    added = insert_ignore(
-        current["jurisdiction"], sent.withColumn("_order", F.monotonically_increasing_id()),
-        schemas.JURISDICTION_KEYS, "_order",
-    ).drop("_order")
+    ordered = cut(sent.withColumn("_order", F.monotonically_increasing_id()))
+    added = insert_ignore(current["jurisdiction"], ordered, schemas.JURISDICTION_KEYS, "_order").drop("_order")
     jurisdiction = current["jurisdiction"].withColumn("action", F.lit("kept")).unionByName(
         added.withColumn("action", F.lit("inserted"))
     )
@@ -33,18 +31,11 @@ def refresh(
         current["donatedPack"], good_rows(load_csv(spark, deliveries["donatedPack"], schemas.PACK_FILE)), do_update
     )
     return {
-        name: written(df, name)
+        name: cut(df)
         for name, df in (("jurisdiction", jurisdiction), ("donor", donor), ("donatedPack", pack))
     }
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under the shared folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def outcome_table(versions: dict[str, DataFrame]) -> DataFrame:
     """Rows per table and action."""
     counted = [

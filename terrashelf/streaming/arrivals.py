@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from terrashelf.session import cut
 from terrashelf.operators.upsert import insert_ignore, new_subscribers, normal_emails
 
 
@@ -49,14 +50,17 @@ def subscriber_writer(
 
 
 def origin_writer(
-    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, keys: list[list[str]], order: str,
-    delay: str = "1 hour",
+    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, keys: list[list[str]], delay: str = "1 hour"
 ) -> DataStreamWriter:
-    """Append origins whose unique keys are free, batch by batch."""
+    """Append origins whose unique keys are free, batch by batch, first come first served."""
     cleaned = first_arrivals(arrivals, "fhash", "ingest_instant", delay)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         known = read_table().where(F.col("batch") != batch_id).drop("batch")
-        insert_ignore(known, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # Written once, so that every step sees the same numbers.
+        arrived = cut(batch.withColumn("_order", F.monotonically_increasing_id()))
+        insert_ignore(known, arrived, keys, "_order").drop("_order").write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
+        )
 
     return cleaned.writeStream.foreachBatch(append)

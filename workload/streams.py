@@ -58,7 +58,7 @@ def origin_stream(spark, sf_dir):
         F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".zip")).alias("fname"),
         F.col("l_shipdate").alias("ingest_instant"),
     )
-    writer = arrivals.origin_writer(streamed, lambda: spark.read.parquet(path), path, [["fhash"]], "fhash")
+    writer = arrivals.origin_writer(streamed, lambda: spark.read.parquet(path), path, [["fhash"]])
     _finish(writer, spark)
     return spark.read.parquet(path).select("fhash", "fname", (F.col("batch") >= 0).alias("is_new"))
 

@@ -9,8 +9,18 @@ from terrashelf import schemas
 from terrashelf.functions.text import vat_key
 
 
+ONE_SPLIT = 128 * 1024 * 1024
+WORTH_SPREADING = 1024 * 1024
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A file of one row group keeps one core busy, so a file below one split is spread
+    over the cores; tables of real size have row groups enough and are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    if WORTH_SPREADING < size < ONE_SPLIT:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def content_type(spark: SparkSession) -> DataFrame:
@@ -113,10 +123,14 @@ def auth_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem; ids repeat where the source repeats (l_orderkey, l_linenumber)."""
+    return _as_origins(read(spark, sf_dir, "lineitem"))
+
+
+def _as_origins(lineitem: DataFrame) -> DataFrame:
     labels = F.array(*[F.lit(label) for _, label, *_ in schemas.CONTENT_TYPES[:15]])
     text = lambda c: F.col(c).cast("string")
     fname = F.concat(F.lit("f"), text("l_partkey"), F.lit(".zip"))
-    return read(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
         (F.col("l_suppkey") + 100000).alias("jurisd_osm_id"),
         F.element_at(labels, F.col("l_linenumber") + 1).alias("ctype"),
@@ -141,12 +155,10 @@ def origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def origin_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per id: of repeated ids the row with the smallest part, then supplier and size."""
-    rows = origin(spark, sf_dir)
-    rest = [c for c in rows.columns if c not in ("id", "l_partkey", "l_suppkey", "kx_cmds")]
-    order = F.struct("l_partkey", "l_suppkey", "fmeta.size", "is_open", "ingest_instant")
-    kept = rows.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("id", "r.*")
-    return kept.withColumn("kx_cmds", F.lit(None).cast("array<string>"))
+    """One row per id: of repeated ids the row with the smallest part, then supplier and price."""
+    order = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_shipdate")
+    kept = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(order).alias("r"))
+    return _as_origins(kept.select("l_orderkey", "l_linenumber", "r.*")).drop("l_partkey", "l_suppkey")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -204,11 +216,11 @@ COMMON = {
                ({_LABELS})[l_linenumber + 1] AS ctype, l_orderkey AS pack_id,
                sha256(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS fhash,
                'f' || l_partkey || '.zip' AS fname, 1 AS fversion, TRUE AS is_valid, l_linestatus = 'O' AS is_open,
-               CAST(trunc(l_extendedprice) AS BIGINT) AS size, l_shipdate AS ingest_instant, l_partkey, l_suppkey
+               CAST(trunc(l_extendedprice) AS BIGINT) AS size, l_extendedprice AS price, l_shipdate AS ingest_instant, l_partkey, l_suppkey
         FROM lineitem""",
     "origin_by_id": """
         SELECT * FROM origin QUALIFY row_number() OVER (
-            PARTITION BY id ORDER BY l_partkey, l_suppkey, size, is_open, ingest_instant) = 1""",
+            PARTITION BY id ORDER BY l_partkey, l_suppkey, price, is_open, ingest_instant) = 1""",
     "star": """
         SELECT o.*, j.name AS jurisd_name, j.parent_abbrev AS jurisd_state, j.abbrev AS jurisd_abbrev3,
                j.isolabel_ext AS jurisd_isolabel_ext, j.jurisd_base_id, j.parent_id AS jurisd_parent_id,
