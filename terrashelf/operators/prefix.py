@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrashelf.session import cut, measured
+
 
 def lengths_of(df: DataFrame, column: str):
     """The distinct lengths in ``column`` as one sorted array, usable as a scalar in another plan."""
@@ -22,7 +24,7 @@ def longest_prefix(keys: DataFrame, key: str, prefixes: DataFrame, prefix: str)
     Each distinct key is cut to the lengths that occur among the prefixes and joined on equality, so
     copies of a key are probed once and no LIKE join arises.
     """
-    listed = prefixes.select(F.col(prefix).alias("_prefix")).where(F.col("_prefix").isNotNull()).distinct()
+    listed = measured(prefixes.select(F.col(prefix).alias("_prefix")).where(F.col("_prefix").isNotNull()).distinct())
     probes = (
         keys.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
         .withColumn("_lengths", lengths_of(listed, "_prefix"))
@@ -54,27 +56,27 @@ def containing(needles: DataFrame, needle: str, rows: DataFrame, key: str, text:
     """
     asked = needles.select(F.col(needle).alias("_needle")).where(F.length(needle) > 0).distinct()
     size = F.least(F.length("_needle"), F.lit(3))
-    wanted = asked.select(
+    wanted = cut(asked.select(
         "_needle",
         F.explode(
             F.when(size == 3, grams(F.col("_needle"), 3)).when(size == 2, grams(F.col("_needle"), 2)).otherwise(
                 F.array("_needle")
             )
         ).alias("_gram"),
-    )
+    ))
     texts = rows.select(F.col(key).alias("_row"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
     pieces = texts.select(
         "_row", "_text",
         F.explode(
             F.concat(grams(F.col("_text"), 1), grams(F.col("_text"), 2), grams(F.col("_text"), 3))
         ).alias("_gram"),
-    ).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    ).join(measured(wanted.select("_gram").distinct()), "_gram", "left_semi")
     counts = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = wanted.join(counts, "_gram").groupBy("_needle").agg(
         F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram")
     )
     return (
-        rarest.join(pieces, "_gram")
+        pieces.join(measured(rarest), "_gram")
         .where(F.contains("_text", "_needle"))
         .select(F.col("_needle").alias(needle), F.col("_row").alias(key))
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """``df`` written and counted: hinted for broadcast up to ``BROADCAST_ROWS`` rows, for a merge join beyond.
+
+    For the small side of a join whose other side explodes rows: its planned size is that of the files
+    behind it, so Spark might otherwise broadcast the side that grows.
+    """
+    table = cut(df)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
