@@ -227,32 +227,45 @@ _ASKED = """asked AS (
         SELECT trim(lower(uri), '/') AS uri, count(*) AS n_requests, split_part(trim(lower(uri), '/'), '/', 1) AS p1,
                nullif(split_part(trim(lower(uri), '/'), '/', 2), '') AS p2
         FROM requests GROUP BY 1, 3, 4)"""
-_J_MATCH = """CASE
-    WHEN p1 = '' THEN TRUE
-    WHEN regexp_matches(p1, '^isolabel_ext\\.lk\\..+$') THEN starts_with(upper(isolabel_ext), upper(substr(p1, 17)))
-    WHEN regexp_matches(p1, '^parent_abbrev\\.lk\\..+$')
-        THEN starts_with(isolabel_ext, upper(substr(p1, 18))) AND parent_abbrev = upper(substr(p1, 18))
-    WHEN regexp_matches(p1, '^parent_abbrev\\.eq\\..+$') THEN parent_abbrev = upper(substr(p1, 18))
-    WHEN p1 LIKE 'br-__-___' THEN abbrev = upper(substr(p1, 7)) AND left(isolabel_ext, 6) = upper(left(p1, 6))
-    WHEN p1 LIKE 'br;__;%' THEN lexlabel = substr(p1, 7) AND left(isolabel_ext, 6) = replace(upper(left(p1, 6)), ';', '-')
-    WHEN regexp_matches(p1, '^q\\d+$') THEN wikidata_id = TRY_CAST(substr(p1, 2) AS BIGINT)
-    WHEN regexp_matches(p1, '^\\d+$') THEN CASE
-        WHEN p2 IS NOT NULL THEN jurisd_local_id = TRY_CAST(p2 AS INTEGER) AND jurisd_base_id = TRY_CAST(p1 AS INTEGER)
-        ELSE osm_id = TRY_CAST(p1 AS BIGINT) END
-    WHEN p2 IS NULL THEN upper(isolabel_ext) = upper(p1)
-    ELSE jurisd_base_id = b.base AND jurisd_local_id = TRY_CAST(p2 AS INTEGER) END"""
-_J_FROM = """asked LEFT JOIN (SELECT isolabel_ext AS label, jurisd_base_id AS base FROM jurisdiction) b
-        ON b.label = upper(p1) JOIN jurisdiction ON """ + _J_MATCH
-_D_MATCH = """CASE
-    WHEN p1 = '' THEN TRUE
-    WHEN regexp_matches(p1, '^\\d+$') THEN id = TRY_CAST(p1 AS BIGINT)
-    WHEN regexp_matches(p1, '^q\\d+$') THEN wikidata_id = TRY_CAST(substr(p1, 2) AS BIGINT)
-    WHEN regexp_matches(p1, '^scope\\.lk\\..+$') THEN starts_with(scope, upper(substr(p1, 10)))
-    WHEN regexp_matches(p1, '^legalname\\.lk\\..+$') THEN contains(upper(legalname), upper(substr(p1, 14)))
-    WHEN regexp_matches(p1, '^url\\.lk\\..+$') THEN contains(url, substr(p1, 8))
-    WHEN regexp_matches(p1, '^shortname\\.lk\\..+$') THEN starts_with(shortname, upper(substr(p1, 14)))
-    WHEN regexp_matches(p1, '^[a-z]+:.+$') THEN kx_vat_id = lower(regexp_replace(p1, '[,\\.;/\\-\\+\\*~]+', '', 'g'))
-    ELSE shortname = upper(p1) END"""
+# A request is either field.operator.value or a plain code.
+_TERMS = r"""terms AS (
+        SELECT *, regexp_extract(p1, '^(isolabel_ext|parent_abbrev|scope|legalname|url|shortname)[.](lk|eq)[.](.+)$', 1) AS field,
+               regexp_extract(p1, '^[a-z_]+[.](lk|eq)[.](.+)$', 1) AS op, regexp_extract(p1, '^[a-z_]+[.](lk|eq)[.](.+)$', 2) AS val,
+               TRY_CAST(CASE WHEN regexp_matches(p1, '^[0-9]+$') THEN p1 END AS BIGINT) AS num,
+               TRY_CAST(CASE WHEN regexp_matches(p2, '^[0-9]+$') THEN p2 END AS INTEGER) AS num2,
+               TRY_CAST(regexp_extract(p1, '^q([0-9]+)$', 1) AS BIGINT) AS wiki,
+               CASE WHEN length(p1) = 9 AND left(p1, 3) = 'br-' AND p1[6] = '-' THEN 'abbrev'
+                    WHEN left(p1, 3) = 'br;' AND p1[6] = ';' THEN 'name' END AS form
+        FROM asked),
+    plain AS (SELECT * FROM terms WHERE field = '' AND wiki IS NULL AND form IS NULL AND num IS NULL AND p1 <> '')"""
+_J_FOUND = f"""{_TERMS}, answered AS (
+    SELECT uri, n_requests, j.* FROM terms, jurisdiction j WHERE p1 = ''
+    UNION ALL SELECT uri, n_requests, j.* FROM terms, jurisdiction j
+    WHERE field = 'isolabel_ext' AND op = 'lk' AND starts_with(upper(isolabel_ext), upper(val))
+    UNION ALL SELECT uri, n_requests, j.* FROM terms, jurisdiction j
+    WHERE field = 'parent_abbrev' AND parent_abbrev = upper(val) AND (op = 'eq' OR starts_with(isolabel_ext, upper(val)))
+    UNION ALL SELECT uri, n_requests, j.* FROM terms, jurisdiction j
+    WHERE form = 'abbrev' AND left(isolabel_ext, 6) || abbrev = upper(p1)
+    UNION ALL SELECT uri, n_requests, j.* FROM terms, jurisdiction j
+    WHERE form = 'name' AND lower(replace(left(isolabel_ext, 6), '-', ';')) || lexlabel = p1
+    UNION ALL SELECT uri, n_requests, j.* FROM terms JOIN jurisdiction j ON wikidata_id = wiki
+    UNION ALL SELECT uri, n_requests, j.* FROM terms JOIN jurisdiction j ON osm_id = num WHERE p2 IS NULL
+    UNION ALL SELECT uri, n_requests, j.* FROM terms JOIN jurisdiction j ON jurisd_base_id = num AND jurisd_local_id = num2
+    UNION ALL SELECT uri, n_requests, j.* FROM plain JOIN jurisdiction j ON upper(isolabel_ext) = upper(p1) WHERE p2 IS NULL
+    UNION ALL SELECT uri, n_requests, j.* FROM plain JOIN jurisdiction c ON c.isolabel_ext = upper(p1)
+    JOIN jurisdiction j ON j.jurisd_base_id = c.jurisd_base_id AND j.jurisd_local_id = num2)"""
+_D_FOUND = f"""{_TERMS}, answered AS (
+    SELECT uri, n_requests, d.* FROM terms, donor d WHERE p1 = ''
+    UNION ALL SELECT uri, n_requests, d.* FROM terms JOIN donor d ON id = num
+    UNION ALL SELECT uri, n_requests, d.* FROM terms JOIN donor d ON wikidata_id = wiki
+    UNION ALL SELECT uri, n_requests, d.* FROM terms, donor d WHERE field = 'scope' AND starts_with(scope, upper(val))
+    UNION ALL SELECT uri, n_requests, d.* FROM terms, donor d WHERE field = 'shortname' AND starts_with(shortname, upper(val))
+    UNION ALL SELECT uri, n_requests, d.* FROM terms, donor d WHERE field = 'legalname' AND contains(upper(legalname), upper(val))
+    UNION ALL SELECT uri, n_requests, d.* FROM terms, donor d WHERE field = 'url' AND contains(url, val)
+    UNION ALL SELECT uri, n_requests, d.* FROM plain JOIN donor d ON kx_vat_id = translate(p1, ',.;/-+*~', '')
+    WHERE regexp_matches(p1, '^[a-z]+:')
+    UNION ALL SELECT uri, n_requests, d.* FROM plain JOIN donor d ON shortname = upper(p1)
+    WHERE NOT regexp_matches(p1, '^[a-z]+:'))"""
 _O_FOUND = """
         SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.jurisd_osm_id = TRY_CAST(substr(p1, 18) AS BIGINT)
         WHERE p1 LIKE 'jurisd_osm_id.eq.%'
@@ -287,9 +300,9 @@ def _star_by_id(query: str, requests: str) -> str:
 
 ORACLE = {
     "jurisdiction_lookup": with_tables("jurisdiction", f""", {_ASKED}
-        SELECT uri, n_requests, osm_id, isolabel_ext, name, admin_level FROM {_J_FROM}""", requests=_J_REQUESTS),
+        , {_J_FOUND} SELECT uri, n_requests, osm_id, isolabel_ext, name, admin_level FROM answered""", requests=_J_REQUESTS),
     "donor_lookup": with_tables("donor", f""", {_ASKED}
-        SELECT uri, n_requests, id, scope, shortname, legalname, kx_vat_id FROM asked JOIN donor ON {_D_MATCH}""",
+        , {_D_FOUND} SELECT uri, n_requests, id, scope, shortname, legalname, kx_vat_id FROM answered""",
         requests=_D_REQUESTS),
     "origin_lookup": _star_by_id("""
         SELECT uri, n_requests, id, jurisd_osm_id, ctype, pack_id, fhash, fname, donor_id, jurisd_isolabel_ext AS label,
@@ -301,7 +314,7 @@ ORACLE = {
         SELECT 'SHA256:' || left(sha256(p_partkey || '-1-' || p_partkey), 4 + p_partkey % 8) AS uri FROM part"""),
     "request_errors": with_tables("jurisdiction", f""", requests AS (
             SELECT * FROM j_requests UNION ALL SELECT -r_regionkey, 'a/b/c' FROM region), {_ASKED},
-        found AS (SELECT DISTINCT uri FROM {_J_FROM} WHERE uri <> '')
+        {_J_FOUND}, found AS (SELECT DISTINCT uri FROM answered WHERE uri <> '')
         SELECT uri, n_requests, CASE WHEN uri = '' THEN -1 WHEN p2 IS NULL THEN -2 ELSE -3 END AS errcod,
                CASE WHEN uri = '' THEN 'empty endpoint' WHEN p2 IS NULL THEN 'incomplete endpoint'
                     ELSE 'endpoint not found' END AS errmsg
