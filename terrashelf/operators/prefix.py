@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrashelf.session import cut, measured
+from terrashelf.session import cut, hinted, measured
 
 
 def lengths_of(df: DataFrame, column: str):
@@ -70,7 +70,7 @@ def containing(needles: DataFrame, needle: str, rows: DataFrame, key: str, text:
         F.explode(
             F.concat(grams(F.col("_text"), 1), grams(F.col("_text"), 2), grams(F.col("_text"), 3))
         ).alias("_gram"),
-    ).join(measured(wanted.select("_gram").distinct()), "_gram", "left_semi")
+    ).join(hinted(wanted.select("_gram").distinct()), "_gram", "left_semi")
     counts = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = wanted.join(counts, "_gram").groupBy("_needle").agg(
         F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrashelf.functions.text import split_uri, vat_key
 from terrashelf.operators.prefix import containing, lengths_of, prefix_lengths
 from terrashelf.plans.catalogue import star
-from terrashelf.session import cut, measured
+from terrashelf.session import cut, hinted, measured
 
 NUMBER = r"^\d+\z"
 
@@ -81,7 +81,7 @@ def _joined(asked: DataFrame, rows: DataFrame, keys: list[tuple[str, Column]], h
         *rows.columns, F.col("_entry.kind").alias("kind"), F.col("_entry.key").alias("key")
     ).where("key IS NOT NULL")
     wanted = asked.where("kind IS NOT NULL AND key IS NOT NULL").select("uri", "n_requests", "kind", "key")
-    return listed.join(measured(wanted), ["kind", "key"]).select("uri", "n_requests", "kind", *rows.columns)
+    return listed.join(hinted(wanted), ["kind", "key"]).select("uri", "n_requests", "kind", *rows.columns)
 
 
 def _everything(asked: DataFrame, rows: DataFrame) -> DataFrame:

@@ -42,11 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """``df`` written and counted: hinted for broadcast up to ``BROADCAST_ROWS`` rows, for a merge join beyond.
+def hinted(df: DataFrame) -> DataFrame:
+    """``df`` counted and hinted: broadcast up to ``BROADCAST_ROWS`` rows, a merge join beyond.
 
     For the small side of a join whose other side explodes rows: its planned size is that of the files
     behind it, so Spark might otherwise broadcast the side that grows.
     """
-    table = cut(df)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """``hinted`` for a table that is costly to compute: written first."""
+    return hinted(cut(df))
