@@ -132,7 +132,7 @@ def test_refresh(spark, tmp_path):
     (tmp_path / "d" / "a.csv").write_text("id,escopo,shortName,vat_id,legalName,wikidata_id,url\n1,BR,A,CNPJ:1-2,Name,5,u\n")
     (tmp_path / "p" / "a.csv").write_text(
         "pack_id,donor_id,donor_label,user_resp,accepted_date,escopo,about,author,contentReferenceTime,license_is_explicit,license,"
-        "uri_objType,uri,isAt_UrbiGIS\n5,1,A,igor,2022-01-05,BR,about,me,2021,No,CC0,zip,u,\n"
+        "uri_objType,uri,isAt_UrbiGIS\n5,1,A,maria,2022-01-05,BR,about,me,2021,No,CC0,zip,u,\n"
     )
     now = {
         "jurisdiction": empty(schemas.JURISDICTION), "donor": empty(schemas.DONOR), "donatedPack": empty(schemas.PACK),

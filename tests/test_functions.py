@@ -36,8 +36,8 @@ def test_camel_label(spark, given, expected):
 
 
 def test_split_uri(spark):
-    uri = F.lit("/eclusa/checkUserFiles-step1/igor/0")
-    assert one(spark, text.split_uri(uri, ["eclusa", "checkuserfiles-step1"])) == ["igor", "0"]
+    uri = F.lit("/intake/checkFiles-step1/maria/0")
+    assert one(spark, text.split_uri(uri, ["intake", "checkfiles-step1"])) == ["maria", "0"]
     assert one(spark, text.split_uri(uri, ["x"])) is None
     assert one(spark, text.split_uri(F.lit(""))) == [""]
     assert one(spark, text.split_uri(F.lit("/A"), ["a"])) == []

@@ -94,7 +94,7 @@ def test_donors(spark, donor, uri, ids):
 @pytest.fixture(scope="module")
 def origins(spark, jurisdiction, donor):
     pack = spark.createDataFrame(
-        [(10, 1, "igor", "BR-SP", None), (11, 1, "enio", "BR", None), (12, 3, "igor", "CO", None)],
+        [(10, 1, "maria", "BR-SP", None), (11, 1, "joao", "BR", None), (12, 3, "maria", "CO", None)],
         "pack_id long, donor_id long, user_resp string, escopo string, config_commom string",
     ).withColumn("accepted_date", F.lit("2022-01-01").cast("date"))
     data = [

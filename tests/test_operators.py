@@ -50,7 +50,7 @@ def test_statistics(spark):
 
 
 def test_rollup_adds_counts_that_meet(spark):
-    """Where a kept key equals a new prefix the reference keeps only one of 50 and 3; here they add up."""
+    """Where a kept key equals a new prefix, a merge of objects would keep one of 50 and 3; here they add up."""
     df = cells(spark, d={"ab": 50, "abc": 1, "abd": 2, "xyz": 40})
     assert as_dict(distribution.rollup(df, size=2, max_cells=3)) == {"d": {"ab": 53, "xyz": 40}}
 
@@ -75,7 +75,7 @@ def test_rollup_floor(spark):
 
 
 def test_rollup_floor_keeps_every_heavy_group(spark):
-    """Three groups reach the floor, an error in the reference; here all stay fine."""
+    """Three groups reach the floor; all of them stay fine."""
     d = {"a1": 6, "a2": 5, "b1": 1, "b2": 2, "c1": 40, "c2": 30, "d1": 6, "d2": 5}
     got = as_dict(distribution.rollup(cells(spark, d=d), size=1, max_cells=3, percentile=0.9, floor=10))
     assert got == {"d": {"a1": 6, "a2": 5, "b": 3, "c1": 40, "c2": 30, "d1": 6, "d2": 5}}

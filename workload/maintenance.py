@@ -125,7 +125,7 @@ def upsert_packs(spark, sf_dir):
         F.when(i % 4 == 1, i).otherwise(i + 10_000_000_000).alias("pack_id"),
         F.col("o_custkey").alias("donor_id"),
         F.lit("label").alias("donor_label"),
-        F.lit("igor").alias("user_resp"),
+        F.lit("maria").alias("user_resp"),
         F.col("o_orderdate").cast("date").alias("accepted_date"),
         F.lit("BR").alias("escopo"),
         F.concat(F.lit("about "), _text("o_orderkey")).alias("about"),
@@ -282,7 +282,7 @@ ORACLE = {
                CASE WHEN o.pack_id IS NULL THEN 'inserted' WHEN n.pack_id IS NULL THEN 'kept' ELSE 'updated' END AS action
         FROM pack o FULL JOIN delivered n ON o.pack_id = n.pack_id""", delivered="""
             SELECT CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_orderkey + 10000000000 END AS pack_id,
-                   o_custkey AS donor_id, 'igor' AS user_resp, CAST(o_orderdate AS DATE) AS accepted_date, 'BR' AS escopo,
+                   o_custkey AS donor_id, 'maria' AS user_resp, CAST(o_orderdate AS DATE) AS accepted_date, 'BR' AS escopo,
                    'about ' || o_orderkey AS about,
                    '{"author":null,"contentReferenceTime":"2022","license_is_explicit":' || CASE o_orderkey % 3
                    WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE 'null' END

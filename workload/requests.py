@@ -173,9 +173,9 @@ def request_errors(spark, sf_dir):
 
 def split_requests(spark, sf_dir):
     urls = read(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_replace("url", "^https?://[^/]+", "/Eclusa/Check/").alias("uri")
+        "page_id", F.regexp_replace("url", "^https?://[^/]+", "/Intake/Check/").alias("uri")
     )
-    df = lookup.split_requests(urls, ["eclusa", "check"])
+    df = lookup.split_requests(urls, ["intake", "check"])
     return df.select("page_id", "uri", F.array_join("parts", "|").alias("parts"), F.size("parts").alias("n_parts"))
 
 
@@ -322,7 +322,7 @@ ORACLE = {
     "split_requests": """
         SELECT page_id, uri, array_to_string(p[3:], '|') AS parts, len(p[3:]) AS n_parts FROM (
             SELECT *, string_split(trim(lower(uri), '/'), '/') AS p FROM (
-                SELECT page_id, regexp_replace(url, '^https?://[^/]+', '/Eclusa/Check/') AS uri FROM pages))""",
+                SELECT page_id, regexp_replace(url, '^https?://[^/]+', '/Intake/Check/') AS uri FROM pages))""",
     "routed_requests": f"""
         WITH u AS ({_API_URLS}), f AS (
             SELECT *, split_part(url, '?', 1) AS path,
