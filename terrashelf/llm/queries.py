@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrashelf.llm import chat, exactdedup, mixing, urlfilter, warc
+from terrashelf.llm import chat, exactdedup, mixing, simhash, urlfilter, warc
 
-MODULES = [urlfilter, exactdedup, warc, mixing, chat]
+MODULES = [urlfilter, exactdedup, warc, mixing, simhash, chat]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
