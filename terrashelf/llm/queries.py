@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrashelf.llm import chat, decontaminate, exactdedup, mixing, records, simhash, urlfilter, warc
+from terrashelf.llm import chat, decontaminate, exactdedup, mixing, quality, records, secretscan, simhash, urlfilter, warc
 
-MODULES = [urlfilter, exactdedup, warc, mixing, simhash, decontaminate, records, chat]
+MODULES = [urlfilter, exactdedup, warc, mixing, simhash, secretscan, decontaminate, records, quality, chat]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
