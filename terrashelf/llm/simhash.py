@@ -223,9 +223,11 @@ def connect(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        least = both.groupBy("low").agg(F.least("low", F.min("high")).alias("m"))
+        # Written, so that the join deals both sides itself and can split the rows of a node with many neighbours.
+        least = cut(both.groupBy("low").agg(F.least("low", F.min("high")).alias("m")))
         larger = both.where("high > low").join(least, "low").select(F.col("m").alias("low"), "high").distinct()
-        least = larger.groupBy("high").agg(F.min("low").alias("m"))
+        larger = cut(larger)
+        least = cut(larger.groupBy("high").agg(F.min("low").alias("m")))
         joined = larger.join(least, "high").select("low", "high", "m")
         smaller = joined.select(F.col("m").alias("low"), F.explode(F.array("low", "high")).alias("high"))
         edges = cut(smaller.where("low <> high").distinct())
@@ -235,16 +237,18 @@ def connect(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def grouped(prints: DataFrame) -> DataFrame:
+    """``prints(..., fp)`` with root: the smallest fingerprint (as a signed number) linked to the row's own."""
+    prints = cut(prints)
+    roots = cut(connect(links(cut(prints.select("fp").distinct()))))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``prints(..., fp)`` with component_id: the smallest identifier of those linked to a row, itself included."""
-    prints = cut(prints)
-    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    roots = cut(connect(links(distinct.select("fp"))))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return prints.join(named.select("fp", "component_id"), "fp")
+    found = cut(grouped(prints))
+    named = cut(found.groupBy("root").agg(F.min(doc_id).alias("component_id")))
+    return found.join(named, "root").drop("root")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
