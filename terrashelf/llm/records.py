@@ -50,6 +50,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words an executor's Python process keeps the tokens of; at more it starts afresh.
 KEPT_WORDS = 600_000
+#: Bytes of text that are taken apart at a time.
+SPAN_BYTES = 2_000_000
 #: Stands between words that are encoded together.
 MARK = "\x01"
 
@@ -121,17 +123,32 @@ class Encoder:
         return found
 
 
+def _spans(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """The rows of a batch in spans of about ``SPAN_BYTES`` of text, so that only so much is in words at a time."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), pc.cast(batch.column("text"), pa.binary())):
+        ids.append(doc_id)
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if size >= SPAN_BYTES:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _framer(path_of, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder.of(path_of())
             end = int(end_id).to_bytes(encoder.width, "little")
-            texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
-            frames = []
-            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                frames.append(framed(payload_of(doc_id, tokens + end, encoder.width)))
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+            for ids, texts in _spans(batch):
+                frames = [
+                    framed(payload_of(doc_id, tokens + end, encoder.width))
+                    for doc_id, tokens in zip(ids, encoder.encode(texts))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     return run
 
