@@ -48,8 +48,10 @@ HAS_ID = 1
 #: Put after every document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words an executor's Python process keeps the tokens of; at more it starts afresh.
-KEPT_WORDS = 600_000
+#: Words a Python process keeps the tokens of; at more it starts afresh, and of the ones before keeps those that come again.
+KEPT_WORDS = 300_000
+#: Signs that the tokenizer parts from a letter before them (an apostrophe may belong to it).
+MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
 SPAN_BYTES = 2_000_000
 #: Stands between words that are encoded together.
@@ -83,7 +85,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -106,17 +109,35 @@ class Encoder:
             found += [data[a:b] for a, b in zip([0, *(m + self.width for m in marks)], [*marks, len(data)])]
         return found
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Add words: one that ends in marks after a letter is its stem and the marks, which the tokenizer parts there."""
+        young, parts, new = self.young, {}, set()
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and (stem[-1:].isalnum() or stem.decode()[-1].lower().isalpha()):
+                parts[word] = (stem, word[len(stem) :])
+                new.update(parts[word])
+            else:
+                new.add(word)
+        young.update((w, self.old[w]) for w in (new - young.keys()) & self.old.keys())
+        new = list(new - young.keys())
+        young.update(zip(new, self._each(new)))
+        for word, (stem, marks) in parts.items():
+            young[word] = young[stem] + young[marks]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The tokens of each text, little endian. A text is taken apart at ASCII blanks if no special token or mark is in it."""
         odd = [MARK.encode(), *(s[:2].lower().encode() for s in self.special)]
         low = [t.lower() for t in texts]
         plain = [not any(o in t for o in odd) for t in low]
         words = [t.split() if p else [] for t, p in zip(low, plain)]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
-        self.known.update(zip(new, self._each(new)))
-        get = self.known.__getitem__
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        new = set().union(*words) - self.young.keys()
+        again = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        self._learn(new - again)
+        get = self.young.__getitem__
         found = [b"".join(map(get, ws)) for ws in words]
         for i in [i for i, p in enumerate(plain) if not p]:
             found[i] = self._whole(texts[i].decode())
