@@ -79,7 +79,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFr
 
 def _rate(size: Column) -> Column:
     """The tilted rate of a document; a source at its limit has no multiplier and takes everything ``MOST`` times."""
-    tilt = F.col("lambda") * size * F.col("n_docs") / F.col("source_size")
+    tilt = F.col("lambda") * size * F.col("n_docs") / F.greatest("source_size", F.lit(1))
     return F.when(F.col("lambda").isNull(), MOST).otherwise(MOST / (1 + F.exp(-tilt)))
 
 
@@ -98,7 +98,7 @@ def solve(counts: DataFrame, goals: DataFrame) -> DataFrame:
     fields = [c for c in state.columns if c not in (*KEY, "lambda")]
     size, rate = F.col("size"), _rate(F.col("size"))
     for _ in range(MAX_STEPS):
-        scaled = size * F.col("n_docs") / F.col("source_size")
+        scaled = size * F.col("n_docs") / F.greatest("source_size", F.lit(1))
         summed = counts.join(state, KEY).groupBy(*KEY, *fields, "lambda").agg(
             F.sum(F.col("n") * size * rate).alias("got"),
             F.sum(F.col("n") * size * scaled * rate * (1 - rate / MOST)).alias("slope"),
@@ -172,9 +172,14 @@ def plan_mix(docs: DataFrame, source: str, doc_id: str, size: str, weights=WEIGH
 
 def apply_mix(docs: DataFrame, plan: DataFrame, source: str, doc_id: str, size: str) -> DataFrame:
     """``docs`` with source_size, target, rate, copies (whole ones) and taken (words)."""
-    words = F.col(size)
-    whole, stand = _copies(words, doc_id)
-    joined = _keyed(docs, source).join(plan, KEY).withColumns({"_rate": _rate(words), "_whole": whole, "_stand": stand})
+    # The row travels as one column, so none of its names meets one of the plan's.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"),
+        F.col(size).alias("_words"),
+    )
+    words = F.col("_words")
+    whole, stand = _copies(words, "_id")
+    joined = _keyed(rows, "_source").join(plan, KEY).withColumns({"_rate": _rate(words), "_whole": whole, "_stand": stand})
     below = (F.col("bin1").isNull() | (_bin(1) < F.col("bin1"))) | (
         (_bin(1) == F.col("bin1")) & (F.col("bin2").isNull() | (_bin(2) < F.col("bin2")))
     )
@@ -184,8 +189,8 @@ def apply_mix(docs: DataFrame, plan: DataFrame, source: str, doc_id: str, size:
     copies = F.col("_whole") + F.when(F.col("_stand").isNotNull() & below, 1).otherwise(0)
     kept = [c for c in docs.columns if c not in ("source_size", "target", "rate", "copies", "taken")]
     return joined.select(
-        *kept, "source_size", "target", F.col("_rate").alias("rate"), copies.alias("copies"),
-        (F.col("_whole") * words + more).cast("long").alias("taken"),
+        *[F.col(f"_doc.{c}") for c in kept], "source_size", "target", F.col("_rate").alias("rate"),
+        copies.alias("copies"), (F.col("_whole") * words + more).cast("long").alias("taken"),
     )
 
 
