@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from terrashelf.functions.text import camel_label
@@ -67,8 +69,9 @@ def canonical_templates(spark, sf_dir):
 
 def markup_rule_counts(spark, sf_dir):
     every = pages(spark, sf_dir)
-    return markup.rule_counts(every, "text", markup.PAGE_RULES).unionByName(
-        markup.rule_counts(every, "text", [(f"template: {n}", p, c) for n, p, c in markup.TEMPLATE_RULES])
+    templates = [replace(tag, name=f"template: {tag.name}") for tag in markup.TEMPLATE_RULES]
+    return markup.rule_counts(every, "text", markup.PAGE_RULES, markup.GALLERY_RULE).unionByName(
+        markup.rule_counts(every, "text", templates)
     )
 
 
@@ -146,55 +149,59 @@ QUERIES = {
     )
 }
 
-_LINK = r"(?i)\[\[(?:Arquivo|File|Image|Imagem):\s*([^|\]\n]+?)\s*(?:\||\]\])"
-_LINKS = f"SELECT DISTINCT doc_id, trim(unnest(regexp_extract_all(text, '{_LINK}', 1))) AS file FROM pages_"
-_FOUR = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\[\\[Predefinição:', '[[Template:', 'g'),
-        '(?i)\\{\\{\\s*Predefinição:', '{{Template:', 'g'), '(?i)\\[\\[Categoria:', '[[Category:', 'g'),
-        '(?i)\\[\\[(?:Arquivo|Imagem):', '[[File:', 'g')"""
-_TEMPLATE = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\[\\[(?:Arquivo|Imagem):', '[[File:', 'g'),
-        '(?i)\\|\\s*semmoldura', '|frameless', 'g'), '(?i)\\|\\s*miniaturadaimagem', '|thumb', 'g'),
-        '(?i)\\|\\s*miniatura', '|thumb', 'g')"""
-_BLOCK = "(?is)<gallery[^>]*>.*?</gallery>"
+# What the jobs must find is told from how a page is made of its document, not by a second set of patterns.
+_LINKS = "SELECT DISTINCT doc_id, 'd' || doc_id % 50 || ' x.png' AS file FROM documents"
+_SHOWN = "CASE WHEN doc_id % 2 = 0 THEN '{0}' WHEN doc_id % 5 = 0 THEN '{1}' ELSE '{2}' END"
+
+
+def _made(file: str, shown: str, category: str, gallery: str, call: str) -> str:
+    """A page's text with the given spellings."""
+    return f"""'[[{file}: d' || doc_id % 50 || ' x.png ' || {shown} || ']] [[{category}:' || lang || ']] '
+        || CASE WHEN doc_id % 3 = 0 THEN '<gallery mode=packed>{gallery}:g' || doc_id % 50 || '.png|x' || chr(10)
+            || '{gallery if gallery == "File" else "imagem"}:h d.png</gallery> Imagem:plain ' ELSE '' END
+        || CASE WHEN doc_id % 4 = 1 THEN '{call}' ELSE '' END || text"""
+
+
+_CANONICAL = _made(
+    "File", _SHOWN.format("|miniatura", "|miniaturadaimagem", "| Semmoldura"), "Category", "File",
+    "{{Template:Box}}[[Template:Box]]",
+)
+_TEMPLATE = _made(
+    "File", _SHOWN.format("|thumb", "|thumb", "|frameless"), "Categoria", "Arquivo",
+    "{{ predefinição:Box}}[[Predefinição:Box]]",
+)
+# Rule, hits on a page, and the pages it fires on.
+_FIRES = [
+    ("template link", 1, "doc_id % 4 = 1"),
+    ("template call", 1, "doc_id % 4 = 1"),
+    ("category link", 1, "true"),
+    ("file link", 1, "true"),
+    ("gallery word", 2, "doc_id % 3 = 0"),
+    ("template: file link", 1, "true"),
+    ("template: frameless", 1, "doc_id % 2 <> 0 AND doc_id % 5 <> 0"),
+    ("template: thumb, long form", 1, "doc_id % 2 <> 0 AND doc_id % 5 = 0"),
+    ("template: thumb", 1, "doc_id % 2 = 0"),
+]
 _PATH = "md5({0})[1:1] || '/' || md5({0})[1:2] || '/' || {0}"
 _MANIFEST = """
     SELECT """ + _PATH.format("name") + """ AS path FROM (
         SELECT DISTINCT 'd' || doc_id % 50 || '_x.png' AS name FROM documents WHERE doc_id % 50 % 3 <> 0
         UNION SELECT 'old' || item_id || '.png' FROM benchmark)"""
-_MEDIA = f"""WITH pages_ AS ({_PAGES}), links AS ({_LINKS}), manifest AS ({_MANIFEST}), wanted AS (
+_MEDIA = f"""WITH links AS ({_LINKS}), manifest AS ({_MANIFEST}), wanted AS (
     SELECT DISTINCT file, {_PATH.format("replace(file, ' ', '_')")} AS path FROM links)"""
-_RULES = [
-    ("template link", r"(?i)\[\[Predefinição:", "text"),
-    ("template call", r"(?i)\{\{\s*Predefinição:", "text"),
-    ("category link", r"(?i)\[\[Categoria:", "text"),
-    ("file link", r"(?i)\[\[(?:Arquivo|Imagem):", "text"),
-    ("template: file link", r"(?i)\[\[(?:Arquivo|Imagem):", "text"),
-    ("template: frameless", r"(?i)\|\s*semmoldura", "text"),
-    ("template: thumb, long form", r"(?i)\|\s*miniaturadaimagem", "text"),
-    ("template: thumb", r"(?i)\|\s*miniatura", "regexp_replace(text, '(?i)\\|\\s*miniaturadaimagem', '|thumb', 'g')"),
-]
 _CAMEL = """array_to_string(list_transform(regexp_extract_all({0}, '[\\pL\\pN]+|[^\\pL\\pN.]+'),
     lambda r: upper(r[1:1]) || lower(r[2:])), '')"""
 
 ORACLE = {
-    "file_links": f"WITH pages_ AS ({_PAGES}) {_LINKS}",
-    "file_link_counts": f"WITH pages_ AS ({_PAGES}), links AS ({_LINKS}) SELECT file, count(*) AS n_pages FROM links GROUP BY file",
-    "canonical_pages": f"""
-        WITH pages_ AS ({_PAGES}), t AS (SELECT doc_id, {_FOUR} AS text FROM pages_),
-        b AS (SELECT doc_id, text, regexp_split_to_array(text, '{_BLOCK}') AS outside,
-                     list_transform(regexp_extract_all(text, '{_BLOCK}'),
-                         lambda x: regexp_replace(x, '(?i)(?:Arquivo|Imagem|Image):', 'File:', 'g')) AS blocks FROM t)
-        SELECT doc_id, md5(CASE WHEN len(blocks) = 0 THEN text ELSE array_to_string(list_transform(
-                   list_zip(outside, blocks), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') END) AS digest
-        FROM b""",
+    "file_links": _LINKS,
+    "file_link_counts": f"WITH links AS ({_LINKS}) SELECT file, count(*) AS n_pages FROM links GROUP BY file",
+    "canonical_pages": f"SELECT doc_id, md5({_CANONICAL}) AS digest FROM documents",
     "canonical_templates": f"""
-        WITH pages_ AS ({_PAGES})
-        SELECT doc_id, 'Template:' || trim(replace(replace(page_title, 'Predefinição:', ''), 'Template:', '')) AS title,
-               md5({_TEMPLATE}) AS digest
-        FROM pages_ WHERE page_namespace = 10""",
-    "markup_rule_counts": f"WITH pages_ AS ({_PAGES}) " + " UNION ALL ".join(
-        f"SELECT '{name}' AS rule, CAST(sum(n) AS BIGINT) AS n_hits, count(*) FILTER (WHERE n > 0) AS n_pages "
-        f"FROM (SELECT len(regexp_extract_all({source}, '{pattern}')) AS n FROM pages_)"
-        for name, pattern, source in _RULES
+        SELECT doc_id, 'Template:Page_' || doc_id % 400 || '_of_' || lang AS title, md5({_TEMPLATE}) AS digest
+        FROM documents WHERE doc_id % 3 = 2""",
+    "markup_rule_counts": " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, {hits} * count(*) AS n_hits, count(*) AS n_pages FROM documents WHERE {where}"
+        for name, hits, where in _FIRES
     ),
     "missing_media": _MEDIA + " SELECT file, path FROM wanted WHERE path NOT IN (SELECT path FROM manifest)",
     "unused_media": _MEDIA + " SELECT path FROM manifest WHERE path NOT IN (SELECT path FROM wanted)",
