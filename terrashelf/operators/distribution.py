@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrashelf.operators.ranking import numbered
-from terrashelf.session import cut
+from terrashelf.session import cut, measured
 
 
 def _histogram(cells: DataFrame, *extra) -> DataFrame:
@@ -51,15 +51,23 @@ def statistics(cells: DataFrame) -> DataFrame:
     )
 
 
-def shares(cells: DataFrame) -> DataFrame:
-    """Each cell with its dataset's total and its share in whole percent."""
-    totals = cells.groupBy("dataset").agg(F.sum("n").alias("total"))
+def shares(cells: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Each cell with its dataset's total and its share in whole percent.
+
+    The totals have one row per dataset and are broadcast if their bytes allow, so the cells stay where they are.
+    """
+    if totals is None:
+        totals = measured(_totals(cells))
     percent = F.round(
         F.col("n").cast("decimal(20,0)") * 100 / F.col("total").cast("decimal(20,0)"), 0
     ).cast("long")
     return cells.join(totals, "dataset").withColumn("share", percent)
 
 
+def _totals(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("dataset").agg(F.sum("n").alias("total"))
+
+
 def share_text(
     cells: DataFrame, percent: bool = True, link: str = "", separator: str = ", ", part_cells: int = 1000
 ) -> DataFrame:
@@ -73,19 +81,19 @@ def share_text(
         code = F.concat(F.lit(f'<a href="{link}'), F.col("key"), F.lit('.geojson">'), code, F.lit("</a>"))
     number = F.col("share") if percent else F.col("n")
     ranked = numbered(cells, ["dataset"], ["key"], "position")
-    base = shares(ranked) if percent else ranked
+    base = shares(ranked, measured(_totals(cells))) if percent else ranked
+    # Grouped by one struct: rows that lie by dataset are dealt anew, so a dataset's parts spread over tasks.
+    part = F.struct("dataset", F.floor((F.col("position") - 1) / part_cells).alias("part"))
     return (
         base.select(
-            "dataset",
-            F.floor((F.col("position") - 1) / part_cells).alias("part"),
-            "key",
-            F.concat(code, F.lit(": "), number.cast("string"), F.lit("%")).alias("_text"),
+            part.alias("_part"), "key", F.concat(code, F.lit(": "), number.cast("string"), F.lit("%")).alias("_text")
         )
-        .groupBy("dataset", "part")
+        .groupBy("_part")
         .agg(
             F.count(F.lit(1)).alias("cells"),
             F.expr(f"listagg(_text, {_quoted(separator)}) WITHIN GROUP (ORDER BY key)").alias("text"),
         )
+        .select("_part.dataset", "_part.part", "cells", "text")
     )
 
 
@@ -134,17 +142,19 @@ def _round(active: DataFrame, max_cells: int, percentile: float, floor: int | No
     )
     small = ~F.col("done") & (F.col("n") < F.col("limit"))
     prefix = F.expr("left(key, cut_at)")
-    marked = active.drop("size").join(plan, "dataset").withColumn("small", small).withColumn("prefix", prefix)
+    marked = active.drop("size").join(measured(plan), "dataset").withColumn("small", small).withColumn("prefix", prefix)
     merge = F.col("small")
     if floor is not None:
+        # Grouped by one struct here and below: cells of one dataset spread over all tasks.
         groups = (
-            marked.where("small").groupBy("dataset", "prefix").agg(F.sum("n").alias("_sum"))
-            .where(F.col("_sum") < floor).select("dataset", "prefix", F.lit(True).alias("_light"))
+            marked.where("small").groupBy(F.struct("dataset", "prefix").alias("_g")).agg(F.sum("n").alias("_sum"))
+            .where(F.col("_sum") < floor).select("_g.dataset", "_g.prefix", F.lit(True).alias("_light"))
         )
         marked = marked.join(groups, ["dataset", "prefix"], "left")
         merge = F.col("small") & F.coalesce("_light", F.lit(False))
     return (
         marked.withColumn("key", F.when(merge, F.col("prefix")).otherwise(F.col("key")))
-        .groupBy("dataset", "key")
+        .groupBy(F.struct("dataset", "key").alias("_cell"))
         .agg(F.sum("n").alias("n"), (F.max("cut_at") - 1).alias("size"), F.max("done").alias("done"))
+        .select("_cell.dataset", "_cell.key", "n", "size", "done")
     )

@@ -5,39 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 1_000_000
+from terrashelf.session import cut
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list[Column | str], name: str, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     """Number the rows of each ``keys`` group from 1 in ``order``; no keys means the whole table.
 
-    The largest group is measured first (one partial aggregate). Up to ``group_limit`` rows a plain
-    window is used; beyond it the table is range-partitioned on keys and order, and each slice is
-    numbered on its own and shifted by the rows before it.
+    The table is range-partitioned on keys and order, each slice is numbered on its own and shifted by the rows of its
+    group before it, so no group has to fit in one task. Rows that are equal in ``order`` are numbered by arrival.
     """
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= group_limit:
-        return df.withColumn(name, F.row_number().over(_window(keys).orderBy(*order)).cast("long"))
-    return _numbered_by_slices(df, keys, order, name)
-
-
-def _window(keys: list[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-
-def _numbered_by_slices(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
-    from terrashelf.session import cut
-
     # Equal rows are spread too: the arrival number breaks ties between copies.
     sliced = cut(
         df.withColumn("_arrival", F.monotonically_increasing_id())
         .repartitionByRange(*keys, *order, "_arrival")
         .withColumn("_slice", F.spark_partition_id())
     )
-    before = _window(keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice").count()
         .withColumn("_before", F.sum("count").over(before))

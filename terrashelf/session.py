@@ -39,16 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 200_000
+#: The most bytes of a side that is broadcast; a larger side is joined by shuffle.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def hinted(df: DataFrame) -> DataFrame:
-    """``df`` counted and hinted: broadcast up to ``BROADCAST_ROWS`` rows, a merge join beyond.
+    """``df`` with its bytes counted: broadcast up to ``BROADCAST_BYTES``, a merge join beyond.
 
     For the small side of a join whose other side explodes rows: its planned size is that of the files
     behind it, so Spark might otherwise broadcast the side that grows.
     """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def measured(df: DataFrame) -> DataFrame:

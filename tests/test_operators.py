@@ -165,14 +165,13 @@ def test_crosswalk(spark):
     assert crosswalk.overlapping_prefixes(table).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_numbered_by_window_and_by_slices(spark, limit):
-    """A key with half of all rows, copies and null keys get the same numbers either way."""
+def test_numbered_by_slices(spark):
+    """A key with half of all rows, copies and null keys."""
     rng = random.Random(1)
     data = [("hot", rng.randint(0, 50)) for _ in range(400)] + [(None, i) for i in range(30)]
     data += [(f"k{i % 40}", i) for i in range(300)]
     df = spark.createDataFrame(data, "k string, v int").repartition(6)
-    got = rows(ranking.numbered(df, ["k"], ["v"], "n", group_limit=limit))
+    got = rows(ranking.numbered(df, ["k"], ["v"], "n"))
     want, seen = [], {}
     for k, v in sorted(data, key=lambda r: (str(r[0]), r[1])):
         seen[k] = seen.get(k, 0) + 1
@@ -180,10 +179,9 @@ def test_numbered_by_window_and_by_slices(spark, limit):
     assert got == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_numbered_whole_table(spark, limit):
+def test_numbered_whole_table(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
-    got = ranking.numbered(df, [], ["v"], "n", group_limit=limit)
+    got = ranking.numbered(df, [], ["v"], "n")
     assert got.count() == 500 and got.where("n <> v + 1").count() == 0
 
 
@@ -282,3 +280,20 @@ def test_next_version(spark):
 def test_seed_rows(spark):
     ct = schemas.content_types(spark)
     assert ct.count() == 19 and ct.where("is_useful IS NULL").count() == 4
+
+
+@pytest.mark.parametrize("floor", [None, 3])
+def test_hot_dataset_spreads_over_tasks(spark, floor):
+    """One dataset with nine tenths of the cells: no task groups them all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        i = F.col("id")
+        cells = spark.range(4000).select(
+            F.when(i % 10 == 0, F.lit("b")).otherwise("a").alias("dataset"), F.lpad(F.hex(i), 6, "0").alias("key"),
+            (i % 7).alias("n"),
+        )
+        for made in (distribution._round(cells.withColumn("size", F.lit(6)), 10, 0.75, floor), distribution.share_text(cells, part_cells=50)):
+            tasks = made.where("dataset = 'a'").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+            assert len(tasks) == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

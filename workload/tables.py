@@ -9,28 +9,9 @@ from terrashelf import schemas
 from terrashelf.functions.text import vat_key
 
 
-ONE_SPLIT = 128 * 1024 * 1024
-WORTH_SPREADING = 1024 * 1024
-
-
-_known: dict[str, tuple] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its schema and size are looked up once per path.
-
-    A file of one row group keeps one core busy, so a file below one split is spread over the cores;
-    tables of real size have row groups enough and are read as they are.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _known:
-        found = spark.read.parquet(path)
-        _known[path] = (found.schema, int(str(found._jdf.queryExecution().analyzed().stats().sizeInBytes())))
-    schema, size = _known[path]
-    df = spark.read.schema(schema).parquet(path)
-    if WORTH_SPREADING < size < ONE_SPLIT:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def content_type(spark: SparkSession) -> DataFrame:
