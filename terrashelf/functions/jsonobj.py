@@ -53,23 +53,60 @@ def array_texts(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def _nested_stripper():
-    """Arrow helper for nested documents; built in a function so that it travels to the workers by value."""
+class _Number(str):
+    """A number as it is written, so that no digit changes."""
 
-    def strip(value):
-        if isinstance(value, dict):
-            return {k: strip(v) for k, v in value.items() if v is not None}
-        if isinstance(value, list):
-            return [strip(v) for v in value]
-        return value
 
+def _shown(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_shown(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_shown, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _parsed(text: str):
+    return json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+
+
+def _stripped(value, path: str, dropped: list[str]):
+    """``value`` without null members; their names with the names around them go to ``dropped``."""
+    if isinstance(value, dict):
+        dropped += [path + k for k, v in value.items() if v is None]
+        return {k: _stripped(v, f"{path}{k}.", dropped) for k, v in value.items() if v is not None}
+    if isinstance(value, list):
+        return [_stripped(v, path, dropped) for v in value]
+    return value
+
+
+@F.pandas_udf(T.StringType())
+def _strip_nested(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else _shown(_stripped(_parsed(text), "", [])))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _drops_nested(texts: pd.Series) -> pd.Series:
     def one(text):
-        return None if text is None else json.dumps(strip(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        dropped: list[str] = []
+        _stripped(_parsed(text), "", dropped)
+        return dropped
+
+    return texts.map(lambda text: None if text is None else one(text))
 
-    def every(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
 
-    return F.pandas_udf(every, T.StringType())
+def _nested_with_null(text: Column) -> Column:
+    """``text`` where it holds an object or array below its top and a null, and is JSON; else null."""
+    nested = F.substring(F.trim(text), 2, 2147483647).rlike(r"[{\[]")
+    return F.when(text.rlike(r"[:\s]null") & nested & F.try_parse_json(text).isNotNull(), text)
+
+
+def dropped_names(text: Column) -> Column:
+    """Names of the null members at every depth, those below the top with the names around them (``a.b``)."""
+    deep = _nested_with_null(text)
+    flat = F.map_keys(F.map_filter(members(text), lambda _, v: F.is_variant_null(v)))
+    return F.when(deep.isNotNull(), _drops_nested(deep)).otherwise(flat)
 
 
 def strip_nulls(text: Column, keep_empty: bool = True) -> Column:
@@ -79,9 +116,10 @@ def strip_nulls(text: Column, keep_empty: bool = True) -> Column:
     that contain a null reach the Arrow helper.
     """
     parsed = members(text)
-    with_null = text.rlike(r":\s*null")
-    nested = F.substring(F.trim(text), 2, 2147483647).rlike(r"[{\[]")
+    deep = _nested_with_null(text)
     flat = F.to_json(F.map_filter(parsed, lambda _, v: ~F.is_variant_null(v)))
-    deep = _nested_stripper()(F.when(with_null & nested & F.try_parse_json(text).isNotNull(), text))
-    out = F.when(with_null & nested, deep).when(parsed.isNotNull(), flat).otherwise(F.to_json(F.try_parse_json(text)))
+    out = (
+        F.when(deep.isNotNull(), _strip_nested(deep)).when(parsed.isNotNull(), flat)
+        .otherwise(F.to_json(F.try_parse_json(text)))
+    )
     return out if keep_empty else F.when(out != "{}", out)

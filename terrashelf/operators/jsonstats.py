@@ -33,9 +33,8 @@ def stripped(docs: DataFrame, column: str, keep_empty: bool = True) -> DataFrame
 
 
 def dropped_keys(docs: DataFrame, column: str) -> DataFrame:
-    """How often each top-level member would be dropped for being null."""
-    pairs = docs.select(F.explode(F.map_entries(jsonobj.members(F.col(column)))).alias("m"))
-    return pairs.where(F.is_variant_null("m.value")).groupBy(F.col("m.key").alias("key")).agg(
+    """How often each member would be dropped for being null, at every depth; ``a.b`` is member b of a."""
+    return docs.select(F.explode(jsonobj.dropped_names(F.col(column))).alias("key")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_dropped")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,34 +10,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD = "_bad_record"
-HEADER_SIGNS = 9000
 
 
-def load_csv(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",") -> DataFrame:
+def load_csv(
+    spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
     """Files with a declared schema. Headers must agree with it.
 
     Fields are read as text and cast one by one, so a line is judged by all its fields whichever of
     them a query uses. A line that does not fit is kept as text in ``_bad_record``, fields null where
-    they cannot be read.
+    they cannot be read. With ``multi_line`` a quoted value may hold line breaks and a file is read by one task;
+    without it files split, and a line whose quotes do not close is bad.
     """
     fields = T.StructType.fromDDL(schema).fields
-    texts = T.StructType([T.StructField(name, T.StringType()) for name in [*(f.name for f in fields), BAD]])
-    raw = (
+    names = [f.name for f in fields]
+    if multi_line:
+        raw = _reader(spark, names, sep).option("multiLine", True).option("enforceSchema", False).csv(paths)
+    else:
+        raw = _by_lines(spark, paths, names, sep)
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    misfit = reduce(lambda x, y: x | y, (F.col(n).isNotNull() & c.isNull() for n, c in typed.items()))
+    line = F.to_json(F.struct(*typed))
+    return raw.select(
+        *[c.alias(n) for n, c in typed.items()], F.coalesce(F.col(BAD), F.when(misfit, line)).alias(BAD)
+    )
+
+
+def _reader(spark: SparkSession, names: list[str], sep: str):
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in [*names, BAD]])
+    return (
         spark.read.schema(texts)
         .option("header", True)
-        .option("enforceSchema", False)
         .option("sep", sep)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
-        .csv(paths)
     )
-    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
-    misfit = reduce(lambda x, y: x | y, (F.col(n).isNotNull() & c.isNull() for n, c in typed.items()))
-    line = F.to_json(F.struct(*typed))
-    return raw.select(
-        *[c.alias(n) for n, c in typed.items()], F.coalesce(F.col(BAD), F.when(misfit, line)).alias(BAD)
+
+
+_BEYOND = "_beyond"
+
+
+def _by_lines(spark: SparkSession, paths: str | list[str], names: list[str], sep: str) -> DataFrame:
+    """One record a line. A column beyond the last is asked for, so every good line is short of one and comes with its text."""
+    heads = csv_headers(spark, paths, sep=re.escape(sep)).groupBy("file").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda h: F.lower(h["column"])).alias("names")
     )
+    wrong = heads.where(F.col("names") != F.array(*[F.lit(n.lower()) for n in names])).first()
+    if wrong is not None:
+        raise ValueError(f"header of {wrong['file']} is {wrong['names']}, not {names}")
+    lines = _reader(spark, [*names, _BEYOND], sep).csv(paths)
+    count = lambda text, sign: (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))) / len(sign)
+    bare = F.regexp_replace(BAD, '"[^"]*"', "")
+    bad = F.col(BAD).isNull() | (count(F.col(BAD), '"') % 2 != 0) | (count(bare, sep) != len(names) - 1)
+    line = F.coalesce(F.col(BAD), F.concat_ws(sep, *names, _BEYOND))
+    return lines.select(*names, F.when(bad, line).alias(BAD))
 
 
 def good_rows(loaded: DataFrame) -> DataFrame:
@@ -59,7 +87,7 @@ def csv_headers(
         .where("_start = 0")
         .withColumn("_line", F.monotonically_increasing_id())
         .groupBy("file")
-        .agg(F.min_by(F.substring("value", 1, HEADER_SIGNS), "_line").alias("_header"))
+        .agg(F.min_by("value", "_line").alias("_header"))
     )
     names = F.split(F.replace("_header", F.lit('"'), F.lit("")), sep)
     column = F.lower("_name") if lower else F.col("_name")

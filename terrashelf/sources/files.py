@@ -47,15 +47,18 @@ def json_documents(
 ) -> DataFrame:
     """Whole JSON files with their manifest columns; a text that is no JSON keeps a row with ``error``.
 
-    A path that names no file is an error, or no row when ``missing_ok``.
+    A document too large for a variant has a null ``document`` and its text in ``large_text``. A path that names no file is an error, or no row when ``missing_ok``.
     """
     known = _existing(spark, paths) if missing_ok else paths
     schema = "path string, size long, modification timestamp, content binary"
     found = _files(spark, known) if known else spark.createDataFrame([], schema)
-    parsed = found.select(
-        *_manifest_columns(digest), F.try_parse_json(F.decode("content", "UTF-8")).alias("document")
-    )
-    return parsed.withColumn("error", F.when(F.col("document").isNull(), "not JSON"))
+    text = F.decode("content", "UTF-8")
+    parsed = found.select(*_manifest_columns(digest), text.alias("_text"), F.try_parse_json(text).alias("document"))
+    # A document beyond what a variant holds is still JSON: its text is handed over instead.
+    large = F.col("document").isNull() & F.get_json_object("_text", "$").isNotNull()
+    return parsed.withColumn("large_text", F.when(large, F.col("_text"))).withColumn(
+        "error", F.when(F.col("document").isNull() & ~large, "not JSON")
+    ).drop("_text")
 
 
 def _existing(spark: SparkSession, paths: str | list[str]) -> list[str]:

@@ -6,54 +6,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashelf.functions import jsonobj
+from terrashelf.operators.ranking import numbered
 
 
 def _whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.text(paths, wholetext=True).select(
+    """Every file with its text, its members but the features, and the texts of its features.
+
+    Members and features are cut out as texts first and read one by one, so no size limit of a parsed value holds for
+    the whole document. Where the document itself is beyond one, its features are taken out before the rest is read.
+    """
+    files = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("_text")
     )
+    texts = F.from_json("_text", "map<string,string>")
+    named = files.withColumn("_list", F.element_at(F.map_from_entries(F.slice(F.filter(
+        F.map_entries(texts), lambda m: m["key"] == "features"), -1, 1)), F.lit("features")))
+    small = jsonobj.members(F.col("_text"))
+    rest = jsonobj.members(F.replace(F.col("_text"), F.col("_list"), F.lit("[]")))
+    return named.select(
+        "file", F.map_filter(F.coalesce(small, rest), lambda k, _: k != "features").alias("_top"),
+        F.from_json("_list", "array<string>").alias("_features"),
+    )
 
 
 def geojson_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Each collection's members except its features."""
-    return _whole_files(spark, paths).select("file", jsonobj.without(F.col("_text"), ["features"]).alias("header"))
+    """Each collection's members except its features; null with an ``error`` for a file that is no JSON object."""
+    return _whole_files(spark, paths).select(
+        "file", F.to_json("_top").alias("header"), F.when(F.col("_top").isNull(), "not a JSON object").alias("error")
+    )
 
 
 def _features(files: DataFrame) -> DataFrame:
-    top = jsonobj.members(F.col("_text"))
+    """Features one a row; a file or feature that cannot be read gives a row with an ``error``."""
+    crs = F.coalesce(F.element_at("_top", F.lit("crs")), F.parse_json(F.lit("null")))
+    rows = files.select(
+        "file", F.element_at("_top", F.lit("type")).cast("string").alias("geojson_type"),
+        F.map_from_arrays(F.array(F.lit("crs")), F.array(crs)).alias("_crs"),
+        F.when(F.col("_top").isNull(), "not a JSON object").when(F.col("_features").isNull(), "no list of features").alias("_wrong"),
+        F.posexplode_outer("_features").alias("_pos", "_feature"),
+    ).where(F.col("_wrong").isNotNull() | F.col("_pos").isNotNull())
+    return _read_features(rows.withColumn("feature_id", F.col("_pos") + 1))
+
+
+def _read_features(rows: DataFrame) -> DataFrame:
+    """``rows(..., _feature, _wrong)`` with the feature's members."""
+    part = lambda name: F.expr(f"try_variant_get(_members['{name}'], '$', 'map<string,variant>')")
+    found = rows.withColumn("_members", jsonobj.members(F.col("_feature")))
     return (
-        files.withColumn("_top", top)
-        .select(
-            "file",
-            F.element_at("_top", F.lit("type")).cast("string").alias("geojson_type"),
-            F.map_from_arrays(
-                F.array(F.lit("crs")), F.array(F.coalesce(F.element_at("_top", F.lit("crs")), F.parse_json(F.lit("null"))))
-            ).alias("_crs"),
-            F.posexplode(F.element_at("_top", F.lit("features")).cast("array<variant>")).alias("_pos", "_feature"),
-        )
-        .withColumn("_members", F.expr("try_variant_get(_feature, '$', 'map<string,variant>')"))
-        .withColumn("feature_id", F.col("_pos") + 1)
+        found.withColumn("error", F.coalesce("_wrong", F.when(F.col("_members").isNull(), "feature is no JSON object")))
         .withColumn("feature_type", F.element_at("_members", F.lit("type")).cast("string"))
-        .withColumn("_properties", F.expr("try_variant_get(_members['properties'], '$', 'map<string,variant>')"))
-        .withColumn("_geometry", F.expr("try_variant_get(_members['geometry'], '$', 'map<string,variant>')"))
+        .withColumn("_properties", part("properties"))
+        .withColumn("_geometry", part("geometry"))
     )
 
 
 def geojson_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Features as rows. The outer name joins the properties unless they hold one; crs joins the geometry.
 
-    A file is parsed by one task; deliver big collections as many files or as JSON lines.
+    A file is parsed by one task; deliver big collections as many files or as JSON lines. ``error`` says what could not be
+    read: a file that is no collection keeps one row, a feature that is none its own.
     """
     return _shaped(_features(_whole_files(spark, paths)))
 
 
 def geojson_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The same for files with one feature per line, which split over tasks; ids are line offsets per file."""
+    """The same for files with one feature per line, which split over tasks; ids count a file's lines from 1."""
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}")).alias("_text"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_feature"),
+    )
+    counted = numbered(lines, ["file"], ["_start", "_line"], "feature_id").withColumn("feature_id", F.col("feature_id").cast("int"))
+    crs = F.map_from_arrays(F.array(F.lit("crs")), F.array(F.parse_json(F.lit("null"))))
+    rows = counted.where(F.trim("_feature") != "").select(
+        "file", "feature_id", F.lit("FeatureCollection").alias("geojson_type"), crs.alias("_crs"),
+        F.lit(None).cast("string").alias("_wrong"), "_feature",
     )
-    return _shaped(_features(lines)).drop("feature_id")
+    return _shaped(_read_features(rows))
 
 
 def _shaped(features: DataFrame) -> DataFrame:
@@ -64,7 +92,7 @@ def _shaped(features: DataFrame) -> DataFrame:
     return features.select(
         "file", "feature_id", "geojson_type", "feature_type",
         F.to_json(jsonobj.merged(name, F.col("_properties"))).alias("properties"),
-        F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("geometry"),
+        F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("geometry"), "error",
     )
 
 
@@ -75,7 +103,7 @@ def geojson_features_jgeom(spark: SparkSession, paths: str | list[str], files: D
     return features.join(ids, _plain_path(F.col("file")) == F.col("_path")).select(
         "file_id", "feature_id", "feature_type",
         F.to_json("_properties").alias("properties"),
-        F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("jgeom"),
+        F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("jgeom"), "error",
     )
 
 

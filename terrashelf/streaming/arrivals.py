@@ -1,66 +1,60 @@
-"""Arrivals as a stream: subscribers and origins inserted once, batch by batch."""
+"""Arrivals as a stream: subscribers and origins inserted once, batch by batch.
+
+Nothing is kept in the stream's state: a batch is compared with the table, which holds all that came before, so rows are
+taken however late they come. Every writer puts its batches below a run of its own, so a stream that starts anew with an
+empty checkpoint never writes over what an earlier one left.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from terrashelf.operators.upsert import insert_ignore, new_subscribers
 from terrashelf.session import cut
-from terrashelf.operators.upsert import insert_ignore, new_subscribers, normal_emails
-
-
-SALTS = 16
 
 
-def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """Drop most repeats of a key that arrive within ``delay``; state is bounded by the watermark.
-
-    A hot key is spread over tasks by a salt from its times, so up to ``SALTS`` repeats may pass; the
-    batch job behind takes one of them. Watermarks need zoned timestamps, so the time goes there and
-    back; run the session in UTC.
-    """
-    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
-    salted = timed.withColumn("_salt", F.pmod(F.xxhash64(event_time), F.lit(SALTS)))
-    return salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt").withColumn(
-        event_time, F.col(event_time).cast("timestamp_ntz")
-    )
+def _others(table: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """The table without what this batch wrote itself before it was repeated."""
+    own = (F.col("run") == run) & (F.col("batch") == batch_id)
+    return table.where(~own).drop("run", "batch")
 
 
 def subscriber_writer(
-    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, delay: str = "1 hour"
+    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, run: str | None = None
 ) -> DataStreamWriter:
-    """Append new addresses to the table at ``path``.
+    """Append new addresses to the table at ``path``, which is partitioned by run and batch.
 
-    Repeats within the delay are dropped by state; older ones by the anti-join against the table.
-    Each batch writes its own folder by overwrite, so a repeated batch leaves no second copy: its
-    own earlier output is not part of what ``read_table`` is compared with.
+    Repeats within a batch are folded, known addresses dropped by the anti-join against the table. A batch that is
+    repeated overwrites its own folder.
     """
-    cleaned = first_arrivals(normal_emails(arrivals), "email", "signature_date", delay)
+    name = run or uuid.uuid4().hex
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        known = read_table().where(F.col("batch") != batch_id)
+        known = _others(read_table(), name, batch_id)
         new_subscribers(known, batch.select("email", "signature_date")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
+            f"{path}/run={name}/batch={batch_id}"
         )
 
-    return cleaned.writeStream.foreachBatch(append)
+    return arrivals.writeStream.foreachBatch(append)
 
 
 def origin_writer(
-    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, keys: list[list[str]], delay: str = "1 hour"
+    arrivals: DataFrame, read_table: Callable[[], DataFrame], path: str, keys: list[list[str]], run: str | None = None
 ) -> DataStreamWriter:
     """Append origins whose unique keys are free, batch by batch, first come first served."""
-    cleaned = first_arrivals(arrivals, "fhash", "ingest_instant", delay)
+    name = run or uuid.uuid4().hex
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        known = read_table().where(F.col("batch") != batch_id).drop("batch")
+        known = _others(read_table(), name, batch_id)
         # Written once, so that every step sees the same numbers.
         arrived = cut(batch.withColumn("_order", F.monotonically_increasing_id()))
         insert_ignore(known, arrived, keys, "_order").drop("_order").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
+            f"{path}/run={name}/batch={batch_id}"
         )
 
-    return cleaned.writeStream.foreachBatch(append)
+    return arrivals.writeStream.foreachBatch(append)

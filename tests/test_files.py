@@ -43,6 +43,26 @@ def test_load_csv(spark, tmp_path):
         csvfiles.load_csv(spark, str(wrong), schemas.DONOR_FILE).collect()
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id,t,u\n1,"two\nlines",x\n2,plain,\n3,"say ""hi""",y\n4,short\n5,a,b,c\n')
+    whole = csvfiles.load_csv(spark, str(path), "id INT, t STRING, u STRING")
+    assert rows(csvfiles.good_rows(whole)) == [(1, "two\nlines", "x"), (2, "plain", None), (3, 'say "hi"', "y")]
+    lines = csvfiles.load_csv(spark, str(path), "id INT, t STRING, u STRING", multi_line=False)
+    assert rows(csvfiles.good_rows(lines)) == [(2, "plain", None), (3, 'say "hi"', "y")]
+    bad = {r[0] for r in lines.where("_bad_record IS NOT NULL").select("_bad_record").collect()}
+    assert bad == {'1,"two', 'lines",x', "4,short", "5,a,b,c"}
+    with pytest.raises(ValueError):
+        csvfiles.load_csv(spark, str(path), "id INT, t STRING", multi_line=False)
+
+
+def test_wide_header(spark, tmp_path):
+    names = [f"column_number_{i}" for i in range(1000)]
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    found = csvfiles.csv_headers(spark, str(tmp_path / "w.csv")).orderBy("position")
+    assert [r.column for r in found.collect()] == names
+
+
 def test_manifest_and_documents(spark, tmp_path):
     (tmp_path / "good.json").write_text('{"a": 1}')
     (tmp_path / "bad.json").write_text("{a")
@@ -50,6 +70,7 @@ def test_manifest_and_documents(spark, tmp_path):
     found = files.file_manifest(spark, f"{tmp_path}/*.json", "md5")
     assert sorted(r["size"] for r in found.collect()) == [0, 2, 8]
     docs = files.json_documents(spark, f"{tmp_path}/*.json")
+    assert docs.where("large_text IS NOT NULL").count() == 0
     shown = docs.select(F.regexp_extract("path", r"(\w+)\.json$", 1), F.to_json("document"), "error")
     assert rows(shown) == [("bad", None, "not JSON"), ("empty", None, "not JSON"), ("good", '{"a":1}', None)]
     with pytest.raises(Exception):
@@ -81,7 +102,21 @@ def test_geojson(spark, tmp_path):
     ]
     (tmp_path / "b.geojsonl").write_text("\n".join(json.dumps(f) for f in features))
     lines = geojson.geojson_lines(spark, str(tmp_path / "b.geojsonl"))
-    assert sorted(r.properties for r in lines.collect()) == ['{"name":"in"}', '{"name":"out","x":1}', '{"name":null,"x":2}']
+    assert rows(lines.select("feature_id", "properties")) == [(1, '{"name":"in"}'), (2, '{"name":"out","x":1}'), (3, '{"name":null,"x":2}')]
+
+
+def test_geojson_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": [')
+    (tmp_path / "b.geojson").write_text('{"type": "FeatureCollection", "features": [], "n": 1.10}')
+    (tmp_path / "c.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature"}, 7]}')
+    (tmp_path / "d.geojson").write_text('{"type": "Topology"}')
+    name = F.regexp_extract("file", r"(\w)\.geojson$", 1).alias("name")
+    found = geojson.geojson_features(spark, f"{tmp_path}/*.geojson").select(name, "feature_id", "error")
+    assert rows(found) == [
+        ("a", None, "not a JSON object"), ("c", 1, None), ("c", 2, "feature is no JSON object"), ("d", None, "no list of features"),
+    ]
+    heads = geojson.geojson_headers(spark, f"{tmp_path}/*.geojson").select(name, "header", "error")
+    assert rows(heads)[:2] == [("a", None, "not a JSON object"), ("b", '{"type":"FeatureCollection","n":1.1}', None)]
 
 
 def test_table_export(spark, tmp_path):

@@ -106,6 +106,8 @@ def test_next_pack_by_meaning(spark):
     ('{"a":null}', "{}"),
     ('{"a":{"b":null,"c":[null,{"d":null,"e":1}]}}', '{"a":{"c":[null,{"e":1}]}}'),
     ("[null,1]", "[null,1]"),
+    ('{"a":{"b":null},"n":12345678901234567.25,"e":1E400,"i":123456789012345678901234567890}',
+     '{"a":{},"n":12345678901234567.25,"e":1E400,"i":123456789012345678901234567890}'),
     ('{"a":": null"}', '{"a":": null"}'),
     ("nonsense", None),
     (None, None),
@@ -115,6 +117,12 @@ def test_strip_nulls(spark, given, expected):
     assert df.select(jsonobj.strip_nulls(F.col("x"))).first()[0] == expected
 
 
+def test_dropped_names(spark):
+    given = ['{"a":null,"b":1}', '{"a":{"b":null,"c":[{"d":null}]},"e":null}', "[null]", "x", None]
+    df = spark.createDataFrame([(g,) for g in given], "j string")
+    assert rows(jsonstats.dropped_keys(df, "j")) == [("a", 1), ("a.b", 1), ("a.c.d", 1), ("e", 1)]
+
+
 def test_strip_nulls_empty(spark):
     assert one(spark, jsonobj.strip_nulls(F.lit('{"a":null}'), keep_empty=False)) is None
 

@@ -39,7 +39,7 @@ def _pack_delivery(spark, sf_dir) -> str:
     null = F.lit(None).cast("string")
     read(spark, sf_dir, "orders").select(
         F.when(i % 97 == 5, F.concat(F.lit("x"), _text("o_orderkey"))).otherwise(_text("o_orderkey")).alias("pack_id"),
-        F.col("o_custkey").alias("donor_id"), F.concat(F.lit('Say "'), _text("o_custkey"), F.lit('", twice')).alias("donor_label"),
+        F.col("o_custkey").alias("donor_id"), F.concat(F.lit('Say "'), _text("o_custkey"), F.lit('",\ntwice')).alias("donor_label"),
         F.col("o_orderpriority").alias("user_resp"), F.col("o_orderdate").cast("date").alias("accepted_date"),
         F.col("o_orderstatus").alias("escopo"), null.alias("about"), null.alias("author"),
         F.lit("2022").alias("contentReferenceTime"), F.lit("yes").alias("license_is_explicit"), F.lit("CC0").alias("license"),
@@ -152,6 +152,20 @@ def geojson_features_by_file_id(spark, sf_dir):
     return found.select("file_id", "feature_id", "feature_type", "properties", "jgeom")
 
 
+def geojson_lines(spark, sf_dir):
+    """Customers as features, one a line; every 60th line is cut short."""
+    i = F.col("c_custkey")
+    feature = F.concat(
+        F.lit('{"type":"Feature","name":"n'), _text("c_custkey"), F.lit('","properties":{"segment":"'), F.col("c_mktsegment"),
+        F.lit('"},"geometry":{"type":"Point","coordinates":[1.10,'), (i % 90).cast("string"), F.lit("]}"),
+    )
+    rows = read(spark, sf_dir, "customer").select(
+        F.floor(i / PER_FILE).alias("bucket"), "c_custkey", F.when(i % 60 == 7, feature).otherwise(F.concat(feature, F.lit("}"))).alias("value")
+    )
+    found = geojson.geojson_lines(spark, f"{_write_texts(rows, 'lines', 'c_custkey')}/bucket=*/*.txt")
+    return found.select(_bucket_of("file"), "feature_id", "feature_type", "properties", "error")
+
+
 def table_export_rows(spark, sf_dir):
     """A crosswalk of suppliers as a tab-separated export with arrays, flags and geometry, read again."""
     i = F.col("s_suppkey")
@@ -215,7 +229,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_declared_csv, bad_csv_records, csv_header_inventory, csv_header_drift, csv_header_positions, file_manifest,
-        json_documents, geojson_headers, geojson_features, geojson_features_by_file_id, table_export_rows, csv_export,
+        json_documents, geojson_headers, geojson_features, geojson_lines,
+        geojson_features_by_file_id, table_export_rows, csv_export,
         geojson_feature_export, answer_formats,
     )
 }
@@ -233,12 +248,12 @@ _NTH = "CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey)
 
 ORACLE = {
     "load_declared_csv": """
-        SELECT o_orderkey AS pack_id, o_custkey AS donor_id, 'Say "' || o_custkey || '", twice' AS donor_label,
+        SELECT o_orderkey AS pack_id, o_custkey AS donor_id, 'Say "' || o_custkey || '",' || chr(10) || 'twice' AS donor_label,
                o_orderpriority AS user_resp, CAST(o_orderdate AS DATE) AS accepted_date, o_orderstatus AS escopo,
                CAST(NULL AS VARCHAR) AS about, 'yes' AS license_is_explicit
         FROM orders WHERE o_orderkey % 97 <> 5""",
     "bad_csv_records": """
-        SELECT o_custkey AS donor_id, 'Say "' || o_custkey || '", twice' AS donor_label, TRUE AS no_pack_id FROM orders
+        SELECT o_custkey AS donor_id, 'Say "' || o_custkey || '",' || chr(10) || 'twice' AS donor_label, TRUE AS no_pack_id FROM orders
         WHERE o_orderkey % 97 = 5""",
     "csv_header_inventory": _HEADS,
     "csv_header_drift": f"""
@@ -267,6 +282,11 @@ ORACLE = {
                     ELSE '{{"name":' || {_NAME} || ',"segment":"' || c_mktsegment || '"}}' END AS properties,
                '{{"crs":' || {_CRS} || ',' || {_POINT} AS geometry
         FROM customer""",
+    "geojson_lines": f"""
+        SELECT c_custkey // 50 AS bucket, {_NTH} AS feature_id, CASE WHEN c_custkey % 60 <> 7 THEN 'Feature' END AS feature_type,
+               CASE WHEN c_custkey % 60 <> 7 THEN '{{"name":"n' || c_custkey || '","segment":"' || c_mktsegment || '"}}' END AS properties,
+               CASE WHEN c_custkey % 60 = 7 THEN 'feature is no JSON object' END AS error
+        FROM customer""",
     "geojson_features_by_file_id": f"""
         SELECT c_custkey // 50 * 10 + 7 AS file_id, {_NTH} AS feature_id, 'Feature' AS feature_type,
                '{{' || CASE WHEN c_custkey % 4 >= 2 THEN '"name":' || {_NAME} || ',' ELSE '' END

@@ -15,31 +15,39 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(read(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _finish(writer, spark):
-    query = writer.option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+def _finish(writer, spark) -> str:
+    """Run the stream over all of its input; gives its checkpoint."""
+    checkpoint = scratch_path(spark, "stream")
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return checkpoint
 
 
 def slot_stream(spark, sf_dir):
-    """Ten-minute counts per event type; slots within the delay of the last event are still open at the end."""
+    """Ten-minute counts per event type; slots within the delay of the last event are marked as still open."""
     counts = slotstream.slot_stream(_stream(spark, sf_dir, "events"), "ts", 10, ["event_type"], "30 minutes")
     path = scratch_path(spark, "slots")
-    _finish(counts.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
-    return spark.read.parquet(path)
+    checkpoint = _finish(counts.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    closed = spark.read.schema(counts.schema).parquet(path).withColumn("is_open", F.lit(False))
+    still = slotstream.open_slots(spark, checkpoint, ["event_type"]).withColumn("is_open", F.lit(True))
+    return closed.unionByName(still)
 
 
 def subscriber_stream(spark, sf_dir):
-    """Arrivals as a stream on top of the known subscribers; the table afterwards."""
+    """Arrivals as a stream of several files, the latest first, on top of the known subscribers; the table afterwards."""
     path = scratch_path(spark, "subscribers")
     known = maintenance.subscribers(spark, sf_dir).select(
         "cust_id", "email", "signature_date", F.lit(False).alias("is_valid"), F.lit(False).alias("confirmed")
     )
-    known.write.parquet(f"{path}/batch=-1")
+    known.write.parquet(f"{path}/run=start/batch=-1")
     i = F.col("event_id")
-    events = _stream(spark, sf_dir, "events").select(
+    sent = scratch_path(spark, "events")
+    rows = read(spark, sf_dir, "events").select(
         F.when(i % 10 == 4, "a@").otherwise(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("@x.org "))).alias("email"),
         F.col("ts").alias("signature_date"),
     )
+    rows.repartitionByRange(4, F.desc("signature_date")).write.parquet(sent)
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(sent)
     _finish(arrivals.subscriber_writer(events, lambda: spark.read.parquet(path), path), spark)
     table = spark.read.parquet(path)
     return table.select("email", "is_valid", (F.col("batch") >= 0).alias("is_new"))
@@ -52,7 +60,7 @@ def origin_stream(spark, sf_dir):
     rows = tables.origin(spark, sf_dir)
     rows.where(F.col("l_suppkey") % 4 == 0).groupBy("fhash").agg(
         F.min("fname").alias("fname"), F.min("ingest_instant").alias("ingest_instant")
-    ).select(*columns).write.parquet(f"{path}/batch=-1")
+    ).select(*columns).write.parquet(f"{path}/run=start/batch=-1")
     streamed = _stream(spark, sf_dir, "lineitem").select(
         F.sha2(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]), 256).alias("fhash"),
         F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".zip")).alias("fname"),
@@ -72,8 +80,9 @@ _SLOT = (
 ORACLE = {
     "slot_stream": f"""
         WITH s AS (SELECT {_SLOT} AS slot, event_type FROM events)
-        SELECT slot, event_type, count(*) AS n FROM s
-        WHERE slot + INTERVAL 10 MINUTE <= (SELECT max(slot) FROM s) - INTERVAL 30 MINUTE GROUP BY 1, 2""",
+        SELECT slot, event_type, count(*) AS n,
+               slot + INTERVAL 10 MINUTE > (SELECT max(slot) FROM s) - INTERVAL 30 MINUTE AS is_open
+        FROM s GROUP BY 1, 2""",
     "subscriber_stream": """
         WITH known AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)
         SELECT 'u' || user_id || '@x.org' AS email, FALSE AS is_valid, user_id % 3 <> 0 AS is_new FROM (
