@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +31,15 @@ def fitted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     written = cut(df)
     size = written.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     return F.broadcast(written) if size <= limit else written
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None] | None = None) -> None:
+    """What a Python process keeps between tasks is operator ``name``'s from now on; what others kept is let go."""
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+        pa.default_memory_pool().release_unused()
+    if forget is not None:
+        _kept[name] = forget

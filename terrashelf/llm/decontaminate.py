@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import UPPER, lowered, table
+from terrashelf.llm.common import UPPER, claim, lowered, table
 from terrashelf.session import cut
 
 WINDOW = 10
@@ -175,15 +175,16 @@ _FOUND = {"n_words": pa.int64(), "hit_runs": pa.list_(pa.int64()), "longest": pa
 _FOUND_DDL = "n_words long, hit_runs array<long>, longest long, items array<string>"
 
 
-def _judge(shared):
-    """Rows that end in _text, or in _text and the columns found so far, with the hits of one slice added."""
+def _judge(shared, text: str):
+    """Rows with the hits of one slice added to what is found so far; ``text`` names the column that is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
+        claim("decontaminate")
         for batch in batches:
             before = batch.select(list(_FOUND)).to_pylist() if "n_words" in batch.schema.names else repeat(None)
             rows = []
-            for value, known in zip(pc.cast(batch.column("_text"), pa.binary()), before):
+            for value, known in zip(pc.cast(batch.column(text), pa.binary()), before):
                 words = words_of(value.as_py() or b"")
                 hit, longest, items = automaton.hits(words)
                 names = {str(i) for i in items if i is not None}
@@ -203,11 +204,13 @@ def _judge(shared):
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None,
               window: int = WINDOW, limit: int = SLICE_WORDS) -> DataFrame:
     """The columns ``keep`` (all by default) with n_words, hit_runs (starts and ends of hit words), longest and items."""
-    rows = docs.select(*(c for c in keep or docs.columns if c not in _FOUND), F.col(text).alias("_text"))
+    names = [c for c in keep or docs.columns if c not in _FOUND]
+    column = text if text in names else "_text"
+    rows = docs.select(*names) if text in names else docs.select(*names, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     for number, listed in enumerate(item_slices(items, limit=limit)):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))
-        rows = (rows if number == 0 else cut(rows)).mapInArrow(_judge(shared), f"{fields}, {_FOUND_DDL}")
+        rows = (rows if number == 0 else cut(rows)).mapInArrow(_judge(shared, column), f"{fields}, {_FOUND_DDL}")
     return rows.drop("_text")
 
 

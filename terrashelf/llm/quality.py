@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import table
+from terrashelf.llm.common import claim, table
 
 #: Places of words and of shapes, and length of their vectors.
 WORDS, SHAPES, SIZE = 1 << 14, 1 << 10, 48
@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 3, 1
 #: Places of the table that are summed together.
 RANGE = 272
 #: Tokens that a Python process keeps the places of; at more it starts afresh.
-KEPT_TOKENS = 500_000
+KEPT_TOKENS = 200_000
 _SPAN = 1 << 19
 _CLASSES = bytes(
     ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b
@@ -81,8 +81,9 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return where, rng.choice(np.array([-1.0, 1.0]), size=where.shape)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    return (t.as_py() or b"" for t in pc.cast(batch.column("_text"), pa.binary()))
+def _texts(batch: pa.RecordBatch, column: str = "_text") -> Iterator[bytes]:
+    claim("quality", _places.clear)
+    return (t.as_py() or b"" for t in pc.cast(batch.column(column), pa.binary()))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,25 +270,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     return vectors, fit(x, np.array([r.label for r in found]))
 
 
-def _scorer(shared):
+def _scorer(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for batch in batches:
-            x = np.array([pooled(t, vectors) for t in _texts(batch)], dtype=np.float64).reshape(-1, 2 * SIZE)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(net.probability(x))], names=[*batch.schema.names[:-1], "_score"]
-            )
+            x = np.array([pooled(t, vectors) for t in _texts(batch, column)], dtype=np.float64).reshape(-1, 2 * SIZE)
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "_text"}
+            yield pa.RecordBatch.from_pydict({**columns, "_score": pa.array(net.probability(x))})
 
     return run
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and _score, the probability of label 1."""
-    rows = docs.select(*(keep or docs.columns), F.col("text").alias("_text"))
+    names = keep or docs.columns
+    column = "text" if "text" in names else "_text"
+    rows = docs.select(*names) if column == "text" else docs.select(*names, F.col("text").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scorer(shared), f"{fields}, _score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    return rows.mapInArrow(_scorer(shared, column), f"{fields}, _score double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import fitted, table
+from terrashelf.llm.common import claim, fitted, table
 from terrashelf.session import scratch_path
 
 #: Fixed values of the format.
@@ -92,6 +92,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        claim("records", cls._open.clear)
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]

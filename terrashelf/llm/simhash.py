@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import fitted, table
+from terrashelf.llm.common import claim, fitted, table
 from terrashelf.session import cut
 
 SHINGLE = 4
@@ -69,6 +69,7 @@ def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
 
 def _printer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             texts = pc.cast(batch.column("_text"), pa.binary())
             found = np.fromiter(
