@@ -14,10 +14,20 @@ def row_checks(df: DataFrame, name: Column, checks: dict[str, Column]) -> DataFr
     )
 
 
+def not_null_checks(columns: list[str]) -> dict[str, Column]:
+    return {f"{c} is null": F.col(c).isNotNull() for c in columns}
+
+
+# Columns that may not be null.
+DONOR_REQUIRED = ["id", "legalname"]
+PACK_REQUIRED = ["pack_id", "donor_id", "user_resp", "accepted_date", "escopo"]
+ORIGIN_REQUIRED = ["id", "jurisd_osm_id", "ctype", "pack_id", "fhash", "fname", "fversion", "is_valid", "is_open"]
+
+
 def jurisdiction_checks() -> dict[str, Column]:
     required = ["osm_id", "jurisd_base_id", "jurisd_local_id", "admin_level", "name", "parent_abbrev", "lexlabel", "isolabel_ext"]
     return {
-        **{f"{c} is null": F.col(c).isNotNull() for c in required},
+        **not_null_checks(required),
         "admin_level out of 1..99": F.col("admin_level").between(1, 99),
         "name of 60 or more signs": F.length("name") < 60,
         "abbrev not of 2..5 signs": F.length("abbrev").between(2, 5),

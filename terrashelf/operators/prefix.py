@@ -64,19 +64,21 @@ def containing(needles: DataFrame, needle: str, rows: DataFrame, key: str, text:
             )
         ).alias("_gram"),
     ))
+    # Only lengths that some needle's piece has, and one narrow table of (row, piece) that both later steps read.
+    sizes = F.coalesce(lengths_of(wanted, "_gram"), F.array().cast("array<int>"))
     texts = rows.select(F.col(key).alias("_row"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
-    pieces = texts.select(
-        "_row", "_text",
-        F.explode(
-            F.concat(grams(F.col("_text"), 1), grams(F.col("_text"), 2), grams(F.col("_text"), 3))
-        ).alias("_gram"),
-    ).join(hinted(wanted.select("_gram").distinct()), "_gram", "left_semi")
+    cuts = [F.when(F.array_contains("_sizes", n), grams(F.col("_text"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    pieces = cut(
+        texts.withColumn("_sizes", sizes).select("_row", F.explode(F.concat(*cuts)).alias("_gram"))
+        .join(hinted(wanted.select("_gram").distinct()), "_gram", "left_semi")
+    )
     counts = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = wanted.join(counts, "_gram").groupBy("_needle").agg(
         F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram")
     )
+    candidates = pieces.join(measured(rarest), "_gram").select("_row", "_needle")
     return (
-        pieces.join(measured(rarest), "_gram")
+        texts.join(measured(candidates), "_row")
         .where(F.contains("_text", "_needle"))
         .select(F.col("_needle").alias(needle), F.col("_row").alias(key))
     )

@@ -209,23 +209,33 @@ def _fact_keys(asked: DataFrame, jurisdiction: DataFrame, pack: DataFrame, donor
 
 
 def _origins_found(asked: DataFrame, keyed: DataFrame, origin: DataFrame) -> DataFrame:
+    """Matches on narrow rows of id, kind and key, only for kinds that are asked; the payload joins once at the end."""
     lengths = lengths_of(asked.where(F.col("kind") == "hash"), "key")
-    wanted = keyed.select("uri", "n_requests", F.col("kind").alias("asked_as"), F.col("found_by").alias("kind"), "key")
+    wanted = measured(
+        keyed.select("uri", "n_requests", F.col("kind").alias("asked_as"), F.col("found_by").alias("kind"), "key")
+    )
     entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"))
-    by_hash = _beginnings("hash", F.col("fhash"), F.col("_n"))
-    entries = F.concat(
-        F.array(entry("jurisdiction", "jurisd_osm_id"), entry("pack", "pack_id"), entry("id", "id")), by_hash
+    direct = F.array(entry("jurisdiction", "jurisd_osm_id"), entry("pack", "pack_id"), entry("id", "id"))
+    # Four kinds at most.
+    kinds = wanted.agg(F.collect_set("kind")).scalar()
+    listed = (
+        origin.select("id", "jurisd_osm_id", "pack_id", "fhash").withColumns({"_n": lengths, "_kinds": kinds})
+        .withColumn("_entries", F.concat(direct, _beginnings("hash", F.col("fhash"), F.col("_n"))))
+        .select("id", F.explode(F.filter("_entries", lambda e: F.array_contains("_kinds", e["kind"]))).alias("_entry"))
+        .select("id", "_entry.kind", "_entry.key")
     )
-    listed = origin.withColumn("_n", lengths).withColumn("_entry", F.explode(entries))
-    listed = listed.select(*origin.columns, F.col("_entry.kind").alias("kind"), F.col("_entry.key").alias("key"))
-    return listed.join(measured(wanted), ["kind", "key"]).select("uri", "n_requests", F.col("asked_as").alias("kind"), *origin.columns)
+    found = listed.join(wanted, ["kind", "key"]).select("id", "uri", "n_requests", F.col("asked_as").alias("kind"))
+    return origin.join(measured(found), "id").select("uri", "n_requests", "kind", *origin.columns)
 
 
 def origins(
     requests: DataFrame, origin: DataFrame, jurisdiction: DataFrame, content_type: DataFrame, pack: DataFrame,
     donor: DataFrame,
 ) -> DataFrame:
-    """Origins by jurisdiction, donor, state, id or hash beginning, with ``kx`` from the joined tables."""
+    """Origins by jurisdiction, donor, state, id or hash beginning, with ``kx`` from the joined tables.
+
+    ``origin`` has one row per id.
+    """
     asked = _origin_requests(requests)
     found = _origins_found(asked, _fact_keys(asked, jurisdiction, pack, donor), origin)
     starred = star(found, jurisdiction, content_type, pack, donor)
@@ -253,7 +263,10 @@ def answer_counts(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def unanswered(requests: DataFrame, answers: DataFrame, errors: dict[int, str]) -> DataFrame:
-    """Requests that matched nothing, with an error code: -1 empty, -2 one part only, -3 not found."""
+    """Requests that matched nothing, with an error code: -1 empty, -2 one part only, -3 not found.
+
+    The empty request lists the whole table, so it is unanswered only if the table is empty.
+    """
     lost = _distinct(requests).join(answers.select("uri").distinct(), "uri", "left_anti")
     code = F.when(F.col("uri") == "", -1).when(F.col("p2").isNull(), -2).otherwise(-3)
     message = F.when(code == -1, errors[-1]).when(code == -2, errors[-2]).otherwise(errors[-3])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from terrashelf import schemas
 from terrashelf.operators import audit
 from terrashelf.operators.upsert import insert_ignore, upsert_donors, upsert_packs
 from terrashelf.session import cut
-from terrashelf.sources.csvfiles import good_rows, load_csv
+from terrashelf.sources.csvfiles import BAD, good_rows, load_csv
 
 
 def refresh(
@@ -18,7 +20,8 @@ def refresh(
     """Next versions of jurisdiction, donor and donatedPack from CSV folders, each written to a new path.
 
     Jurisdictions are insert-ignore over all their unique keys; donors and packs are upserted by id.
-    ``action`` says what became of each row. Packs refer to users and donors, so those come first.
+    ``action`` says what became of each row. Packs refer to users and donors, so those come first. Lines that cannot be
+    read stay out; ``rejected_lines`` counts them.
     """
     sent = good_rows(load_csv(spark, deliveries["jurisdiction"], schemas.JURISDICTION))
     ordered = cut(sent.withColumn("_order", F.monotonically_increasing_id()))
@@ -36,6 +39,21 @@ def refresh(
     }
 
 
+FILE_SCHEMAS = {
+    "jurisdiction": schemas.JURISDICTION, "donor": schemas.DONOR_FILE, "donatedPack": schemas.PACK_FILE,
+}
+
+
+def rejected_lines(spark: SparkSession, deliveries: dict[str, str]) -> DataFrame:
+    """Lines of each delivery that do not fit its declared columns, in the form of ``outcome_table``; zero included."""
+    counted = [
+        load_csv(spark, deliveries[name], schema).agg(F.count_if(F.col(BAD).isNotNull()).alias("n_rows"))
+        .select(F.lit(name).alias("table"), F.lit("rejected").alias("action"), "n_rows")
+        for name, schema in FILE_SCHEMAS.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def outcome_table(versions: dict[str, DataFrame]) -> DataFrame:
     """Rows per table and action."""
     counted = [

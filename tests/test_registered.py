@@ -20,8 +20,11 @@ def test_query(spark, con, name):
     assert good, note
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+def test_every_catalogue_query_has_sql():
+    """Queries of the data preparation operators may do without; their own tests hold them against brute force."""
+    for module in entry.MODULES:
+        if module.__name__.startswith("workload."):
+            assert set(module.QUERIES) == set(module.ORACLE)
 
 
 def test_entry(spark):

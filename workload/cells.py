@@ -241,14 +241,21 @@ def pack_id_collisions(spark, sf_dir):
     return _texts(packs.colliding_forms(audit, "written"), "pack_id")
 
 
-def highest_pack(spark, sf_dir):
+def _pack_rows(spark, sf_dir):
     from terrashelf.functions import packid
 
-    rows = read(spark, sf_dir, "orders").select(
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("user_resp"),
         packid.from_parts(F.col("o_orderkey"), (F.col("o_custkey") % 900).cast("int")).alias("pack_id"),
     )
-    return _texts(packs.highest(rows, ["user_resp"]), "max_pack_id", "next_pack_id")
+
+
+def highest_pack(spark, sf_dir):
+    return _texts(packs.highest(_pack_rows(spark, sf_dir), ["user_resp"]), "max_pack_id", "next_pack_id")
+
+
+def highest_pack_of_table(spark, sf_dir):
+    return _texts(packs.highest(_pack_rows(spark, sf_dir), []), "max_pack_id", "next_pack_id")
 
 
 QUERIES = {
@@ -257,7 +264,7 @@ QUERIES = {
         cell_statistics, cell_shares, share_text, count_text_with_links, rollup, rollup_mixed_keys, rollup_with_floor,
         longest_prefix, crosswalk_cells, crosswalk_overlaps, json_key_profile, json_object_sizes, json_without_nulls,
         dropped_json_keys, json_member, json_array_elements, json_element_counts, flag_outcomes, slot_counts,
-        slot_counts_text, pack_id_audit, pack_id_collisions, highest_pack,
+        slot_counts_text, pack_id_audit, pack_id_collisions, highest_pack, highest_pack_of_table,
     )
 }
 
@@ -387,4 +394,10 @@ ORACLE = {
         FROM (SELECT o_orderpriority AS user_resp, max(o_orderkey) AS p,
                      arg_max(CASE WHEN o_custkey % 900 <= 0 THEN 1 ELSE o_custkey % 900 END, o_orderkey) AS v
               FROM orders GROUP BY 1)""",
+    "highest_pack_of_table": """
+        SELECT CAST(CAST(p AS DECIMAL(13,3)) + CAST(v AS DECIMAL(13,3)) / 1000 AS DECIMAL(13,3))::VARCHAR AS max_pack_id,
+               CAST(CAST(p AS DECIMAL(13,3)) + CAST(v + 1 AS DECIMAL(13,3)) / 1000 AS DECIMAL(13,3))::VARCHAR AS next_pack_id
+        FROM (SELECT max(o_orderkey) AS p,
+                     arg_max(CASE WHEN o_custkey % 900 <= 0 THEN 1 ELSE o_custkey % 900 END, o_orderkey) AS v
+              FROM orders)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrashelf import schemas
 from terrashelf.operators import audit, upsert
 from terrashelf.plans import refresh
+from terrashelf.session import scratch_path
 from workload import tables
 from workload.tables import read, with_tables
 
@@ -27,6 +28,64 @@ def row_checks(spark, sf_dir):
     return audit.row_checks(spoiled, F.col("osm_id"), audit.jurisdiction_checks())
 
 
+def table_row_checks(spark, sf_dir):
+    """Donors, packs and files with required values taken away."""
+    gone = lambda by, k, c: F.when(by % k == 0, None).otherwise(F.col(c))
+    i, p, f = F.col("id"), F.col("pack_id"), F.col("pack_id") + F.col("jurisd_osm_id")
+    donor = tables.donor(spark, sf_dir).withColumn("legalname", gone(i, 7, "legalname"))
+    pack = tables.pack(spark, sf_dir).withColumns({"user_resp": gone(p, 11, "user_resp"), "escopo": gone(p, 13, "escopo")})
+    origin = tables.origin(spark, sf_dir).withColumns({"fname": gone(f, 17, "fname"), "is_open": gone(f, 19, "is_open")})
+    checks = (
+        ("donor", donor, "id", audit.DONOR_REQUIRED), ("donatedPack", pack, "pack_id", audit.PACK_REQUIRED),
+        ("origin", origin, "id", audit.ORIGIN_REQUIRED),
+    )
+    found = [
+        audit.row_checks(df, F.col(key), audit.not_null_checks(columns)).withColumn("table", F.lit(name))
+        for name, df, key, columns in checks
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _refresh(spark, sf_dir):
+    """An ingest run: towns by sevens as new places with the countries again, donors by threes, packs by fives, some lines bad.
+
+    The tables hold the places above the towns, every second donor and every second pack.
+    """
+    number = lambda c, bad: F.when(bad, F.concat(F.lit("x"), _text(c))).otherwise(_text(c)).alias(c)
+    j, d, p = (getattr(tables, n)(spark, sf_dir) for n in ("jurisdiction", "donor", "pack"))
+    town, i, k = F.col("osm_id") - 100000, F.col("id"), F.col("pack_id")
+    places = j.where((F.col("admin_level") == 2) | ((F.col("admin_level") == 8) & (town % 7 == 0)))
+    donors = d.where(i % 3 == 0).select(
+        number("id", i % 30 == 0), F.col("scope").alias("escopo"), F.lit("two\nlines").alias("shortName"), "vat_id",
+        F.col("legalname").alias("legalName"), "wikidata_id", "url",
+    )
+    null = F.lit(None).cast("string")
+    packs = p.where(k % 5 == 0).select(
+        number("pack_id", k % 50 == 0), "donor_id", null.alias("donor_label"), "user_resp",
+        F.trunc("accepted_date", "year").alias("accepted_date"), F.lit("BR").alias("escopo"),
+        F.concat(F.lit("about "), _text("pack_id")).alias("about"), null.alias("author"), null.alias("contentReferenceTime"),
+        F.lit("no").alias("license_is_explicit"), null.alias("license"), null.alias("uri_objType"), null.alias("uri"),
+        null.alias("isAt_UrbiGIS"),
+    )
+    rows = places.select(number("osm_id", town % 70 == 0), *[c for c in j.columns if c != "osm_id"])
+    sent = {}
+    for name, df in (("jurisdiction", rows), ("donor", donors), ("donatedPack", packs)):
+        sent[name] = scratch_path(spark, name)
+        df.write.option("header", True).option("escape", '"').csv(sent[name])
+    now = {"jurisdiction": j.where("admin_level < 8"), "donor": d.where(i % 2 == 0), "donatedPack": p.where(k % 2 == 0)}
+    return refresh.refresh(spark, now, sent, do_update=True), refresh.rejected_lines(spark, sent)
+
+
+def refresh_outcomes(spark, sf_dir):
+    new, rejected = _refresh(spark, sf_dir)
+    return refresh.outcome_table(new).unionByName(rejected)
+
+
+def refresh_conflicts(spark, sf_dir):
+    """Unique keys that the run's tables would break: delivered packs of one donor share scope and, by year, their day."""
+    return refresh.key_conflicts(_refresh(spark, sf_dir)[0])
+
+
 def duplicate_keys(spark, sf_dir):
     origins = tables.origin(spark, sf_dir)
     return audit.duplicate_keys(origins, schemas.ORIGIN_KEYS)
@@ -173,7 +232,7 @@ def rejected_emails(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        row_checks, duplicate_keys, broken_references, same_content, same_content_names, insert_ignore_jurisdictions,
+        row_checks, table_row_checks, refresh_outcomes, refresh_conflicts, duplicate_keys, broken_references, same_content, same_content_names, insert_ignore_jurisdictions,
         insert_ignore_files, upsert_donors, upsert_donors_insert_only, upsert_packs, donor_search_key, new_subscribers,
         rejected_emails,
     )
@@ -222,6 +281,34 @@ ORACLE = {
                    CASE WHEN osm_id % 6 = 0 THEN 'A' WHEN osm_id % 13 = 0 THEN NULL ELSE abbrev END AS abbrev,
                    CASE WHEN osm_id % 9 = 0 THEN NULL ELSE lexlabel END AS lexlabel
             FROM jurisdiction"""),
+    "table_row_checks": with_tables("donor pack origin", """
+        SELECT FALSE AS is_valid, CAST(id AS VARCHAR) AS name, 'legalname is null' AS invalid_explain, 'donor' AS "table"
+        FROM donor WHERE id % 7 = 0
+        UNION ALL SELECT FALSE, CAST(pack_id AS VARCHAR), 'user_resp is null', 'donatedPack' FROM pack WHERE pack_id % 11 = 0
+        UNION ALL SELECT FALSE, CAST(pack_id AS VARCHAR), 'escopo is null', 'donatedPack' FROM pack WHERE pack_id % 13 = 0
+        UNION ALL SELECT FALSE, CAST(id AS VARCHAR), 'fname is null', 'origin' FROM origin WHERE (pack_id + jurisd_osm_id) % 17 = 0
+        UNION ALL SELECT FALSE, CAST(id AS VARCHAR), 'is_open is null', 'origin' FROM origin
+        WHERE (pack_id + jurisd_osm_id) % 19 = 0"""),
+    "refresh_outcomes": with_tables("jurisdiction donor pack", """
+        SELECT * FROM (
+            SELECT 'jurisdiction' AS "table", 'kept' AS action, count(*) AS n_rows FROM jurisdiction WHERE admin_level < 8
+            UNION ALL SELECT 'jurisdiction', 'inserted', count(*) FROM jurisdiction
+            WHERE admin_level = 8 AND (osm_id - 100000) % 7 = 0 AND (osm_id - 100000) % 70 <> 0
+            UNION ALL SELECT 'donor', CASE WHEN id % 2 <> 0 THEN 'inserted' WHEN id % 3 = 0 AND id % 30 <> 0 THEN 'updated' ELSE 'kept' END,
+                   count(*) FROM donor WHERE id % 2 = 0 OR (id % 3 = 0 AND id % 30 <> 0) GROUP BY 2
+            UNION ALL SELECT 'donatedPack', CASE WHEN pack_id % 2 <> 0 THEN 'inserted'
+                   WHEN pack_id % 5 = 0 AND pack_id % 50 <> 0 THEN 'updated' ELSE 'kept' END, count(*)
+            FROM pack WHERE pack_id % 2 = 0 OR (pack_id % 5 = 0 AND pack_id % 50 <> 0) GROUP BY 2) WHERE n_rows > 0
+        UNION ALL SELECT 'jurisdiction', 'rejected', count(*) FROM jurisdiction WHERE admin_level = 8 AND (osm_id - 100000) % 70 = 0
+        UNION ALL SELECT 'donor', 'rejected', count(*) FROM donor WHERE id % 30 = 0
+        UNION ALL SELECT 'donatedPack', 'rejected', count(*) FROM pack WHERE pack_id % 50 = 0"""),
+    "refresh_conflicts": with_tables("pack", """
+        SELECT 'donor_id,accepted_date,escopo' AS unique_key, concat_ws('|', donor_id, day, scope) AS value,
+               count(*) AS n_rows, 'donatedPack' AS "table"
+        FROM (SELECT donor_id, CASE WHEN pack_id % 5 = 0 AND pack_id % 50 <> 0 THEN CAST(date_trunc('year', accepted_date) AS DATE)
+                     ELSE accepted_date END AS day, CASE WHEN pack_id % 5 = 0 AND pack_id % 50 <> 0 THEN 'BR' ELSE escopo END AS scope
+              FROM pack WHERE pack_id % 2 = 0 OR (pack_id % 5 = 0 AND pack_id % 50 <> 0))
+        GROUP BY donor_id, day, scope HAVING count(*) > 1"""),
     "duplicate_keys": with_tables("origin", """
         SELECT 'id' AS unique_key, CAST(id AS VARCHAR) AS value, count(*) AS n_rows FROM origin GROUP BY id HAVING count(*) > 1
         UNION ALL

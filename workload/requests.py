@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrashelf import schemas
 from terrashelf.plans import catalogue, lookup
-from workload import tables
+from terrashelf.session import cut
+from workload import reports, tables
 from workload.tables import read, with_tables
 
 
@@ -128,8 +129,13 @@ def jurisdiction_lookup(spark, sf_dir):
 
 
 def donor_lookup(spark, sf_dir):
-    found = lookup.donors(donor_requests(spark, sf_dir), tables.donor(spark, sf_dir))
-    return found.select("uri", "n_requests", "id", "scope", "shortname", "legalname", "kx_vat_id")
+    """The published answer: donors with their totals."""
+    donor = tables.donor(spark, sf_dir)
+    totals = catalogue.donors_with_totals(donor, reports._base(spark, sf_dir)).select("id", "kx")
+    found = lookup.donors(donor_requests(spark, sf_dir), donor.join(cut(totals), "id"))
+    return found.select(
+        "uri", "n_requests", "id", "scope", "shortname", "legalname", "kx_vat_id", "kx.n_packs", "kx.n_files", "kx.tot_bytes"
+    )
 
 
 def _origins(spark, sf_dir):
@@ -167,8 +173,7 @@ def request_errors(spark, sf_dir):
         read(spark, sf_dir, "region").select((-F.col("r_regionkey").cast("long")).alias("request_id"), F.lit("a/b/c").alias("uri"))
     )
     answers = lookup.jurisdictions(requests, tables.jurisdiction(spark, sf_dir))
-    # The list request is answered; left out here, it shows the code for an empty path.
-    return lookup.unanswered(requests, answers.where("uri <> ''"), schemas.REQUEST_ERRORS)
+    return lookup.unanswered(requests, answers, schemas.REQUEST_ERRORS)
 
 
 def split_requests(spark, sf_dir):
@@ -301,9 +306,11 @@ def _star_by_id(query: str, requests: str) -> str:
 ORACLE = {
     "jurisdiction_lookup": with_tables("jurisdiction", f""", {_ASKED}
         , {_J_FOUND} SELECT uri, n_requests, osm_id, isolabel_ext, name, admin_level FROM answered""", requests=_J_REQUESTS),
-    "donor_lookup": with_tables("donor", f""", {_ASKED}
-        , {_D_FOUND} SELECT uri, n_requests, id, scope, shortname, legalname, kx_vat_id FROM answered""",
-        requests=_D_REQUESTS),
+    "donor_lookup": with_tables("star donor", f""", {_ASKED}
+        , totals AS (SELECT donor_id, count(DISTINCT pack_id) AS n_packs, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS tot_bytes
+                     FROM star GROUP BY donor_id)
+        , {_D_FOUND} SELECT uri, n_requests, id, scope, shortname, legalname, kx_vat_id, n_packs, n_files, tot_bytes
+        FROM answered LEFT JOIN totals ON donor_id = id""", requests=_D_REQUESTS),
     "origin_lookup": _star_by_id("""
         SELECT uri, n_requests, id, jurisd_osm_id, ctype, pack_id, fhash, fname, donor_id, jurisd_isolabel_ext AS label,
                accepted_date FROM found""", _O_REQUESTS),
@@ -314,7 +321,7 @@ ORACLE = {
         SELECT 'SHA256:' || left(sha256(p_partkey || '-1-' || p_partkey), 4 + p_partkey % 8) AS uri FROM part"""),
     "request_errors": with_tables("jurisdiction", f""", requests AS (
             SELECT * FROM j_requests UNION ALL SELECT -r_regionkey, 'a/b/c' FROM region), {_ASKED},
-        {_J_FOUND}, found AS (SELECT DISTINCT uri FROM answered WHERE uri <> '')
+        {_J_FOUND}, found AS (SELECT DISTINCT uri FROM answered)
         SELECT uri, n_requests, CASE WHEN uri = '' THEN -1 WHEN p2 IS NULL THEN -2 ELSE -3 END AS errcod,
                CASE WHEN uri = '' THEN 'empty endpoint' WHEN p2 IS NULL THEN 'incomplete endpoint'
                     ELSE 'endpoint not found' END AS errmsg
