@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrashelf.llm.common import claim, fitted, table
-from terrashelf.session import scratch_path
+from terrashelf.session import cut, scratch_path
 
 #: Fixed values of the format.
 MASK = 0xA282EAD8
@@ -54,6 +54,8 @@ KEPT_WORDS = 300_000
 MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
 SPAN_BYTES = 2_000_000
+#: What a token that ends a word is written with.
+WORD_END = "</w>"
 #: Stands between words that are encoded together.
 MARK = "\x01"
 
@@ -87,6 +89,8 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -101,14 +105,38 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _each(self, words: list[bytes]) -> list[bytes]:
-        """The tokens of each word: many are encoded as one text, with a mark between them that is a token of its own."""
-        texts = [f" {MARK} ".join(w.decode() for w in words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        found = []
-        for done in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(done.ids, dtype=self.kind)
-            data, marks = ids.tobytes(), (np.flatnonzero(ids == self.mark) * self.width).tolist()
-            found += [data[a:b] for a, b in zip([0, *(m + self.width for m in marks)], [*marks, len(data)])]
-        return found
+        """The tokens of each word: many are encoded as one text."""
+        plain, found = [], {}
+        for word in words:
+            text = word.decode()
+            if text.lower().isalpha():
+                plain.append((word, text))
+            else:
+                found[word] = text
+        rest = list(found.items())
+        for pairs, marks in ((plain, False), (rest, True)):
+            for at in range(0, len(pairs), 2000):
+                some = pairs[at : at + 2000]
+                pieces = self._together([text for _, text in some], marks)
+                found.update(zip((word for word, _ in some), pieces))
+        return [found[word] for word in words]
+
+    def _together(self, texts: list[str], marks: bool) -> list[bytes]:
+        """The tokens of each of ``texts``, encoded in one go.
+
+        With ``marks`` a sign that is a token of its own stands between them. Without, every text is one run of letters,
+        whose last token is one that ends a word; should that not give as many pieces as texts, marks are used.
+        """
+        between = f" {MARK} " if marks else " "
+        ids = np.array(self.tokenizer.encode(between.join(texts), add_special_tokens=False).ids, dtype=self.kind)
+        data = ids.tobytes()
+        if marks:
+            cuts = (np.flatnonzero(ids == self.mark) * self.width).tolist()
+            return [data[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(texts) or ends[-1] != len(data):
+            return self._together(texts, True)
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, words: set[bytes]) -> None:
         """Add words: one that ends in marks after a letter is its stem and the marks, which the tokenizer parts there."""
@@ -188,7 +216,8 @@ def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: in
     placed = rows.repartitionByRange(order).sortWithinPartitions(order)
     frames = placed.mapInArrow(_framer(path_of, end_id), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
-    index = scan(docs.sparkSession, path, payloads=False)
+    # Written before the totals are taken, so that the files are walked once.
+    index = cut(scan(docs.sparkSession, path, payloads=False))
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -197,8 +226,11 @@ def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: in
     ).write.parquet(f"{path}/index")
 
 
-def frames_in(content) -> Iterator[tuple[int, int, memoryview]]:
-    """Offset, bytes and payload of every record of a file; a frame that is broken or cut off is an error."""
+def frames_in(content, payloads: bool = True) -> Iterator[tuple[int, int, memoryview]]:
+    """Offset, bytes and payload of every record of a file; a frame that is broken or cut off is an error.
+
+    Without ``payloads`` only lengths are checked, for walks that read no more than where records begin.
+    """
     data, at = memoryview(content), 0
     while at < len(data):
         if at + HEAD.size > len(data):
@@ -209,7 +241,7 @@ def frames_in(content) -> Iterator[tuple[int, int, memoryview]]:
         begin, end = at + HEAD.size, at + HEAD.size + size
         if end + TAIL.size + 1 > len(data):
             raise ValueError(f"record cut off at byte {at}")
-        if masked(data[begin:end]) != TAIL.unpack_from(data, end)[0]:
+        if payloads and masked(data[begin:end]) != TAIL.unpack_from(data, end)[0]:
             raise ValueError(f"wrong payload at byte {at}")
         after = end + TAIL.size + 1
         yield at, after - at, data[begin:end]
@@ -231,7 +263,7 @@ def _scanner(payloads: bool):
         for batch in batches:
             for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
                 rows, start = [], 0
-                for place, (offset, size, payload) in enumerate(frames_in(content.as_buffer())):
+                for place, (offset, size, payload) in enumerate(frames_in(content.as_buffer(), payloads)):
                     doc_id, tokens = parsed(payload)
                     row = (shard, place, offset, size, doc_id, len(tokens), start)
                     rows.append((*row, zlib.crc32(tokens.astype("<u4").tobytes())) if payloads else row)
