@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from terrashelf.functions.text import clean_flag, vat_key
 from terrashelf.operators.audit import email_checks, row_checks
 from terrashelf.operators.ranking import numbered
-from terrashelf.session import cut
+from terrashelf.session import cut, scratch_path
 
 
 def _key_entries(keys: list[list[str]]) -> Column:
@@ -25,13 +26,17 @@ def _key_entries(keys: list[list[str]]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
+def insert_ignore(
+    existing: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str, report: Callable[[int], None] | None = None
+) -> DataFrame:
     """Incoming rows that may be inserted when any of several unique keys must not clash.
 
     Gives what a scan in ``order`` (unique) gives that skips rows clashing with the table or with a
     row it took. All keys are handled in one long table of (row, key, value) without the payload.
     Each round takes the rows that are first in all their key groups and drops those that clash with
-    them; the first row left is always taken, so the loop ends.
+    them; the first row left is always taken, so the loop ends. A chain in which every row clashes with the one before
+    takes a round for every second row, as each decision rests on the one before; ``report`` is told the number of rounds.
+    Winners of all rounds go to one table.
     """
     entries = incoming.select(F.col(order).alias("_row"), _key_entries(keys).alias("_keys"))
     keyless = entries.where(F.size("_keys") == 0).select("_row")
@@ -41,24 +46,29 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[list[str]
     known = existing.select(F.inline(_key_entries(keys)))
     clashing = offered.join(known, ["k", "v"], "left_semi").select("_row").distinct()
     undecided = offered.join(clashing, "_row", "left_anti")
+    rounds = 0
     if len(keys) == 1:
-        taken = [keyless, undecided.groupBy("k", "v").agg(F.min("_row").alias("_row")).select("_row")]
+        taken = keyless.unionByName(undecided.groupBy("k", "v").agg(F.min("_row").alias("_row")).select("_row"))
     else:
-        taken = [keyless]
+        path = scratch_path(incoming.sparkSession, "taken")
+        keyless.write.parquet(path)
         while True:
+            rounds += 1
             heads = undecided.groupBy("k", "v").agg(F.min("_row").alias("_first"))
             marked = cut(undecided.join(heads, ["k", "v"]))
             winners = marked.groupBy("_row").agg(F.bool_and(F.col("_first") == F.col("_row")).alias("_take")).where(
                 "_take"
             ).select("_row")
-            taken.append(winners)
+            winners.write.mode("append").parquet(path)
             # A row clashes with a winner exactly when a winner heads one of its keys.
             settled = marked.join(winners.withColumnRenamed("_row", "_first"), "_first", "left_semi").select("_row").distinct()
             undecided = cut(marked.join(settled, "_row", "left_anti").select("_row", "k", "v"))
             if undecided.isEmpty():
                 break
-    accepted = reduce(DataFrame.unionByName, taken).withColumnRenamed("_row", order)
-    return incoming.join(accepted, order, "left_semi").select(*incoming.columns)
+        taken = incoming.sparkSession.read.schema(keyless.schema).parquet(path)
+    if report is not None:
+        report(rounds)
+    return incoming.join(taken.withColumnRenamed("_row", order), order, "left_semi").select(*incoming.columns)
 
 
 def _single(incoming: DataFrame, key: str) -> DataFrame:

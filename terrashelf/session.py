@@ -24,9 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/terrashelf-{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder; ``discard`` deletes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/terrashelf-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete every table this process wrote under the shared folder, once no DataFrame needs them; gives their number."""
+    context, gone = spark.sparkContext, 0
+    while _made:
+        where = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:

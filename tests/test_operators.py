@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrashelf import schemas
+from terrashelf import schemas, session
 from terrashelf.operators import audit, crosswalk, distribution, prefix, ranking, upsert
 from tests.conftest import rows
 
@@ -297,3 +297,21 @@ def test_hot_dataset_spreads_over_tasks(spark, floor):
             assert len(tasks) == 8
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_discard_deletes_what_was_written(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    kept = session.cut(spark.range(3))
+    assert kept.count() == 3 and session.discard(spark) == 1 and session.discard(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def test_chain_of_clashes_reports_its_rounds(spark):
+    """Row i shares a key with the row before it and another with the row after: every second row goes in."""
+    n, told = 24, []
+    chain = spark.createDataFrame([(i, f"k{(i + 1) // 2}", f"m{i // 2}") for i in range(n)], "nth long, a string, b string")
+    none = spark.createDataFrame([], "a string, b string")
+    got = upsert.insert_ignore(none, chain, [["a"], ["b"]], "nth", told.append)
+    assert sorted(r.nth for r in got.collect()) == list(range(0, n, 2))
+    assert told == [n // 2]
