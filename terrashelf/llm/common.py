@@ -17,6 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
+#: Rows of a batch that goes to Python, so that two tasks of whole texts stay small beside an executor's heap.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's rows per Arrow batch to ``BATCH_ROWS`` unless the session has a value of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

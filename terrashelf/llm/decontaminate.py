@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import UPPER, claim, lowered, table
+from terrashelf.llm.common import UPPER, claim, lowered, small_batches, table
 from terrashelf.session import cut
 
 WINDOW = 10
@@ -204,6 +204,7 @@ def _judge(shared, text: str):
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None,
               window: int = WINDOW, limit: int = SLICE_WORDS) -> DataFrame:
     """The columns ``keep`` (all by default) with n_words, hit_runs (starts and ends of hit words), longest and items."""
+    small_batches(docs.sparkSession)
     names = [c for c in keep or docs.columns if c not in _FOUND]
     column = text if text in names else "_text"
     rows = docs.select(*names) if text in names else docs.select(*names, F.col(text).alias("_text"))

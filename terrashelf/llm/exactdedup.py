@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import UPPER, lowered, table
+from terrashelf.llm.common import UPPER, lowered, small_batches, table
 from terrashelf.session import cut
 
 #: Leading bytes of a text in the sort key; equal ones are told apart by the rest of the key.
@@ -74,6 +74,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
     ``keep`` names the identifier that stays, ``max`` or ``min``.
     """
+    small_batches(docs.sparkSession)
     order = (lambda c: F.desc_nulls_last(c)) if keep == "max" else (lambda c: F.asc_nulls_last(c))
     best = F.max if keep == "max" else F.min
     norm = lowered(F.coalesce(F.col(text), F.lit("")))

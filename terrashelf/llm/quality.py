@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import claim, table
+from terrashelf.llm.common import claim, small_batches, table
 
 #: Places of words and of shapes, and length of their vectors.
 WORDS, SHAPES, SIZE = 1 << 14, 1 << 10, 48
@@ -144,6 +144,7 @@ _TABLE = "range int, sums binary"
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The table of vectors of all places, (WORDS + SHAPES) x SIZE; its size does not depend on the corpus."""
+    small_batches(docs.sparkSession)
     parts = docs.select(F.col(text).alias("_text")).mapInArrow(_contexts, _TABLE)
     rows = parts.repartition("range").mapInArrow(_added, _TABLE).collect()
     sums = np.zeros((WORDS + SHAPES, SIZE))
@@ -283,6 +284,7 @@ def _scorer(shared, column: str):
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and _score, the probability of label 1."""
+    small_batches(docs.sparkSession)
     names = keep or docs.columns
     column = "text" if "text" in names else "_text"
     rows = docs.select(*names) if column == "text" else docs.select(*names, F.col("text").alias("_text"))

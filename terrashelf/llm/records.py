@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import claim, fitted, table
+from terrashelf.llm.common import claim, fitted, small_batches, table
 from terrashelf.session import cut, scratch_path
 
 #: Fixed values of the format.
@@ -49,7 +49,7 @@ HAS_ID = 1
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words a Python process keeps the tokens of; at more it starts afresh, and of the ones before keeps those that come again.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 250_000
 #: Signs that the tokenizer parts from a letter before them (an apostrophe may belong to it).
 MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
@@ -211,6 +211,7 @@ def tokenizer_path() -> str:
 
 def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: int = END_ID) -> None:
     """Write ``docs(doc_id, text)`` as record files below ``path/records`` and their index to ``path/index``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     order = F.asc_nulls_last("doc_id")
     placed = rows.repartitionByRange(order).sortWithinPartitions(order)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import claim, fitted, table
+from terrashelf.llm.common import claim, fitted, small_batches, table
 from terrashelf.session import cut
 
 SHINGLE = 4
@@ -85,6 +85,7 @@ def _printer(width: int):
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and fp: the 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*(keep or ["doc_id"]), F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(_printer(width), f"{fields}, fp long")
@@ -172,15 +173,25 @@ def _search(fps: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield _spread(fps[at : at + size], distances[at : at + size])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches at a time, as searches over many rows cost less."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append([batch.column(c).to_numpy() for c in ("kind", "key", "fp")])
+        size += batch.num_rows
+        if size >= _CHUNK:
+            yield [np.concatenate(parts) for parts in zip(*waiting)]
+            waiting, size = [], 0
+    if size:
+        yield [np.concatenate(parts) for parts in zip(*waiting)]
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, fp) sorted by bucket to links (a, b) with a < b; a bucket may go on in the next batch."""
     held = None
-    for batch in batches:
-        rows = [batch.column(c).to_numpy() for c in ("kind", "key", "fp")]
+    for rows in _gathered(batches):
         if held is not None:
             rows = [np.concatenate(pair) for pair in zip(held, rows)]
-        if not len(rows[0]):
-            continue
         new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
         starts = np.flatnonzero(new)
         held = [r[starts[-1] :] for r in rows]
