@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.session import cut
+from terrashelf.session import cut, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: a maximal run of code points other than the six ASCII blanks.
@@ -23,7 +23,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set the session's rows per Arrow batch to ``BATCH_ROWS`` unless the session has a value of its own."""
+    """Set the session's rows per Arrow batch to ``BATCH_ROWS`` unless the session has a value of its own.
+
+    Called by every operator that runs Python; it also ships the package to the workers.
+    """
+    ship(spark)
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
