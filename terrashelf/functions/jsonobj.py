@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrashelf.session import ship
+
 OBJECT = "map<string,variant>"
 
 
@@ -98,6 +100,7 @@ def _drops_nested(texts: pd.Series) -> pd.Series:
 
 def _nested_with_null(text: Column) -> Column:
     """``text`` where it holds an object or array below its top and a null, and is JSON; else null."""
+    ship()
     nested = F.substring(F.trim(text), 2, 2147483647).rlike(r"[{\[]")
     return F.when(text.rlike(r"[:\s]null") & nested & F.try_parse_json(text).isNotNull(), text)
 

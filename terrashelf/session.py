@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Let Python workers import this package, wherever the driver imported it from; once per application.
+
+    Workers find it on their own only if it lies on their path, which depends on how and where the driver was started.
+    """
+    context = (spark or SparkSession.getActiveSession()).sparkContext
+    root = Path(__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="terrashelf-code-")) / "terrashelf.zip"
+    with zipfile.ZipFile(target, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 _made: list[str] = []
 
 

@@ -2,50 +2,134 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashelf.functions import jsonobj
 from terrashelf.operators.ranking import numbered
+from terrashelf.session import ship
+
+
+_DECODER = json.JSONDecoder()
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def _places(text: str, at: int, close: str) -> Iterator[tuple[str | None, int, int]]:
+    """Of an object or array that opens before ``at``: name (of a member), start and end of every value."""
+    skip = lambda i: _BLANKS.match(text, i).end()
+    at = skip(at)
+    while text[at : at + 1] != close:
+        name = None
+        if close == "}":
+            name, at = _DECODER.raw_decode(text, at)
+            at = skip(at)
+            if not isinstance(name, str) or text[at : at + 1] != ":":
+                raise ValueError("no member")
+            at = skip(at + 1)
+        _, end = _DECODER.raw_decode(text, at)
+        yield name, at, end
+        at = skip(end)
+        if text[at : at + 1] == ",":
+            at = skip(at + 1)
+            if text[at : at + 1] == close:
+                raise ValueError("value missing")
+        elif text[at : at + 1] != close:
+            raise ValueError("no end")
+    yield None, at + 1, at + 1
+
+
+def _collection(text: str) -> tuple[str | None, int | None, str | None]:
+    """The members of a collection but its features as an object's text, where the features open, and what is wrong."""
+    members: dict[str, str] = {}
+    opens = None
+    try:
+        start = _BLANKS.match(text).end()
+        if text[start : start + 1] != "{":
+            raise ValueError("no object")
+        for name, at, end in _places(text, start + 1, "}"):
+            if name == "features":
+                opens = at + 1 if text[at] == "[" else None
+            elif name is not None:
+                members[name] = text[at:end]
+            elif text[end:].strip(" \t\n\r"):
+                raise ValueError("more than one value")
+    except (ValueError, RecursionError):
+        return None, None, "not a JSON object"
+    top = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{v}" for k, v in members.items()) + "}"
+    return top, opens, None if opens is not None else "no list of features"
+
+
+_ROWS = 1000
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (file, _text) to their features as texts, a batch of them at a time; ``_pos`` is null on a file's first row."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+        names = ("file", "_top_text", "_pos", "_feature", "_wrong")
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
+    for found in batches:
+        for file, value in zip(found.column("file").to_pylist(), found.column("_text")):
+            text = value.as_py()
+            top, opens, wrong = _collection(text)
+            yield batch([(file, top, None, None, wrong)])
+            if opens is None:
+                continue
+            small, rows = _small(top), []
+            for place, (_, at, end) in enumerate(_places(text, opens, "]")):
+                if at < end:
+                    rows.append((file, small, place, text[at:end], None))
+                if len(rows) == _ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+
+def _small(top: str) -> str:
+    """Only what every feature needs of the collection: its type and crs."""
+    kept = {k: top[a:b] for k, a, b in _places(top, 1, "}") if k in ("type", "crs")}
+    return "{" + ",".join(f"{json.dumps(k)}:{v}" for k, v in kept.items()) + "}"
 
 
 def _whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every file with its text, its members but the features, and the texts of its features.
+    """Every file's members as a row without ``_pos``, then its features as texts.
 
-    Members and features are cut out as texts first and read one by one, so no size limit of a parsed value holds for
-    the whole document. Where the document itself is beyond one, its features are taken out before the rest is read.
+    A file is one task's text, but it is never parsed as a whole: features are cut out one after the other, so no size limit
+    of a parsed value holds for the collection.
     """
+    ship(spark)
     files = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("_text")
     )
-    texts = F.from_json("_text", "map<string,string>")
-    named = files.withColumn("_list", F.element_at(F.map_from_entries(F.slice(F.filter(
-        F.map_entries(texts), lambda m: m["key"] == "features"), -1, 1)), F.lit("features")))
-    small = jsonobj.members(F.col("_text"))
-    rest = jsonobj.members(F.replace(F.col("_text"), F.col("_list"), F.lit("[]")))
-    return named.select(
-        "file", F.map_filter(F.coalesce(small, rest), lambda k, _: k != "features").alias("_top"),
-        F.from_json("_list", "array<string>").alias("_features"),
-    )
+    return files.mapInArrow(_cut_up, "file string, _top_text string, _pos int, _feature string, _wrong string")
 
 
 def geojson_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Each collection's members except its features; null with an ``error`` for a file that is no JSON object."""
-    return _whole_files(spark, paths).select(
-        "file", F.to_json("_top").alias("header"), F.when(F.col("_top").isNull(), "not a JSON object").alias("error")
+    return _whole_files(spark, paths).where("_pos IS NULL").select(
+        "file", F.to_json(jsonobj.members(F.col("_top_text"))).alias("header"),
+        F.when(F.col("_top_text").isNull(), F.col("_wrong")).alias("error"),
     )
 
 
 def _features(files: DataFrame) -> DataFrame:
     """Features one a row; a file or feature that cannot be read gives a row with an ``error``."""
-    crs = F.coalesce(F.element_at("_top", F.lit("crs")), F.parse_json(F.lit("null")))
-    rows = files.select(
-        "file", F.element_at("_top", F.lit("type")).cast("string").alias("geojson_type"),
-        F.map_from_arrays(F.array(F.lit("crs")), F.array(crs)).alias("_crs"),
-        F.when(F.col("_top").isNull(), "not a JSON object").when(F.col("_features").isNull(), "no list of features").alias("_wrong"),
-        F.posexplode_outer("_features").alias("_pos", "_feature"),
-    ).where(F.col("_wrong").isNotNull() | F.col("_pos").isNotNull())
-    return _read_features(rows.withColumn("feature_id", F.col("_pos") + 1))
+    top = jsonobj.members(F.col("_top_text"))
+    crs = F.coalesce(F.element_at(top, F.lit("crs")), F.parse_json(F.lit("null")))
+    rows = files.where("_pos IS NOT NULL OR _wrong IS NOT NULL").select(
+        "file", F.element_at(top, F.lit("type")).cast("string").alias("geojson_type"),
+        F.map_from_arrays(F.array(F.lit("crs")), F.array(crs)).alias("_crs"), "_wrong", "_feature",
+        (F.col("_pos") + 1).alias("feature_id"),
+    )
+    return _read_features(rows)
 
 
 def _read_features(rows: DataFrame) -> DataFrame:
