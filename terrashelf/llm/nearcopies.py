@@ -1,0 +1,202 @@
+"""Texts whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more, each link verified on the whole sets.
+
+A fingerprint of 64 bits cannot tell a similarity of 0.8 from a lower one, so here rows meet on min-hashes instead: 20 keys of
+four minima each, of which two sets of similarity 0.8 share none with a probability of 0.00003. Equal sets are treated
+once. Within a bucket the share of equal minima (one byte of each of the 80) estimates the similarity: pairs below
+``LEAST_EQUAL`` are discarded (a pair of 0.8 is with a probability of 0.0003), all others are candidates. A bucket is
+searched by expanding from member to member as in ``simhash``: a member that agrees in ``SURE_EQUAL`` minima leaves the bucket
+and goes on from there, so a group of near copies gives a few candidates a member, never all pairs. Candidates are then
+compared by the exact similarity of their sets of shingles, and only those that reach ``SIMILAR`` are links.
+
+Cases: a text without words has no set and no link. One with fewer words than a shingle is one shingle. Repeated shingles
+count once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terrashelf.llm.common import claim, fitted, small_batches
+from terrashelf.llm.simhash import fingerprint_of, shingle_hashes
+from terrashelf.session import cut
+
+#: Least similarity of a link, in fifths: 0.8.
+SIMILAR = (4, 5)
+BANDS, ROWS = 20, 4
+MINIMA = BANDS * ROWS
+#: Of the 80 minima, those that a candidate must agree in, and those with which a member leaves its bucket.
+LEAST_EQUAL, SURE_EQUAL = 52, 72
+#: Buckets up to this size are compared pair by pair, all of a batch at once.
+SMALL = 16
+_CHUNK = 1 << 15
+_PIECE = 1 << 12
+
+
+def _constants(name: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(name + b" %d" % i, 1) for i in range(MINIMA)], dtype=np.uint64)
+
+
+_FLIP, _FACTOR = _constants(b"flip")[:, None], _constants(b"factor")[:, None] | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of ``hashes`` under each of the 80 orders."""
+    found = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), _PIECE):
+        np.minimum(found, ((hashes[None, at : at + _PIECE] ^ _FLIP) * _FACTOR).min(axis=1), out=found)
+    return found
+
+
+def _sketcher(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("nearcopies")
+        for batch in batches:
+            prints, sets, keys, marks = [], [], [], []
+            for text in pc.cast(batch.column("_text"), pa.binary()):
+                pieces = list(shingle_hashes((text.as_py() or b"").lower().split(), width))
+                prints.append(fingerprint_of(pieces))
+                if not pieces:
+                    sets.append(None), keys.append(None), marks.append(None)
+                    continue
+                found = np.unique(np.concatenate(pieces))
+                least = minima(found)
+                sets.append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)))
+                keys.append([
+                    int(np.uint64(xxhash.xxh64_intdigest(band.tobytes())).view(np.int64)) for band in least.reshape(BANDS, ROWS)
+                ])
+                marks.append((least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes())
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=[*batch.schema.names[:-1], "fp", "set", "keys", "marks"],
+            )
+
+    return run
+
+
+def sketches(docs: DataFrame, width: int, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep``, the fingerprint fp, and of the set of shingles: set (its digest), keys and marks."""
+    small_batches(docs.sparkSession)
+    kept = docs.select(*keep, F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(_sketcher(width), f"{fields}, fp long, `set` long, keys array<long>, marks binary")
+
+
+def _equal(marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (marks[a] == marks[b]).sum(axis=-1)
+
+
+def _spread(sets: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates within one bucket, by expanding from member to member."""
+    left = np.arange(len(sets))
+    while len(left):
+        waiting, left = [left[0]], left[1:]
+        while waiting and len(left):
+            x = waiting.pop()
+            equal = _equal(marks, left, x)
+            near = left[equal >= LEAST_EQUAL]
+            if len(near):
+                yield np.full(len(near), sets[x]), sets[near]
+                sure = equal >= SURE_EQUAL
+                waiting.extend(left[sure].tolist())
+                left = left[~sure]
+
+
+def _search(sets: np.ndarray, marks: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates within buckets; rows are sorted by bucket."""
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    sizes = np.diff(np.append(begins, len(sets)))
+    small = np.repeat(sizes <= SMALL, sizes)
+    for step in range(1, min(SMALL, len(sets))):
+        a = np.flatnonzero(small[:-step] & (bucket[:-step] == bucket[step:]))
+        if not len(a):
+            break
+        a = a[_equal(marks, a, a + step) >= LEAST_EQUAL]
+        yield sets[a], sets[a + step]
+    for at, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        yield from _spread(sets[at : at + size], marks[at : at + size])
+
+
+def _found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    kind, key, sets, marks = rows
+    bucket = np.cumsum(np.append(0, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
+    many = np.bincount(bucket)[bucket] > 1
+    if not many.any():
+        return
+    for a, b in _search(sets[many], marks[many], bucket[many]):
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, set, marks) sorted by bucket to candidates (a, b); a bucket may go on in the next batch."""
+    waiting, size = [], 0
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in ("kind", "key", "set")]
+        joined = b"".join(batch.column("marks").to_pylist())
+        waiting.append([*rows, np.frombuffer(joined, dtype=np.uint8).reshape(-1, MINIMA)])
+        size += batch.num_rows
+        if size < _CHUNK:
+            continue
+        rows = [np.concatenate(parts) for parts in zip(*waiting)]
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        if last.all():
+            # One bucket so far: wait for at least as much again, so that it is not joined anew with every batch.
+            waiting, size = [rows], size - max(_CHUNK, len(last))
+            continue
+        yield from _found([r[~last] for r in rows])
+        waiting, size = [[r[last] for r in rows]], 0
+    if waiting:
+        yield from _found([np.concatenate(parts) for parts in zip(*waiting)])
+
+
+def _lister(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("nearcopies")
+        for batch in batches:
+            for i, text in enumerate(pc.cast(batch.column("_text"), pa.binary())):
+                pieces = list(shingle_hashes((text.as_py() or b"").lower().split(), width))
+                found = np.unique(np.concatenate(pieces)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
+                     pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))],
+                    names=["set", "fp", "hashes"],
+                )
+
+    return run
+
+
+def similar(sketched: DataFrame, docs: DataFrame, width: int, place: list[str], text: str = "text") -> DataFrame:
+    """Links (a, b) of fingerprints whose rows have equal sets of shingles, or sets that are similar enough.
+
+    ``place`` names the columns that tell the rows of ``docs`` and ``sketched`` apart.
+    """
+    listed = sketched.where(F.col("set").isNotNull())
+    # Rows with equal sets have equal keys and marks.
+    sets = cut(listed.groupBy("set").agg(
+        F.min("fp").alias("fp"), F.min(F.struct(*place)).alias("at"), F.first("keys").alias("keys"), F.first("marks").alias("marks")
+    ))
+    prints = cut(listed.select("set", "fp").distinct())
+    equal = prints.join(sets.select("set", F.col("fp").alias("a")), "set").where("a <> fp").select("a", F.col("fp").alias("b"))
+    met = sets.select("set", "marks", F.posexplode("keys").alias("kind", "key")).repartition("kind", "key")
+    pairs = met.sortWithinPartitions("kind", "key").mapInArrow(_candidates, "a long, b long").where("a <> b")
+    pairs = cut(pairs.distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    asked = sets.join(asked, "set").select("set", "fp", *[F.col(f"at.{c}").alias(c) for c in place])
+    texts = docs.select(*place, F.col(text).alias("_text")).join(fitted(asked), place).select("set", "fp", "_text")
+    whole = cut(texts.mapInArrow(_lister(width), "`set` long, fp long, hashes array<long>"))
+    side = lambda name: whole.select(
+        F.col("set").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("hashes").alias(f"hashes_{name}"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    least, of = SIMILAR
+    enough = both * of >= least * (F.size("hashes_a") + F.size("hashes_b") - both)
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(enough)
+    return equal.unionByName(close.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))

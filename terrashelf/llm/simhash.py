@@ -19,7 +19,7 @@ identifiers take part, but never name a component unless all of its rows lack on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -48,25 +48,36 @@ SMALL = 16
 _CHUNK = 1 << 15
 
 
-def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
-    """The bits that are set in more than half of the hashes of all shingles, repeats included."""
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, repeats included, some at a time; nothing without words."""
     if not words:
-        return 0
+        return
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[-n:].tolist()
-    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _CHUNK):
         pieces = [joined[a:b] for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+
+
+def fingerprint_of(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that are set in more than half of the hashes."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in pieces:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
+    """The bits that are set in more than half of the hashes of all shingles, repeats included."""
+    return fingerprint_of(shingle_hashes(words, width))
+
+
 def _printer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
@@ -249,10 +260,14 @@ def connect(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """``prints(..., fp)`` with root: the smallest fingerprint (as a signed number) linked to the row's own."""
+def grouped(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``prints(..., fp)`` with root: the smallest fingerprint (as a signed number) linked to the row's own.
+
+    ``more(a, b)`` are links of fingerprints besides those within the limit.
+    """
     prints = cut(prints)
-    roots = cut(connect(links(cut(prints.select("fp").distinct()))))
+    edges = links(cut(prints.select("fp").distinct()))
+    roots = cut(connect(edges if more is None else edges.unionByName(more)))
     return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 

@@ -1,0 +1,61 @@
+import random
+
+from terrashelf.llm import stages
+from terrashelf.llm.common import table
+from terrashelf.session import cut
+from tests.llm.data import docs
+from tests.llm.test_simhash import classes, print_of
+
+SF = "/root/testdata/sf0.001"
+
+
+def kept_of(data, width=5):
+    """Identifiers that brute force keeps: links are a similarity of 0.8 or four bits; and the pairs only the first gives."""
+    prints = [print_of(t, width) for _, t in data]
+    parent = classes(prints)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = []
+    for _, text in data:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    wide = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                wide += (prints[i] ^ prints[j]).bit_count() > 4
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, (doc_id, _) in enumerate(data):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return sorted(least.values()), wide
+
+
+def test_all_pairs_of_the_table(spark):
+    data = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    want, wide = kept_of(data)
+    got = stages.near_duplicate_stage(spark, table(spark, SF, "documents"), SF)
+    assert wide >= 2 and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_edited_copies(spark):
+    """Copies with up to one word in 50 changed: similarities from 0.7 to 0.97, more than a small bucket in each group."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    data = []
+    for g in range(25):
+        base = [word() for _ in range(300)]
+        for c in range(24):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                copy[rng.randrange(300)] = word()
+            data.append((g * 100 + c, " ".join(copy)))
+    want, wide = kept_of(data)
+    assert wide > 100
+    assert sorted(r.doc_id for r in stages.near_duplicate_stage(spark, cut(docs(spark, data)), SF).collect()) == want
