@@ -54,6 +54,8 @@ KEPT_WORDS = 250_000
 MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
 SPAN_BYTES = 2_000_000
+#: Bytes of text of a shard on average, at most.
+SHARD_BYTES = 128 * 1024 * 1024
 #: What a token that ends a word is written with.
 WORD_END = "</w>"
 #: Stands between words that are encoded together.
@@ -210,11 +212,23 @@ def tokenizer_path() -> str:
 
 
 def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: int = END_ID) -> None:
-    """Write ``docs(doc_id, text)`` as record files below ``path/records`` and their index to ``path/index``."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    order = F.asc_nulls_last("doc_id")
-    placed = rows.repartitionByRange(order).sortWithinPartitions(order)
+    """Write ``docs(doc_id, text)`` as record files below ``path/records`` and their index to ``path/index``.
+
+    Rows are dealt by identifier, then by the text's hash, then by row, so equal and null identifiers, and copies of one row,
+    spread over shards. There are as many shards as keep their text at ``SHARD_BYTES`` on average.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
+        F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"),
+    )
+    order = [F.asc_nulls_last("doc_id"), F.asc("hash"), F.asc("row")]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-size // SHARD_BYTES)
+    # Spark merges small partitions only if it is left to choose their number.
+    more = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    placed = rows.repartitionByRange(*more, *order).sortWithinPartitions(*order).select("doc_id", "text")
     frames = placed.mapInArrow(_framer(path_of, end_id), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
     # Written before the totals are taken, so that the files are walked once.
@@ -283,7 +297,9 @@ def _shard() -> Column:
 def scan(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The record files below ``path`` read back and checked, one row a record; with ``payloads`` the tokens' CRC-32.
 
-    A file is one row of its reader and bounded by a shuffle partition; ``start`` counts from the start of the file.
+    A file is one row of its reader, which Spark takes up to 2 GB; ``SHARD_BYTES`` bounds the mean file, not each one, so
+    documents that are many times longer than the rest should not all be neighbours by identifier. ``start`` counts from
+    the start of the file.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
     return files.select(_shard(), "content").mapInArrow(

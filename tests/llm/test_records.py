@@ -75,5 +75,25 @@ def test_words_are_encoded_as_in_their_text(monkeypatch):
         assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids_of(t)[:-1] for t in texts[i : i + 100]]
 
 
+def test_hot_identifiers_spread_over_shards(spark, monkeypatch):
+    """A third of the rows have no identifier, a third are copies of one row."""
+    data = [(None, f"null {i}") for i in range(400)] + [(7, "copy")] * 400 + [(1000 + i, f"text {i}") for i in range(400)]
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        for size, least in ((records.SHARD_BYTES, 6), (400, 20)):
+            monkeypatch.setattr(records, "SHARD_BYTES", size)
+            path = scratch_path(spark, "records-test")
+            records.write_records(docs(spark, data), path)
+            index = records.read_index(spark, path).orderBy("shard", "place").collect()
+            shards = [r.shard for r in index]
+            assert len(set(shards)) >= least and max(map(shards.count, set(shards))) <= len(data) / 4
+            assert [r.doc_id for r in index] == sorted((i for i, _ in data), key=lambda i: (i is None, i or 0))
+            ends = [r.start + r.n_tokens for r in index]
+            assert [r.start for r in index] == [0, *ends[:-1]] and ends[-1] == sum(len(ids_of(t)) for _, t in data)
+    finally:
+        spark.conf.unset(merge)
+
+
 def test_empty(spark):
     assert records.written(docs(spark, [])).count() == 0
