@@ -5,8 +5,9 @@ four minima each, of which two sets of similarity 0.8 share none with a probabil
 once. Within a bucket the share of equal minima (one byte of each of the 80) estimates the similarity: pairs below
 ``LEAST_EQUAL`` are discarded (a pair of 0.8 is with a probability of 0.0003), all others are candidates. A bucket is
 searched by expanding from member to member as in ``simhash``: a member that agrees in ``SURE_EQUAL`` minima leaves the bucket
-and goes on from there, so a group of near copies gives a few candidates a member, never all pairs. Candidates are then
-compared by the exact similarity of their sets of shingles, and only those that reach ``SIMILAR`` are links.
+and goes on from there, so a group of near copies gives a few candidates a member, never all pairs. In buckets of
+more than ``SMALL`` members a link can be lost if a member left by an estimate that then fails verification. Candidates are
+then compared by the exact similarity of their sets of shingles, and only those that reach ``SIMILAR`` are links.
 
 Cases: a text without words has no set and no link. One with fewer words than a shingle is one shingle. Repeated shingles
 count once.
