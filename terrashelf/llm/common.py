@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,12 @@ def fitted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(written) if size <= limit else written
 
 
+def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column of the batch, or a field of a struct column that is never null."""
+    first, *rest = path.split(".")
+    return reduce(lambda found, name: found.field(name), rest, batch.column(first))
+
+
 _kept: dict[str, Callable[[], None]] = {}
 
 

@@ -6,9 +6,10 @@ words (a shorter item is one window); where the match is at least that long, the
 automaton's state names the items it occurs in. Only stretches of words in which every neighbouring pair also occurs in an
 item are streamed, since no window can lie across any other pair; a table of the items' pairs finds them.
 
-The automaton is broadcast. Items are dealt into slices of about ``SLICE_WORDS`` words by measured size, each with an
-automaton of its own; the documents are streamed through one slice after the other, each pass adding its hits to the row
-and written before the next, so a task holds one automaton at a time. One slice is the usual case and writes nothing.
+Items are dealt into slices of at most ``SLICE_WORDS`` words by measured size: equal texts are one item with several ids, and
+a text that is longer comes in overlapping parts. The words of a slice are broadcast, and every Python process builds its
+automaton once. Documents are streamed through one slice after the other, each pass adding its hits to the row and
+written before the next. One slice is the usual case and writes nothing. The ids of equal items travel with their text.
 
 Cases: null texts have no words, and a document or item without words is never hit. Items that repeat hit alike, each
 under its own id; a null item id is left out of the ids. Rows that repeat are judged alike. Further columns are kept. Empty
@@ -26,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrashelf.llm.common import UPPER, claim, lowered, small_batches, table
+from terrashelf.llm.common import UPPER, claim, column_at, lowered, small_batches, table
 from terrashelf.session import cut
 
 WINDOW = 10
@@ -158,60 +160,112 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-def item_slices(items: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = SLICE_WORDS):
-    """Lists of (id, words), each of at most ``limit`` words or one item; only one list is on the driver at a time."""
+def item_slices(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
+                limit: int = SLICE_WORDS) -> tuple[DataFrame, list[list[int]]]:
+    """A table (bin, words, ids) of the distinct item texts, and the bins of each slice.
+
+    Equal texts are one row. A text of more than ``limit`` words comes in parts that overlap by a window less a word, so every
+    window lies in one. Bins are taken by hash, about four a slice, and joined while their words stay within ``limit``.
+    """
     norm = F.regexp_replace(lowered(F.coalesce(F.col(text), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    rows = cut(items.select(F.col(item_id).alias("item"), norm.alias("norm")).select(
-        "item", "norm", F.regexp_count("norm", F.lit(WORD)).cast("long").alias("n")))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // limit))
-    part = F.pmod(F.xxhash64("norm"), F.lit(parts))
-    for number in range(parts):
-        found = rows.where(part == number).select("item", "norm").collect()
-        yield [(r.item, r.norm.encode().split()) for r in found]
+    named = items.select(F.col(item_id).cast("string").alias("id"), F.trim(norm).alias("norm")).where("norm <> ''")
+    texts = named.groupBy("norm").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("all", F.split("norm", " "))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)), F.lit(limit))
+    parts = texts.select("ids", "all", F.explode(starts).alias("at")).select(
+        "ids", F.slice("all", F.col("at") + 1, limit + window - 1).alias("words"))
+    parts = cut(parts.withColumn("n", F.size("words").cast("long")))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    dealt = parts.withColumn("bin", F.pmod(F.xxhash64("words"), F.lit(4 * -(-total // limit) or 1)).cast("int"))
+    slices, room = [], 0
+    for r in dealt.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect():
+        if r.n > room:
+            slices.append([])
+            room = limit
+        slices[-1].append(r.bin)
+        room -= r.n
+    return dealt.select("bin", "words", "ids"), slices or [[]]
+
+
+_built: dict[int, Automaton] = {}
+
+
+def _automaton(shared, window: int) -> Automaton:
+    """The automaton of a slice, built once in every Python process that meets it."""
+    claim("decontaminate", _built.clear)
+    key = id(shared.value)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(shared.value, window)
+    return _built[key]
 
 
 _FOUND = {"n_words": pa.int64(), "hit_runs": pa.list_(pa.int64()), "longest": pa.int64(), "items": pa.list_(pa.string())}
-_FOUND_DDL = "n_words long, hit_runs array<long>, longest long, items array<string>"
+_FOUND_TYPE = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("hit_runs", T.ArrayType(T.LongType())),
+    T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+])
+
+
+def _without(text: str, runs: list[int]) -> str:
+    """``text`` without the words of the runs and what stands between them."""
+    places = [m.span() for m in _WORDS.finditer(text)]
+    kept, at = [], 0
+    for start, stop in zip(runs[::2], runs[1::2]):
+        kept.append(text[at : places[start][0]])
+        at = places[stop - 1][1]
+    return "".join([*kept, text[at:]])
+
 
+def _judge(shared, window: int, text: str, rest: bool):
+    """Rows with the hits of one slice added to what is found so far; ``text`` names the column that is read.
 
-def _judge(shared, text: str):
-    """Rows with the hits of one slice added to what is found so far; ``text`` names the column that is read."""
+    With ``rest`` the column _rest holds the text without its hit spans, null where there are none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        claim("decontaminate")
+        automaton = _automaton(shared, window)
         for batch in batches:
             before = batch.select(list(_FOUND)).to_pylist() if "n_words" in batch.schema.names else repeat(None)
-            rows = []
-            for value, known in zip(pc.cast(batch.column(text), pa.binary()), before):
-                words = words_of(value.as_py() or b"")
+            rows, left = [], []
+            for value, known in zip(pc.cast(column_at(batch, text), pa.binary()), before):
+                data = value.as_py() or b""
+                words = words_of(data)
                 hit, longest, items = automaton.hits(words)
-                names = {str(i) for i in items if i is not None}
+                names = {i for ids in items for i in ids}
                 if known is not None:
                     for start, stop in zip(known["hit_runs"][::2], known["hit_runs"][1::2]):
                         hit[start:stop] = True
                     longest, names = max(longest, known["longest"]), names | set(known["items"])
-                rows.append((len(words), _runs(hit), longest, sorted(names)))
+                runs = _runs(hit)
+                rows.append((len(words), runs, longest, sorted(names)))
+                left.append(_without(data.decode(), runs) if rest and runs else None)
             columns = {n: batch.column(n) for n in batch.schema.names if n not in _FOUND}
             for place, (name, kind) in enumerate(_FOUND.items()):
                 columns[name] = pa.array([r[place] for r in rows], kind)
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict({**columns, "_rest": pa.array(left, pa.string())} if rest else columns)
 
     return run
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None,
-              window: int = WINDOW, limit: int = SLICE_WORDS) -> DataFrame:
-    """The columns ``keep`` (all by default) with n_words, hit_runs (starts and ends of hit words), longest and items."""
+              window: int = WINDOW, limit: int = SLICE_WORDS, rest: bool = False) -> DataFrame:
+    """The columns ``keep`` (all by default) with n_words, hit_runs (starts and ends of hit words), longest and items.
+
+    ``text`` may name a field of a kept struct; with ``rest`` the column _rest has the text without its hit spans.
+    """
     small_batches(docs.sparkSession)
     names = [c for c in keep or docs.columns if c not in _FOUND]
-    column = text if text in names else "_text"
-    rows = docs.select(*names) if text in names else docs.select(*names, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    for number, listed in enumerate(item_slices(items, limit=limit)):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))
-        rows = (rows if number == 0 else cut(rows)).mapInArrow(_judge(shared, column), f"{fields}, {_FOUND_DDL}")
+    column = text if text.split(".")[0] in names else "_text"
+    rows = docs.select(*names) if column == text else docs.select(*names, F.col(text).alias("_text"))
+    kept, share = rows.schema, docs.sparkSession.sparkContext.broadcast
+    texts, slices = item_slices(items, window=window, limit=limit)
+    for number, bins in enumerate(slices):
+        last = rest and number == len(slices) - 1
+        # At most ``limit`` words, or the bin of a hash that more of them met.
+        listed = [(tuple(r.ids), [w.encode() for w in r.words]) for r in texts.where(F.col("bin").isin(bins)).collect()]
+        schema = T.StructType([*kept.fields, *_FOUND_TYPE.fields])
+        judge = _judge(share(listed), window, column, last)
+        rows = (rows if number == 0 else cut(rows)).mapInArrow(judge, schema.add("_rest", "string") if last else schema)
     return rows.drop("_text")
 
 
@@ -221,36 +275,23 @@ def hit_words(runs: Column) -> Column:
     return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, runs in zip(batch.column("_text").to_pylist(), batch.column("hit_runs").to_pylist()):
-            if runs:
-                places = [m.span() for m in _WORDS.finditer(text)]
-                kept, at = [], 0
-                for start, stop in zip(runs[::2], runs[1::2]):
-                    kept.append(text[at : places[start][0]])
-                    at = places[stop - 1][1]
-                text = "".join([*kept, text[at:]])
-            texts.append(text)
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        yield pa.RecordBatch.from_pydict({**columns, "_text": pa.array(texts, pa.string())})
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = 0.5,
-                  window: int = WINDOW) -> DataFrame:
-    """``docs`` without benchmark passages, under the columns of ``docs``.
+                  max_length: int | None = None, window: int = WINDOW) -> DataFrame:
+    """``docs`` without benchmark passages, under the columns of ``docs``; only ``text`` may change.
 
-    A document of whose words more than ``max_coverage`` are hit goes; of the others the hit spans are cut out of the text.
-    With ``max_coverage`` 0 every document with a hit goes and all other texts stay as they are.
+    A document of whose words more than ``max_coverage`` are hit goes, and so does one with a match of ``max_length`` words or
+    more; of the others the hit spans are cut out of the text. Items shorter than a window are only ever cut out:
+    a document without a match of ``window`` words stays. With ``max_coverage`` 0 every text that is kept for want of
+    hits stays as it is.
     """
-    found = find_hits(docs, items, text, window=window).withColumn("_hit", hit_words(F.col("hit_runs")))
-    kept = found.where(F.col("_hit") <= max_coverage * F.col("n_words"))
-    if max_coverage > 0:
-        plain = kept.withColumn("_text", F.col(text))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-        kept = plain.mapInArrow(_cut_out, fields).withColumn(text, F.col("_text"))
-    return kept.select(*docs.columns)
+    # The row travels as one column, so none of its names meets one of the hits'.
+    rows, left = docs.select(F.struct("*").alias("_row")), F.col("_rest")
+    found = find_hits(rows, items, f"_row.{text}", ["_row"], window, rest=True).withColumn("_hit", hit_words(F.col("hit_runs")))
+    beyond = F.col("_hit") > max_coverage * F.col("n_words")
+    if max_length is not None:
+        beyond |= F.col("longest") >= max_length
+    kept = found.where(~(beyond & (F.col("longest") >= window)))
+    return kept.select(F.when(left.isNull(), F.col("_row")).otherwise(F.col("_row").withField(text, left)).alias("_row")).select("_row.*")
 
 
 def digests(found: DataFrame) -> DataFrame:

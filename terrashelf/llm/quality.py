@@ -27,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrashelf.llm.common import claim, small_batches, table
+from terrashelf.llm.common import claim, column_at, small_batches, table
 
 #: Places of words and of shapes, and length of their vectors.
 WORDS, SHAPES, SIZE = 1 << 14, 1 << 10, 48
@@ -83,7 +84,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(batch: pa.RecordBatch, column: str = "_text") -> Iterator[bytes]:
     claim("quality", _places.clear)
-    return (t.as_py() or b"" for t in pc.cast(batch.column(column), pa.binary()))
+    return (t.as_py() or b"" for t in pc.cast(column_at(batch, column), pa.binary()))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,15 +283,18 @@ def _scorer(shared, column: str):
     return run
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) and _score, the probability of label 1."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and _score, the probability of label 1.
+
+    ``text`` may name a field of a kept struct, which then goes to Python only once.
+    """
     small_batches(docs.sparkSession)
     names = keep or docs.columns
-    column = "text" if "text" in names else "_text"
-    rows = docs.select(*names) if column == "text" else docs.select(*names, F.col("text").alias("_text"))
+    column = text if text.split(".")[0] in names else "_text"
+    rows = docs.select(*names) if column == text else docs.select(*names, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(_scorer(shared, column), f"{fields}, _score double")
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "_text"])
+    return rows.mapInArrow(_scorer(shared, column), kept.add("_score", "double"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

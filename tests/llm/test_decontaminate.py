@@ -95,3 +95,25 @@ def test_automaton_against_all_substrings():
                     names.add(name)
         hit, _, found = automaton.hits(ws)
         assert set(hit.nonzero()[0].tolist()) == want and found == names
+
+
+def test_slices_fold_equal_items_and_cut_long_ones(spark):
+    same = [(i, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda") for i in range(500)]
+    long = (900, " ".join(f"w{i}" for i in range(1000)))
+    table, slices = decontaminate.item_slices(items_of(spark, [*same, long]), limit=100)
+    sizes = [sum(len(r.words) for r in table.where(table.bin.isin(bins)).collect()) for bins in slices]
+    assert all(sizes) and sum(len(r.ids) == 500 for r in table.collect()) == 1 and len(slices) <= 12
+    data = [(1, same[0][1]), (2, long[1]), (3, " ".join(f"w{i}" for i in range(95, 105)))]
+    found = decontaminate.find_hits(docs(spark, data), items_of(spark, [*same, long]), keep=["doc_id"], limit=100)
+    assert rows(decontaminate.digests(found).drop("longest")) == expected(data, [*same, long])
+
+
+def test_length_limit_and_short_items(spark):
+    items = items_of(spark, [(1, "the"), (2, " ".join(f"w{i}" for i in range(20)))])
+    data = [
+        (1, "Of the one the other " + "word " * 50), (2, "so " * 200 + " ".join(f"w{i}" for i in range(20))),
+        (3, "so " * 200 + " ".join(f"w{i}" for i in range(3, 14)) + " end"), (4, "the the the"), (5, None),
+    ]
+    kept = decontaminate.decontaminate(docs(spark, data), items, max_length=13)
+    assert {r.doc_id: (r.text or "").split() for r in kept.collect()} == {
+        1: ["Of", "one", "other"] + ["word"] * 50, 3: ["so"] * 200 + ["end"], 4: [], 5: []}

@@ -83,6 +83,26 @@ def test_odd_rows(spark):
     assert len(kept) == len(set(classes([f for _, f in prints])))
 
 
+def test_rows_keep_their_values(spark):
+    """Columns named like those of the stages come out with their own values."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "target", "items", "n_words", "hit_runs", "longest", "_file",
+             "_row", "_at", "_score", "_text", "_size", "_hit", "_rest", "_id", "fp", "root", "first", "size", "taken", "rate", "label"]
+    given = [(i, f"text of its own {i} " * 30, "en", f"s{i % 2}", 1, *[f"{n}{i}" for n in names[5:]]) for i in range(20)]
+    found = cut(spark.createDataFrame(given, names).repartition(2))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        found = cut(stage(spark, found, SF))
+        assert found.columns == names and {tuple(r) for r in found.collect()} <= set(given)
+    assert len({r.doc_id for r in found.collect()}) == 20
+
+
+def test_large_group_of_near_copies(spark):
+    base = [f"w{i}" for i in range(400)]
+    data = [(i, " ".join(base[:i % 397] + ["edit"] + base[i % 397 + 1 :])) for i in range(600)]
+    kept = stages.near_duplicate_stage(spark, cut(docs(spark, data)), SF).collect()
+    prints = [print_of(t) for _, t in data]
+    assert sorted(r.doc_id for r in kept) == sorted(set(classes(prints)))
+
+
 def test_empty(spark):
     found = cut(docs(spark, []))
     for _, stage in corpus_pipeline.STAGES:
