@@ -1,0 +1,129 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from terrashelf.llm import aligntokens
+from terrashelf.llm.common import table
+from tests.conftest import rows
+from tests.llm.data import LONG, ODD, docs
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def plain():
+    """Both tokenizers straight from their files, by their own libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(aligntokens.tokenizer_path(aligntokens.A_FILE))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=aligntokens.tokenizer_path(aligntokens.B_FILE))
+
+
+def tokens_of(plain, text):
+    """(id, bytes) of the tokens of both."""
+    a, b = plain
+    signs = aligntokens.byte_signs()
+    first = [(i, bytes(signs[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    second = []
+    for i in b.encode(text):
+        piece = b.id_to_piece(i)
+        raw = bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+        second.append((i, raw))
+    return first, second
+
+
+def expected(plain, data):
+    found, counts = [], Counter()
+    for doc_id, text in data:
+        groups = []
+        if text:
+            first, second = tokens_of(plain, text)
+            whole = (" " + text).encode()
+            if b"".join(t for _, t in first) == whole == b"".join(t for _, t in second):
+                a, b, at_a, at_b = [], [], 0, 0
+                second = iter(second)
+                for i, raw in first:
+                    a.append(i)
+                    at_a += len(raw)
+                    while at_b < at_a:
+                        j, more = next(second)
+                        b.append(j)
+                        at_b += len(more)
+                    if at_a == at_b:
+                        groups.append((a, b))
+                        a, b = [], []
+        found.append((doc_id, groups))
+        counts.update((a[-1], b[-1]) for a, b in groups)
+    best = {}
+    for (_, j), n in counts.items():
+        best[j] = max(n, best.get(j, 0))
+    result = []
+    for doc_id, groups in found:
+        links = [(a[-1], b[-1]) for a, b in groups]
+        ids = lambda t: ",".join(map(str, t))
+        text = ";".join(f"{ids(a)}|{ids(b)}" for a, b in groups)
+        result.append((
+            doc_id, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(links),
+            sum(counts[k] == best[k[1]] for k in links), sum(counts[k] for k in links),
+            hashlib.sha256(text.encode()).hexdigest() if groups else "",
+        ))
+    return sorted(result, key=repr)
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+TEXTS = [
+    "<|endoftext|> and </s><s> are text", "blank ▁ piece", "tab\there\r\nand  two  blanks ", " leading", "日本語 und ß",
+    "🙂 emoji‍🙂", "<0x41> is not a byte", "é combined é", "\x00\x01 control", "a" * 3000, "x" * 700 + " y",
+    "don't we'll I'M", "１２３ full width ﬁ ligature", " no break　wide", "1234567 12.5e-3", "<unk>",
+]
+
+
+def test_against_brute_force(spark, plain):
+    data = [*enumerate(TEXTS), *[(i, None if t is None else t) for i, t in ODD if t != LONG], (77, TEXTS[3]), (78, LONG[:5000])]
+    found = aligntokens.measures(docs(spark, data), ["doc_id"])
+    assert rows(found.select(*COLUMNS)) == expected(plain, data)
+
+
+def test_query_against_brute_force(spark, plain):
+    data = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    assert rows(aligntokens.op11_align_tokens(spark, SF).select(*COLUMNS)) == expected(plain, data)
+
+
+def test_long_texts_in_parts(spark, plain, monkeypatch):
+    monkeypatch.setattr(aligntokens, "PART", 50)
+    aligner = aligntokens.Aligner.of(aligntokens.paths())
+    for text in [LONG[:3000], "no.blank.between," * 40, *TEXTS, "mixed 12 a b c, d e é f g " * 30]:
+        first, second = tokens_of(plain, text)
+        want = ([i for i, _ in first], [i for i, _ in second])
+        good = b"".join(t for _, t in second) == (" " + text).encode()
+        assert aligner.encode(text) == (want if good else None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_same_tokens_as_the_file(plain, text):
+    aligner = aligntokens.Aligner.of(aligntokens.paths())
+    assert aligner.encoding.encode_ordinary(" " + text) == plain[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_copies_weigh(spark, plain):
+    rng = random.Random(3)
+    data = [(i, "the very same text") for i in range(200)] + [(1000 + i, f"other {rng.random()}") for i in range(20)]
+    found = aligntokens.measures(docs(spark, data), ["doc_id", "source"])
+    assert rows(found.select(*COLUMNS)) == expected(plain, data) and "source" in found.columns
+
+
+def test_pairs_are_bounded_by_the_vocabularies():
+    assert 100_000 < aligntokens.Aligner.of(aligntokens.paths()).most_pairs() < 1_000_000
+
+
+def test_empty(spark):
+    assert aligntokens.measures(docs(spark, []), ["doc_id"]).count() == 0
+    none = aligntokens.measures(docs(spark, [(1, None), (2, "")]), ["doc_id"])
+    assert rows(none.select(*COLUMNS)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]

@@ -1,0 +1,85 @@
+import hashlib
+import math
+import random
+
+import numpy as np
+
+from terrashelf.llm import centroids
+from tests.conftest import rows
+
+SCHEMA = "vec_id long, embedding array<float>, cluster string, p string"
+
+
+def expected(data, n=16, rounds=3):
+    """By plain distances to every centroid."""
+    kept = []
+    for vec_id, e in data:
+        if e is not None and len(e) == 64 and all(x is not None and math.isfinite(x) and abs(x) < 2**18 for x in e):
+            kept.append((vec_id, [math.floor(float(np.float32(x)) * 64) for x in e]))
+    digest = lambda v: (v[0] is None, hashlib.sha256(f"1:{v[0]}".encode()).hexdigest() if v[0] is not None else "", v[1])
+    middles = [v for _, v in sorted(kept, key=digest)[:n]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(middles))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(near(v)[1], []).append(v)
+        middles = [[sum(x) // len(groups[k]) for x in zip(*groups[k])] if k in groups else c for k, c in enumerate(middles)]
+    return sorted(((i, near(v)[1], near(v)[0]) for i, v in kept), key=repr), middles
+
+
+def made(n, seed, spread=0.2):
+    rng = random.Random(seed)
+    groups = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(9)]
+    return [(i, [x + rng.gauss(0, spread) for x in groups[rng.randrange(9)]]) for i in range(n)]
+
+
+def run(spark, data, **more):
+    df = spark.createDataFrame([(i, e, "c", "p") for i, e in data], SCHEMA).repartition(4)
+    found, middles = centroids.clustered(df, **more)
+    return rows(found), middles.tolist()
+
+
+def test_against_plain_distances(spark):
+    for data in (made(300, 1), made(120, 2, spread=3.0)):
+        assert run(spark, data) == expected(data)
+
+
+def test_odd_rows(spark):
+    good = made(40, 3)
+    odd = [
+        (100, None), (101, []), (102, [0.5] * 63), (103, [0.5] * 65), (104, [0.5] * 63 + [None]), (105, [0.5] * 63 + [math.nan]),
+        (106, [math.inf] + [0.5] * 63), (107, [-0.0] * 64), (107, [-0.0] * 64), (3, [-0.001] * 64), (None, [0.25] * 64),
+        (108, [1e30] * 64), (109, [262143.9] * 64),
+    ]
+    assert run(spark, good + odd) == expected(good + odd)
+
+
+def test_few_vectors_and_ties(spark):
+    data = [(i, [float(i % 2)] * 64) for i in range(6)] + [(None, [2.0] * 64)]
+    assert run(spark, data) == expected(data)
+    same = [(i, [0.5] * 64) for i in range(40)]
+    found, _ = run(spark, same)
+    assert {r[1:] for r in found} == {(0, 0)}
+
+
+def test_bounds_discard_and_never_lose():
+    rng = np.random.default_rng(4)
+    groups = rng.integers(-60, 60, (8, 64))
+    v = groups[rng.integers(0, 8, 3000)] + rng.integers(-4, 5, (3000, 64))
+    pivots, middles = v[:16], groups
+    cluster, best = centroids.nearest(v, centroids.squared(v, pivots), middles, pivots)
+    plain = centroids.squared(v, middles)
+    assert (cluster == plain.argmin(axis=1)).all() and (best == plain.min(axis=1)).all()
+    to, of = np.sqrt(centroids.squared(v, pivots)), np.sqrt(centroids.squared(middles, pivots))
+    bounds = np.stack([np.abs(to - row).max(axis=1) for row in of], axis=1)
+    assert (bounds <= np.sqrt(plain) + 1e-6).all() and (bounds**2 > best[:, None]).mean() > 0.5
+
+
+def test_large_values_stay_exact():
+    v = np.array([[centroids.LARGEST] * 64, [-centroids.LARGEST] * 64, [-centroids.LARGEST + 1] * 64])
+    cluster, best = centroids.nearest(v, centroids.squared(v, v), v, v)
+    assert cluster.tolist() == [0, 1, 2] and best.tolist() == [0, 0, 0]
+
+
+def test_empty(spark):
+    assert run(spark, []) == ([], [])
