@@ -13,9 +13,10 @@ then verified on the whole sets, and only verified pairs are links.
 
 Candidates are not all pairs of a bucket. First every member is paired with the one member of its bucket that meets most others,
 so a group of near copies gives about one candidate a member. Links found are connected, and buckets whose members are
-then connected need nothing more. In the others every member outside the component of the first is paired with its best
-untried partner of another component, and after that with all that are left; so no candidate between two components
-goes untried. Large buckets are dealt into cells of ``CELL`` members a side for this.
+then connected need nothing more. In the others every member outside the largest component is held against all members of
+other components, so no candidate between two components goes untried. Large buckets are dealt into cells of ``CELL``
+members a side for this, and the whole sets of members that have candidates are compared within their cells: no row is
+made per pair, only one per link that joins a member to a component.
 
 Equal sets are one node. Components come from the link table by star contractions; nothing of the corpus reaches the driver.
 
@@ -54,10 +55,12 @@ FILL = 8 * REGISTERS
 #: Least estimated similarity of a candidate.
 LEAST = 0.6
 #: Members on each side of a cell of a large bucket.
-CELL = 1024
+CELL = 512
+CELL_KEY = ["kind", "key", "i", "j"]
+#: Candidates of a member that are verified at a time.
+_TRIED = 64
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 _WIDTH = 2 * REGISTERS
-_CHUNK = 1 << 14
 
 
 def _constants(n: int) -> np.ndarray:
@@ -197,7 +200,7 @@ def _lister(width: int):
         claim("minhash")
         for batch in batches:
             for i, text in enumerate(pc.cast(batch.column("_text"), pa.binary())):
-                members = _set_of(text.as_py(), width).view(np.int64)
+                members = np.sort(_set_of(text.as_py(), width).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), pa.array(members))],
                     names=["node", "hashes"])
@@ -205,15 +208,16 @@ def _lister(width: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, placed: DataFrame, width: int) -> DataFrame:
-    """Of ``pairs(node_a, node_b)`` those whose whole sets are similar enough, as links (a, b).
-
-    Only the texts of nodes that occur in a pair are read again.
-    """
-    asked = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
-    places = sets.join(asked, "node").select("node", "at.*")
+def _whole_sets(nodes: DataFrame, sets: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """node and hashes, the sorted set, of ``nodes(node)``; only their texts are read again."""
+    places = sets.join(nodes, "node").select("node", "at.*")
     texts = placed.join(fitted(places), ["_file", "_at"]).select("node", "_text")
-    whole = cut(texts.mapInArrow(_lister(width), "node long, hashes array<long>"))
+    return cut(texts.mapInArrow(_lister(width), "node long, hashes array<long>"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """Of ``pairs(node_a, node_b)`` those whose whole sets are similar enough, as links (a, b)."""
+    whole = _whole_sets(pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct(), sets, placed, width)
     side = lambda name: whole.select(F.col("node").alias(f"node_{name}"), F.col("hashes").alias(f"hashes_{name}"))
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
     enough = both * 100 >= (F.size("hashes_a") + F.size("hashes_b") - both) * SIMILAR
@@ -245,58 +249,115 @@ def _cells(rest: DataFrame) -> DataFrame:
     return every.unionByName(asking).drop("main", "many", "others")
 
 
-def _tried(best: bool):
-    def cell(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, root, n, asks, regs = rows
-        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for one in x:
-            able = y[(root[y] != root[one]) & _close(n[y], n[one])]
-            if not len(able):
-                continue
-            found = estimated(regs[able], regs[one], n[able], n[one])
-            picked = able[found >= LEAST]
-            if best and len(picked):
-                found = found[found >= LEAST]
-                picked = picked[np.lexsort((node[picked], -found))[:1]]
-            if len(picked):
-                a, b = np.minimum(node[picked], node[one]), np.maximum(node[picked], node[one])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["node_a", "node_b"])
+def _by_cell(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[tuple[list, dict[str, np.ndarray], list]]:
+    """Rows sorted by cell: the cell, its columns as arrays, and the columns ``more`` as Arrow values.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by cell to pairs; a cell may go on in the next batch."""
-        held = None
-        for batch in batches:
-            names = ("kind", "key", "i", "j", "node", "root", "n", "depth")
-            rows = [batch.column(c).to_numpy() for c in names]
-            at = rows[0] // BANDS
-            rows = [*rows[:7], batch.column("asks").to_numpy(zero_copy_only=False), _shared(_rows_of(batch.column("regs")), rows[7], at)]
-            if held is not None:
-                rows = [np.concatenate(pair) for pair in zip(held, rows)]
-            new = reduce(np.logical_or, [r[1:] != r[:-1] for r in rows[:4]])
-            starts = np.append(0, np.flatnonzero(new) + 1)
-            for a, b in zip(starts[:-1], starts[1:]):
-                yield from cell([r[a:b] for r in rows[4:]])
-            held = [r[starts[-1] :] for r in rows]
-        if held is not None:
-            yield from cell([r for r in held[4:]])
-
-    return run
-
-
-def more_pairs(met: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame, best: bool) -> DataFrame | None:
-    """Untried candidates between components in buckets that are not yet connected; with ``best`` one a member and cell."""
+    Of a row's registers those of the bucket's level are given; a cell may go on in the next batch.
+    """
+    names = ["node", "root", "n", "asks"]
+
+    def cells(rows: pa.Table) -> Iterator[tuple[list, dict[str, np.ndarray], list]]:
+        where = [rows.column(c).to_numpy() for c in CELL_KEY]
+        new = reduce(np.logical_or, [w[1:] != w[:-1] for w in where])
+        starts = np.append(0, np.flatnonzero(new) + 1).tolist()
+        depth, regs = rows.column("depth").to_numpy(), _rows_of(rows.column("regs").combine_chunks())
+        found = {c: rows.column(c).to_numpy() for c in names} | {"regs": _shared(regs, depth, where[0] // BANDS)}
+        extra = [rows.column(c).combine_chunks() for c in more]
+        for start, stop in zip(starts, [*starts[1:], rows.num_rows]):
+            yield [w[start] for w in where], {c: v[start:stop] for c, v in found.items()}, [e.slice(start, stop - start) for e in extra]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        last = tuple(batch.column(c)[-1].as_py() for c in CELL_KEY)
+        if held and last == tuple(held[0].column(c)[0].as_py() for c in CELL_KEY):
+            held.append(batch)
+            continue
+        # All cells but the last one have ended.
+        same = reduce(np.logical_and, [batch.column(c).to_numpy() == v for c, v in zip(CELL_KEY, last)])
+        at = int(np.flatnonzero(same)[0])
+        ended = pa.Table.from_batches([*held, batch.slice(0, at)])
+        if ended.num_rows:
+            yield from cells(ended)
+        held = [batch.slice(at)]
+    if held:
+        yield from cells(pa.Table.from_batches(held))
+
+
+def _asked(kind: int, cell: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking member with its candidates of other components, the likeliest first.
+
+    A pair that meets in several bands of a level is a candidate in the first of them alone.
+    """
+    node, root, n, regs = (cell[c] for c in ("node", "root", "n", "regs"))
+    y = np.flatnonzero(~cell["asks"])
+    for one in np.flatnonzero(cell["asks"]):
+        able = y[(root[y] != root[one]) & _close(n[y], n[one])]
+        if not len(able):
+            continue
+        found = estimated(regs[able], regs[one], n[able], n[one])
+        same = (regs[able] == regs[one]).reshape(-1, BANDS, ROWS).all(axis=-1)
+        good = (found >= LEAST) & (same.argmax(axis=1) == kind % BANDS)
+        if good.any():
+            yield one, able[good][np.argsort(-found[good], kind="stable")]
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every cell the members that have a candidate or are one."""
+    for where, cell, _ in _by_cell(batches, []):
+        met = np.zeros(len(cell["node"]), dtype=bool)
+        for one, others in _asked(where[0], cell):
+            met[one] = True
+            met[others] = True
+        at = np.flatnonzero(met)
+        if len(at):
+            columns = [pa.array(np.full(len(at), w)) for w in where] + [pa.array(cell["asks"][at]), pa.array(cell["node"][at])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*CELL_KEY, "asks", "node"])
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted sets are similar enough to ``one``."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+    return both * 100 >= (len(one) + sizes - both) * SIMILAR
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the members of every cell, verified on their whole sets: one from a member to each component it is linked with."""
+    for where, cell, (hashes,) in _by_cell(batches, ["hashes"]):
+        sets = [h.values.to_numpy() for h in hashes]
+        a, b = [], []
+        for one, others in _asked(where[0], cell):
+            done: set[int] = set()
+            for at in range(0, len(others), _TRIED):
+                some = [o for o in others[at : at + _TRIED].tolist() if cell["root"][o] not in done]
+                if not some:
+                    continue
+                for o in np.array(some)[_similar(sets[one], [sets[o] for o in some])].tolist():
+                    if cell["root"][o] not in done:
+                        done.add(cell["root"][o])
+                        a.append(cell["node"][one])
+                        b.append(cell["node"][o])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def links_in_open_buckets(met: DataFrame, sets: DataFrame, links: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """Links between the components that ``links`` leave, from the buckets that still hold several."""
     roots = cut(connect(links))
-    rooted = met.join(roots, "node", "left").select("kind", "key", "node", "many", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted)
+    rooted = cut(met.join(roots, "node", "left").select("kind", "key", "node", "many", F.coalesce("root", "node").alias("root")))
     counts = rooted.groupBy("kind", "key", "root").agg(F.count("*").alias("c"))
     main = F.max(F.struct("c", "root")).alias("m")
     open_ = counts.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), main).where("parts > 1")
     open_ = open_.select("kind", "key", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
-    rest = rooted.join(open_, ["kind", "key"]).join(sets.select("node", "n", "depth", "regs"), "node")
-    dealt = _cells(rest).repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j")
-    pairs = dealt.mapInArrow(_tried(best), "node_a long, node_b long").distinct()
-    pairs = cut(pairs.join(tried, ["node_a", "node_b"], "left_anti"))
-    return pairs if pairs.limit(1).count() else None
+    known = sets.select("node", "n", "depth", "regs")
+    rest = rooted.join(open_, ["kind", "key"]).join(known, "node")
+    placed_in = lambda rows: rows.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY)
+    partners = cut(placed_in(_cells(rest)).mapInArrow(_partners, "kind int, key long, i int, j int, asks boolean, node long"))
+    whole = _whole_sets(partners.select("node").distinct(), sets, placed, width)
+    rows = partners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(known, "node").join(whole, "node")
+    return placed_in(rows).mapInArrow(_linked_in_cells, "a long, b long").distinct()
 
 
 def linked(sets: DataFrame, placed: DataFrame, width: int) -> DataFrame:
@@ -304,15 +365,8 @@ def linked(sets: DataFrame, placed: DataFrame, width: int) -> DataFrame:
     bands = _bands(sets)
     many = bands.groupBy("kind", "key").agg(F.count("*").alias("many")).where("many > 1")
     met = cut(bands.join(many, ["kind", "key"]))
-    tried = cut(likely(first_pairs(met), sets))
-    links = cut(verified(tried, sets, placed, width))
-    for best in (True, False):
-        pairs = more_pairs(met, sets, links, tried, best)
-        if pairs is None:
-            break
-        links = cut(links.unionByName(verified(pairs, sets, placed, width)))
-        tried = tried.unionByName(pairs)
-    return links
+    links = cut(verified(cut(likely(first_pairs(met), sets)), sets, placed, width))
+    return cut(links.unionByName(links_in_open_buckets(met, sets, links, placed, width)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
