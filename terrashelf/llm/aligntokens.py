@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import claim, small_batches, table
+from terrashelf.llm.common import byte_signs, claim, small_batches, table
 from terrashelf.session import cut
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -51,13 +51,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_signs() -> dict[str, int]:
-    """The byte that each sign of a byte-level vocabulary stands for: printable ones themselves, others in order from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Aligner:
     """Both tokenizers with their tokens' bytes; kept by a Python process over all of its tasks."""
 

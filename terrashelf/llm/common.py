@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 from functools import reduce
 
@@ -49,6 +51,13 @@ def fitted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(written) if size <= limit else written
 
 
+def byte_signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable ones themselves, others in order from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
     """A column of the batch, or a field of a struct column that is never null."""
     first, *rest = path.split(".")
@@ -63,5 +72,8 @@ def claim(name: str, forget: Callable[[], None] | None = None) -> None:
     for other in [n for n in _kept if n != name]:
         _kept.pop(other)()
         pa.default_memory_pool().release_unused()
+        # What the C library holds back of freed memory would count beside the next operator's.
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
     if forget is not None:
         _kept[name] = forget

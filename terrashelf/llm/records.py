@@ -16,8 +16,9 @@ frames into files on any file system it knows; readers go by the lengths.
 The index is a table beside the files: shard, place, offset, bytes, doc_id, n_tokens, start. A shuffled reader takes any
 rows of it and reads those byte ranges.
 
-Tokens are those of the whole text, although a word is encoded once and kept: the tokenizer in use never joins
+Tokens are those of the whole text, although words are encoded one by one and kept: the tokenizer in use never joins
 anything across ASCII blanks and lower-cases first; a text that holds the start of a special token is encoded as it is.
+Words of Latin letters go through the same vocabulary and merges as a ``tiktoken`` encoding, all others through the file.
 
 Cases: a null text is empty and has only the end token. Null identifiers come last and are read back as null. Rows that
 repeat an identifier each have a record. Further columns are not carried. An empty table gives no records.
@@ -25,7 +26,9 @@ repeat an identifier each have a record. Further columns are not carried. An emp
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import claim, fitted, small_batches, table
+from terrashelf.llm.common import byte_signs, claim, fitted, small_batches, table
 from terrashelf.session import cut, scratch_path
 
 #: Fixed values of the format.
@@ -49,17 +52,23 @@ HAS_ID = 1
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words a Python process keeps the tokens of; at more it starts afresh, and of the ones before keeps those that come again.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 60_000
 #: Signs that the tokenizer parts from a letter before them (an apostrophe may belong to it).
 MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
 SPAN_BYTES = 2_000_000
-#: Bytes of text of a shard on average, at most.
+#: Bytes of text of a range on average, at most.
 SHARD_BYTES = 128 * 1024 * 1024
+#: Bytes of frames that are written as one piece, and pieces of a file: neighbours of 100 MB each still stay below 2 GB.
+PIECE_BYTES, PIECES = 8 * 1024 * 1024, 16
+#: More than a write has tasks.
+FILES = 1 << 32
 #: What a token that ends a word is written with.
 WORD_END = "</w>"
 #: Stands between words that are encoded together.
 MARK = "\x01"
+#: Lower-case words of these letters alone are one piece to the tokenizer, and stay as they are when it normalises them.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014b-\u017f]+")
 
 
 def masked(data: bytes) -> int:
@@ -91,10 +100,31 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.ids, self.lasts = self._word_encoding(path)
+
+    def _word_encoding(self, path: str):
+        """The vocabulary as an encoding of words that each end in ``MARK``, its ids and which of its tokens end a word.
+
+        A word's last byte and the mark are merged before anything else, then pairs merge in the file's order.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        signs, mark = byte_signs(), MARK.encode()
+        ended = lambda t: bytes(map(signs.__getitem__, t.removesuffix(WORD_END))) + mark * t.endswith(WORD_END)
+        one = [bytes([b]) for b in range(256)]
+        ranks = {data: i for i, data in enumerate([*one, *(b + mark for b in one)])}
+        for merge in model["merges"]:
+            pair = merge.split(" ") if isinstance(merge, str) else merge
+            ranks.setdefault(b"".join(map(ended, pair)), len(ranks))
+        special = set(self.special)
+        ids = {ended(t): i for t, i in model["vocab"].items() if t not in special}
+        encoding = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+        known = np.array([ids.get(data, 0) for data in ranks], dtype=self.kind)
+        return encoding, known, np.array([data.endswith(mark) for data in ranks])
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -111,34 +141,31 @@ class Encoder:
         plain, found = [], {}
         for word in words:
             text = word.decode()
-            if text.lower().isalpha():
-                plain.append((word, text))
+            if LETTERS.fullmatch(low := text.lower()):
+                plain.append((word, low))
             else:
                 found[word] = text
         rest = list(found.items())
-        for pairs, marks in ((plain, False), (rest, True)):
-            for at in range(0, len(pairs), 2000):
-                some = pairs[at : at + 2000]
-                pieces = self._together([text for _, text in some], marks)
-                found.update(zip((word for word, _ in some), pieces))
+        found.update(zip((word for word, _ in plain), self._letters([low for _, low in plain])))
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
+            found.update(zip((word for word, _ in some), self._together([text for _, text in some])))
         return [found[word] for word in words]
 
-    def _together(self, texts: list[str], marks: bool) -> list[bytes]:
-        """The tokens of each of ``texts``, encoded in one go.
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The tokens of words of letters."""
+        places = np.array(self.words.encode_ordinary(MARK.join([*words, ""])), dtype=np.int64)
+        data = self.ids[places].tobytes()
+        ends = ((np.flatnonzero(self.lasts[places]) + 1) * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-        With ``marks`` a sign that is a token of its own stands between them. Without, every text is one run of letters,
-        whose last token is one that ends a word; should that not give as many pieces as texts, marks are used.
-        """
-        between = f" {MARK} " if marks else " "
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """The tokens of each of ``texts``, encoded in one go with a sign that is a token of its own between them."""
+        between = f" {MARK} "
         ids = np.array(self.tokenizer.encode(between.join(texts), add_special_tokens=False).ids, dtype=self.kind)
         data = ids.tobytes()
-        if marks:
-            cuts = (np.flatnonzero(ids == self.mark) * self.width).tolist()
-            return [data[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
-        ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
-        if len(ends) != len(texts) or ends[-1] != len(data):
-            return self._together(texts, True)
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+        cuts = (np.flatnonzero(ids == self.mark) * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
 
     def _learn(self, words: set[bytes]) -> None:
         """Add words: one that ends in marks after a letter is its stem and the marks, which the tokenizer parts there."""
@@ -189,18 +216,25 @@ def _spans(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
         yield ids, texts
 
 
-def _framer(path_of, end_id: int):
+def _framer(path_of, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder, held, size = None, [], 0
         for batch in batches:
             encoder = encoder or Encoder.of(path_of())
             end = int(end_id).to_bytes(encoder.width, "little")
             for ids, texts in _spans(batch):
-                frames = [
-                    framed(payload_of(doc_id, tokens + end, encoder.width))
-                    for doc_id, tokens in zip(ids, encoder.encode(texts))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                for doc_id, tokens in zip(ids, encoder.encode(texts)):
+                    held.append(framed(payload_of(doc_id, tokens + end, encoder.width)))
+                    size += len(held[-1])
+                    if size >= most:
+                        yield row(held)
+                        held, size = [], 0
+        if held:
+            yield row(held)
+
+    def row(frames: list[bytes]) -> pa.RecordBatch:
+        """Frames as one row of text: the line end after the last is the writer's."""
+        return pa.RecordBatch.from_arrays([pa.array([b"\n".join(frames)], pa.binary())], names=["frames"])
 
     return run
 
@@ -215,7 +249,8 @@ def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: in
     """Write ``docs(doc_id, text)`` as record files below ``path/records`` and their index to ``path/index``.
 
     Rows are dealt by identifier, then by the text's hash, then by row, so equal and null identifiers, and copies of one row,
-    spread over shards. There are as many shards as keep their text at ``SHARD_BYTES`` on average.
+    spread over shards. There are as many ranges as keep their text at ``SHARD_BYTES`` on average; a task writes its range in
+    pieces of ``PIECE_BYTES`` or one longer record, and begins a new file after ``PIECES`` of them.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -229,12 +264,12 @@ def write_records(docs: DataFrame, path: str, path_of=tokenizer_path, end_id: in
     # Spark merges small partitions only if it is left to choose their number.
     more = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
     placed = rows.repartitionByRange(*more, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    frames = placed.mapInArrow(_framer(path_of, end_id), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
+    frames = placed.mapInArrow(_framer(path_of, end_id, PIECE_BYTES), "frames binary").select(F.col("frames").cast("string").alias("value"))
+    frames.write.option("lineSep", "\n").option("maxRecordsPerFile", PIECES).text(f"{path}/records")
     # Written before the totals are taken, so that the files are walked once.
     index = cut(scan(docs.sparkSession, path, payloads=False))
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("shard") % FILES, "shard").rowsBetween(Window.unboundedPreceding, -1)
     first = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     index.join(fitted(first), "shard").select(
         "shard", "place", "offset", "bytes", "doc_id", "n_tokens", (F.col("first") + F.col("start")).alias("start")
@@ -291,14 +326,15 @@ def _scanner(payloads: bool):
 
 
 def _shard() -> Column:
-    return F.regexp_extract(F.col("path"), r"/part-(\d+)-[^/]*$", 1).cast("long").alias("shard")
+    """The number of the task that wrote a file, plus ``FILES`` for each file of that task before it."""
+    number = lambda pattern: F.regexp_extract(F.col("path"), pattern, 1).cast("long")
+    return (number(r"/part-(\d+)-[^/]*$") + FILES * number(r"-c(\d+)[^/]*$")).alias("shard")
 
 
 def scan(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The record files below ``path`` read back and checked, one row a record; with ``payloads`` the tokens' CRC-32.
 
-    A file is one row of its reader, which Spark takes up to 2 GB; ``SHARD_BYTES`` bounds the mean file, not each one, so
-    documents that are many times longer than the rest should not all be neighbours by identifier. ``start`` counts from
+    A file is one row of its reader, which Spark takes up to 2 GB; files hold at most ``PIECES`` pieces. ``start`` counts from
     the start of the file.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from terrashelf.llm import aligntokens
-from terrashelf.llm.common import table
+from terrashelf.llm.common import byte_signs, table
 from tests.conftest import rows
 from tests.llm.data import LONG, ODD, docs
 
@@ -28,7 +28,7 @@ def plain():
 def tokens_of(plain, text):
     """(id, bytes) of the tokens of both."""
     a, b = plain
-    signs = aligntokens.byte_signs()
+    signs = byte_signs()
     first = [(i, bytes(signs[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
     second = []
     for i in b.encode(text):

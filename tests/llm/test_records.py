@@ -97,3 +97,25 @@ def test_hot_identifiers_spread_over_shards(spark, monkeypatch):
 
 def test_empty(spark):
     assert records.written(docs(spark, [])).count() == 0
+
+
+def test_long_neighbours_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(records, "PIECE_BYTES", 2000)
+    monkeypatch.setattr(records, "PIECES", 2)
+    data = [(i, f"long text {i} " * (900 if 20 <= i < 60 else 3)) for i in range(90)] + [(None, "end")]
+    path = scratch_path(spark, "records-long")
+    records.write_records(docs(spark, data).coalesce(1), path)
+    files = spark.read.format("binaryFile").load(f"{path}/records/part-*").select("length").collect()
+    assert len(files) >= 20 and max(r.length for r in files) < 20_000
+    found = sorted((tuple(r) for r in records.written(docs(spark, data)).collect()), key=lambda r: r[1])
+    assert found == expected(data)
+
+
+def test_words_of_letters_as_the_file_has_them():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêñçœæøåšžřőű"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    words += ["Straße", "ÉCOLE", "İstanbul", "ŉ", "\u212a", "\u212b", "ſo", "Ǆ", "ΣΑΣ", "été", "x" * 900, "naïve", "i"]
+    encoder = records.Encoder.of(records.tokenizer_path())
+    got = encoder.encode([w.encode() for w in words])
+    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [ids_of(w)[:-1] for w in words]
