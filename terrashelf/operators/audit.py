@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +46,28 @@ def email_checks(email: str = "email") -> dict[str, Column]:
     }
 
 
-def duplicate_keys(df: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """Key values that occur more than once, per unique key; rows with a null in the key never clash."""
-    found = None
-    for key in keys:
-        present = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
-        repeated = present.groupBy(*key).count().where("count > 1").select(
-            F.lit(",".join(key)).alias("unique_key"),
-            F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("value"),
-            F.col("count").alias("n_rows"),
+def key_entries(keys: list[list[str]]) -> Column:
+    """A row's complete unique keys as (number of the key, its values); keys with a null are left out."""
+    entries = [
+        F.when(
+            reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in key)),
+            F.struct(F.lit(i).alias("k"), F.array(*[F.col(c).cast("string") for c in key]).alias("v")),
         )
-        found = repeated if found is None else found.unionByName(repeated)
-    return found
+        for i, key in enumerate(keys)
+    ]
+    return F.array_compact(F.array(*entries))
+
+
+def duplicate_keys(df: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """Key values that occur more than once, per unique key; rows with a null in the key never clash.
+
+    All keys are counted in one pass over the table: each row is listed under every key it has, and counts are added up
+    before the exchange, so a value that most rows share is one row a task.
+    """
+    names = F.array(*[F.lit(",".join(key)) for key in keys])
+    counted = df.select(F.inline(key_entries(keys))).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.where("n_rows > 1").select(
+        names[F.col("k")].alias("unique_key"), F.array_join("v", "|").alias("value"), "n_rows")
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

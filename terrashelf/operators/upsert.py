@@ -4,26 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrashelf.functions.text import clean_flag, vat_key
-from terrashelf.operators.audit import email_checks, row_checks
+from terrashelf.operators.audit import email_checks, key_entries, row_checks
+from terrashelf.operators.components import connect
 from terrashelf.operators.ranking import numbered
-from terrashelf.session import cut, scratch_path
+from terrashelf.session import cut, scratch_path, ship
 
 
-def _key_entries(keys: list[list[str]]) -> Column:
-    """A row's complete unique keys as (number of the key, its values); keys with a null are left out."""
-    entries = [
-        F.when(
-            reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in key)),
-            F.struct(F.lit(i).alias("k"), F.array(*[F.col(c).cast("string") for c in key]).alias("v")),
-        )
-        for i, key in enumerate(keys)
-    ]
-    return F.array_compact(F.array(*entries))
+#: Rounds over all rows before what is left is taken apart into components.
+EAGER_ROUNDS = 3
+#: Entries of a component that one task scans; larger components go on in rounds.
+COMPONENT_ENTRIES = 1_000_000
+
+
+def _round(undecided: DataFrame, path: str) -> DataFrame:
+    """Write the rows that are first in all their key groups below ``path``; gives those that clash with none of them."""
+    heads = undecided.groupBy("k", "v").agg(F.min("_row").alias("_first"))
+    marked = cut(undecided.join(heads, ["k", "v"]))
+    winners = marked.groupBy("_row").agg(F.bool_and(F.col("_first") == F.col("_row")).alias("_take")).where("_take").select("_row")
+    winners.write.mode("append").parquet(path)
+    # A row clashes with a winner exactly when a winner heads one of its keys.
+    settled = marked.join(winners.withColumnRenamed("_row", "_first"), "_first", "left_semi").select("_row").distinct()
+    return cut(marked.join(settled, "_row", "left_anti").select("_row", "k", "v"))
+
+
+def _scanned(schema: T.StructType):
+    """A function that scans the entries of one component in order and keeps the rows that clash with none kept before."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        ordered = entries.sort_by("_row")
+        taken, kept = set(), []
+        rows = zip(*(ordered.column(c).to_pylist() for c in ("_row", "k", "v")))
+        for row, group in groupby(rows, key=lambda r: r[0]):
+            values = [(k, tuple(v)) for _, k, v in group]
+            if taken.isdisjoint(values):
+                taken.update(values)
+                kept.append(row)
+        return pa.table([pa.array(kept, ordered.schema.field("_row").type)], names=[schema.fieldNames()[0]])
+
+    return run
+
+
+def _by_component(undecided: DataFrame, path: str, tell: Callable[[int], None]) -> DataFrame:
+    """Scan every component of clashing rows in a task of its own; gives the entries of those too large for that."""
+    heads = undecided.groupBy("k", "v").agg(F.min("_row").alias("_first"))
+    clashes = undecided.join(heads, ["k", "v"]).select(F.col("_row").alias("a"), F.col("_first").alias("b"))
+    roots = cut(connect(clashes, tell).withColumnRenamed("node", "_row"))
+    rooted = cut(undecided.join(roots, "_row", "left").withColumn("root", F.coalesce("root", "_row")))
+    ship(undecided.sparkSession)
+    small = rooted.groupBy("root").count().where(F.col("count") <= COMPONENT_ENTRIES).select("root")
+    taken = undecided.select("_row").schema
+    rooted.join(small, "root").groupBy("root").applyInArrow(_scanned(taken), taken).write.mode("append").parquet(path)
+    return cut(rooted.join(small, "root", "left_anti").drop("root"))
 
 
 def insert_ignore(
@@ -33,41 +72,37 @@ def insert_ignore(
 
     Gives what a scan in ``order`` (unique) gives that skips rows clashing with the table or with a
     row it took. All keys are handled in one long table of (row, key, value) without the payload.
-    Each round takes the rows that are first in all their key groups and drops those that clash with
-    them; the first row left is always taken, so the loop ends. A chain in which every row clashes with the one before
-    takes a round for every second row, as each decision rests on the one before; ``report`` is told the number of rounds.
-    Winners of all rounds go to one table.
+    A round takes the rows that are first in all their key groups and drops those that clash with them. What
+    ``EAGER_ROUNDS`` of them leave, chains in which each decision rests on the one before, is taken apart into
+    components of clashing rows, and each is scanned in order by one task. Only components of more than
+    ``COMPONENT_ENTRIES`` go on in rounds. ``report`` is told the number of rounds, those that find components included.
     """
-    entries = incoming.select(F.col(order).alias("_row"), _key_entries(keys).alias("_keys"))
+    entries = incoming.select(F.col(order).alias("_row"), key_entries(keys).alias("_keys"))
     keyless = entries.where(F.size("_keys") == 0).select("_row")
     # Copies that agree in all keys: only the first can ever be taken.
     firsts = entries.where(F.size("_keys") > 0).groupBy("_keys").agg(F.min("_row").alias("_row"))
     offered = firsts.select("_row", F.inline("_keys"))
-    known = existing.select(F.inline(_key_entries(keys)))
+    known = existing.select(F.inline(key_entries(keys)))
     clashing = offered.join(known, ["k", "v"], "left_semi").select("_row").distinct()
     undecided = offered.join(clashing, "_row", "left_anti")
-    rounds = 0
+    told: list[int] = []
     if len(keys) == 1:
         taken = keyless.unionByName(undecided.groupBy("k", "v").agg(F.min("_row").alias("_row")).select("_row"))
     else:
         path = scratch_path(incoming.sparkSession, "taken")
         keyless.write.parquet(path)
         while True:
-            rounds += 1
-            heads = undecided.groupBy("k", "v").agg(F.min("_row").alias("_first"))
-            marked = cut(undecided.join(heads, ["k", "v"]))
-            winners = marked.groupBy("_row").agg(F.bool_and(F.col("_first") == F.col("_row")).alias("_take")).where(
-                "_take"
-            ).select("_row")
-            winners.write.mode("append").parquet(path)
-            # A row clashes with a winner exactly when a winner heads one of its keys.
-            settled = marked.join(winners.withColumnRenamed("_row", "_first"), "_first", "left_semi").select("_row").distinct()
-            undecided = cut(marked.join(settled, "_row", "left_anti").select("_row", "k", "v"))
+            undecided = _round(undecided, path)
+            told.append(1)
             if undecided.isEmpty():
                 break
+            if len(told) == EAGER_ROUNDS:
+                undecided = _by_component(undecided, path, told.append)
+                if undecided.isEmpty():
+                    break
         taken = incoming.sparkSession.read.schema(keyless.schema).parquet(path)
     if report is not None:
-        report(rounds)
+        report(sum(told))
     return incoming.join(taken.withColumnRenamed("_row", order), order, "left_semi").select(*incoming.columns)
 
 
@@ -104,6 +139,37 @@ def upsert(
     return both.select(*[column(c) for c in current.columns], action.alias("action"))
 
 
+#: The column a stored table is partitioned by.
+PART = "_part"
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def store(table: DataFrame, path: str, key: str, parts: int) -> None:
+    """Write a table in ``parts`` partitions by the hash of its key, as ``upsert_stored`` takes it."""
+    table.withColumn(PART, _part(key, parts)).repartition(PART).write.partitionBy(PART).parquet(path)
+
+
+def upsert_stored(
+    spark: SparkSession, path: str, incoming: DataFrame, key: str, updated: list[str], do_update: bool, parts: int
+) -> DataFrame:
+    """``upsert`` into the table that ``store`` wrote at ``path`` with as many ``parts``; gives key and action of the rows read.
+
+    Only partitions that hold a key of ``incoming`` are read and written anew; the files of all others stay as they are. The
+    new partitions are complete in the shared folder before the first old one is replaced.
+    """
+    sent = cut(incoming.withColumn(PART, _part(key, parts)))
+    # At most ``parts`` numbers.
+    hit = [r[0] for r in sent.select(PART).distinct().collect()]
+    current = spark.read.parquet(path).where(F.col(PART).isin(hit)).drop(PART)
+    new = cut(upsert(current, sent.drop(PART), key, updated, do_update))
+    changed = new.drop("action").withColumn(PART, _part(key, parts)).repartition(PART)
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    return new.select(key, "action")
+
+
 DONOR_UPDATED = ["scope", "shortname", "vat_id", "legalname", "wikidata_id", "url", "kx_vat_id"]
 PACK_UPDATED = ["donor_id", "user_resp", "accepted_date", "escopo", "about", "config_commom", "info"]
 

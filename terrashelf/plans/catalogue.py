@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrashelf.session import cut
+
 
 def pack_donors(pack: DataFrame, donor: DataFrame) -> DataFrame:
     """Packs with their donor's columns, one row per pack.
@@ -164,35 +168,45 @@ def publish(tables: dict[str, DataFrame]) -> None:
         tables[name].createOrReplaceTempView(name)
 
 
-def ancestors(jurisdiction: DataFrame) -> DataFrame:
-    """Country, state and municipality columns for every jurisdiction, whatever its own level.
+#: The administrative levels of a country, a state and a municipality.
+LEVELS = {"country": 2, "state": 4, "municipality": 8}
+
 
-    Two parent joins cover the three levels; a level that the row's chain lacks is null.
+def _climbed(jurisdiction: DataFrame) -> DataFrame:
+    """osm_id with the label of its nearest ancestor, itself included, at each of ``LEVELS``, and ``up``: null at a chain's end.
+
+    Each round doubles how far a row has looked: it takes over what the row it has reached knows, and where that one has
+    got to. A chain of n rows needs about log2(n) rounds; after as many as the whole table could need, a row that still
+    goes up leads into a cycle.
     """
-    def parents(prefix: str) -> DataFrame:
-        return jurisdiction.select(
-            F.col("osm_id").alias(f"{prefix}_id"),
-            F.col("parent_id").alias(f"{prefix}_up"),
-            F.col("admin_level").alias(f"{prefix}_level"),
-            F.col("isolabel_ext").alias(f"{prefix}_label"),
-        )
+    at = lambda level: F.when(F.col("admin_level") == level, F.col("isolabel_ext"))
+    rows = cut(jurisdiction.select("osm_id", F.col("parent_id").alias("up"), *[at(n).alias(name) for name, n in LEVELS.items()]))
+    done = []
+    for _ in range(rows.count().bit_length() + 1):
+        reached = rows.select(
+            F.col("osm_id").alias("up"), F.col("up").alias("_next"), *[F.col(name).alias(f"_{name}") for name in LEVELS])
+        for ended in done:
+            reached = reached.unionByName(ended.select(
+                F.col("osm_id").alias("up"), F.col("up").alias("_next"), *[F.col(name).alias(f"_{name}") for name in LEVELS]))
+        climbed = cut(rows.where("up IS NOT NULL").join(reached, "up", "left").select(
+            "osm_id", F.col("_next").alias("up"), *[F.coalesce(name, f"_{name}").alias(name) for name in LEVELS]))
+        done.append(rows.where("up IS NULL"))
+        rows = climbed
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done, rows)
 
-    chained = (
-        jurisdiction.select("osm_id", "parent_id", "admin_level", "isolabel_ext")
-        .join(parents("p"), F.col("parent_id") == F.col("p_id"), "left")
-        .join(parents("g"), F.col("p_up") == F.col("g_id"), "left")
-    )
 
-    def at_level(level: int):
-        return F.coalesce(
-            F.when(F.col("admin_level") == level, F.col("isolabel_ext")),
-            F.when(F.col("p_level") == level, F.col("p_label")),
-            F.when(F.col("g_level") == level, F.col("g_label")),
-        )
+def ancestors(jurisdiction: DataFrame) -> DataFrame:
+    """Country, state and municipality columns for every jurisdiction, whatever its own level and however deep it lies.
 
-    return chained.select(
-        "osm_id",
-        at_level(2).alias("country"),
-        at_level(4).alias("state"),
-        at_level(8).alias("municipality"),
-    )
+    Of several ancestors of one level the nearest counts; a level that the row's chain lacks is null. A parent that is
+    not in the table ends the chain. Rows that lead into a cycle get what lies on it (see ``ancestor_cycles``).
+    """
+    return _climbed(jurisdiction).select("osm_id", *LEVELS)
+
+
+def ancestor_cycles(jurisdiction: DataFrame) -> DataFrame:
+    """Audit rows for the jurisdictions whose chain of parents never ends."""
+    return _climbed(jurisdiction).where("up IS NOT NULL").select(
+        F.lit(False).alias("is_valid"), F.col("osm_id").cast("string").alias("name"), F.lit("parents form a cycle").alias("invalid_explain"))

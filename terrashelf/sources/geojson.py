@@ -2,133 +2,53 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashelf.functions import jsonobj
 from terrashelf.operators.ranking import numbered
-from terrashelf.session import ship
-
-
-_DECODER = json.JSONDecoder()
-_BLANKS = re.compile(r"[ \t\n\r]*")
-
-
-def _places(text: str, at: int, close: str) -> Iterator[tuple[str | None, int, int]]:
-    """Of an object or array that opens before ``at``: name (of a member), start and end of every value."""
-    skip = lambda i: _BLANKS.match(text, i).end()
-    at = skip(at)
-    while text[at : at + 1] != close:
-        name = None
-        if close == "}":
-            name, at = _DECODER.raw_decode(text, at)
-            at = skip(at)
-            if not isinstance(name, str) or text[at : at + 1] != ":":
-                raise ValueError("no member")
-            at = skip(at + 1)
-        _, end = _DECODER.raw_decode(text, at)
-        yield name, at, end
-        at = skip(end)
-        if text[at : at + 1] == ",":
-            at = skip(at + 1)
-            if text[at : at + 1] == close:
-                raise ValueError("value missing")
-        elif text[at : at + 1] != close:
-            raise ValueError("no end")
-    yield None, at + 1, at + 1
-
-
-def _collection(text: str) -> tuple[str | None, int | None, str | None]:
-    """The members of a collection but its features as an object's text, where the features open, and what is wrong."""
-    members: dict[str, str] = {}
-    opens = None
-    try:
-        start = _BLANKS.match(text).end()
-        if text[start : start + 1] != "{":
-            raise ValueError("no object")
-        for name, at, end in _places(text, start + 1, "}"):
-            if name == "features":
-                opens = at + 1 if text[at] == "[" else None
-            elif name is not None:
-                members[name] = text[at:end]
-            elif text[end:].strip(" \t\n\r"):
-                raise ValueError("more than one value")
-    except (ValueError, RecursionError):
-        return None, None, "not a JSON object"
-    top = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{v}" for k, v in members.items()) + "}"
-    return top, opens, None if opens is not None else "no list of features"
-
-
-_ROWS = 1000
-
-
-def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files (file, _text) to their features as texts, a batch of them at a time; ``_pos`` is null on a file's first row."""
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-        names = ("file", "_top_text", "_pos", "_feature", "_wrong")
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
-
-    for found in batches:
-        for file, value in zip(found.column("file").to_pylist(), found.column("_text")):
-            text = value.as_py()
-            top, opens, wrong = _collection(text)
-            yield batch([(file, top, None, None, wrong)])
-            if opens is None:
-                continue
-            small, rows = _small(top), []
-            for place, (_, at, end) in enumerate(_places(text, opens, "]")):
-                if at < end:
-                    rows.append((file, small, place, text[at:end], None))
-                if len(rows) == _ROWS:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-
-
-def _small(top: str) -> str:
-    """Only what every feature needs of the collection: its type and crs."""
-    kept = {k: top[a:b] for k, a, b in _places(top, 1, "}") if k in ("type", "crs")}
-    return "{" + ",".join(f"{json.dumps(k)}:{v}" for k, v in kept.items()) + "}"
-
-
-def _whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every file's members as a row without ``_pos``, then its features as texts.
-
-    A file is one task's text, but it is never parsed as a whole: features are cut out one after the other, so no size limit
-    of a parsed value holds for the collection.
+from terrashelf.session import cut, hinted
+from terrashelf.sources import jsonparts
+
+NO_LIST = "no list of features"
+
+
+def _collections(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The parts of all files; and per file its text without features (``top``), their place ``of`` and what is wrong.
+
+    No file is parsed as a whole: blocks are cut into features by many tasks, and only what stands around the features is put
+    together per file.
     """
-    ship(spark)
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("_text")
-    )
-    return files.mapInArrow(_cut_up, "file string, _top_text string, _pos int, _feature string, _wrong string")
+    parts, files = jsonparts.parts(spark, paths)
+    lists = cut(jsonparts.lists(parts, "features"))
+    tops = jsonparts.top_texts(parts, files, lists)
+    # Of repeated members the last one counts, whichever kind it is.
+    listed = F.schema_of_variant(F.element_at(jsonobj.members(F.col("top")), F.lit("features"))).startswith("ARRAY")
+    wrong = F.when(F.col("top").isNull(), jsonparts.NOT_AN_OBJECT).when(~F.coalesce(listed, F.lit(False)), NO_LIST)
+    last = lists.groupBy("file").agg(F.max("of").alias("of"))
+    return parts, cut(tops.join(last, "file", "left").withColumn("_wrong", wrong))
 
 
 def geojson_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Each collection's members except its features; null with an ``error`` for a file that is no JSON object."""
-    return _whole_files(spark, paths).where("_pos IS NULL").select(
-        "file", F.to_json(jsonobj.members(F.col("_top_text"))).alias("header"),
-        F.when(F.col("_top_text").isNull(), F.col("_wrong")).alias("error"),
-    )
+    _, files = _collections(spark, paths)
+    header = F.map_filter(jsonobj.members(F.col("top")), lambda name, _: name != "features")
+    return files.select("file", F.to_json(header).alias("header"), F.col("_wrong").alias("error"))
 
 
-def _features(files: DataFrame) -> DataFrame:
+def _features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Features one a row; a file or feature that cannot be read gives a row with an ``error``."""
-    top = jsonobj.members(F.col("_top_text"))
+    parts, files = _collections(spark, paths)
+    top = jsonobj.members(F.col("top"))
     crs = F.coalesce(F.element_at(top, F.lit("crs")), F.parse_json(F.lit("null")))
-    rows = files.where("_pos IS NOT NULL OR _wrong IS NOT NULL").select(
-        "file", F.element_at(top, F.lit("type")).cast("string").alias("geojson_type"),
-        F.map_from_arrays(F.array(F.lit("crs")), F.array(crs)).alias("_crs"), "_wrong", "_feature",
-        (F.col("_pos") + 1).alias("feature_id"),
-    )
+    known = files.select(
+        "file", "of", F.element_at(top, F.lit("type")).cast("string").alias("geojson_type"), F.to_json(crs).alias("_crs_text"), "_wrong")
+    found = jsonparts.elements(parts, hinted(cut(known.where("_wrong IS NULL"))))
+    null = lambda kind: F.lit(None).cast(kind)
+    broken = known.where("_wrong IS NOT NULL").select(*known.columns, null("int").alias("position"), null("string").alias("text"))
+    rows = found.unionByName(broken).select(
+        "file", "geojson_type", "_wrong", F.col("text").alias("_feature"), F.col("position").alias("feature_id"),
+        F.map_from_arrays(F.array(F.lit("crs")), F.array(F.parse_json("_crs_text"))).alias("_crs"))
     return _read_features(rows)
 
 
@@ -147,10 +67,10 @@ def _read_features(rows: DataFrame) -> DataFrame:
 def geojson_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Features as rows. The outer name joins the properties unless they hold one; crs joins the geometry.
 
-    A file is parsed by one task; deliver big collections as many files or as JSON lines. ``error`` says what could not be
-    read: a file that is no collection keeps one row, a feature that is none its own.
+    Large files are cut up by many tasks. ``error`` says what could not be read: a file that is no collection keeps one row, a
+    feature that is none its own.
     """
-    return _shaped(_features(_whole_files(spark, paths)))
+    return _shaped(_features(spark, paths))
 
 
 def geojson_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -183,8 +103,7 @@ def _shaped(features: DataFrame) -> DataFrame:
 def geojson_features_jgeom(spark: SparkSession, paths: str | list[str], files: DataFrame) -> DataFrame:
     """Features of ``paths`` under the caller's ids: ``files`` lists (path, file_id). Properties are taken as they are."""
     ids = files.select(_plain_path(F.col("path")).alias("_path"), "file_id")
-    features = _features(_whole_files(spark, paths))
-    return features.join(ids, _plain_path(F.col("file")) == F.col("_path")).select(
+    return _features(spark, paths).join(ids, _plain_path(F.col("file")) == F.col("_path")).select(
         "file_id", "feature_id", "feature_type",
         F.to_json("_properties").alias("properties"),
         F.to_json(jsonobj.merged(F.col("_crs"), F.col("_geometry"))).alias("jgeom"), "error",

@@ -1,0 +1,142 @@
+"""Files cut up by many tasks, against readers that take them whole."""
+
+import csv
+import io
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrashelf.sources import csvfiles, geojson, jsonparts
+from tests.conftest import rows
+
+
+@pytest.fixture(params=[1 << 27, 131])
+def blocks_of(request, spark):
+    """Blocks of a whole file, and of less than a record."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    yield request.param
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+ODD_TEXTS = ["plain", 'say "x"', "back\\slash", 'end\\', '\\"', "{[,]}", "}{", "ünï ☃ 𝄞", "a,b:c", "", "line\nbreak", '"}', "\\\\\""]
+
+
+def feature(rng, i):
+    found = {"type": "Feature", "properties": {rng.choice(ODD_TEXTS): rng.choice(ODD_TEXTS), "n": i, "deep": [{"a": [[1, {"b": "]"}]]}]}}
+    if i % 3:
+        found["name"] = rng.choice(ODD_TEXTS)
+    found["geometry"] = {"type": "Point", "coordinates": [i, -1.5]} if i % 4 else None
+    return found
+
+
+def collections(rng):
+    for number, indent in enumerate([None, 1, None, 3]):
+        made = {"type": "FeatureCollection", "name": rng.choice(ODD_TEXTS), "crs": {"type": "name", "properties": {"x": rng.choice(ODD_TEXTS)}}}
+        made["bbox"] = [1, 2, {"features": [3]}]
+        made["features"] = [feature(rng, i) for i in range([8, 5, 0, 2][number])]
+        made["after"] = {"k": [{"features": []}], "t": rng.choice(ODD_TEXTS)}
+        yield json.dumps(made, indent=indent, ensure_ascii=bool(number % 2)) + "\n" * (number % 3)
+
+
+def test_features_and_headers(spark, tmp_path, blocks_of):
+    want, heads = [], []
+    for number, text in enumerate(collections(random.Random(1))):
+        (tmp_path / f"{number}.geojson").write_text(text)
+        whole = json.loads(text)
+        heads.append((str(number), {k: v for k, v in whole.items() if k != "features"}))
+        for i, f in enumerate(whole["features"]):
+            properties = {"name": f.get("name"), **f["properties"]}
+            geometry = None if f["geometry"] is None else {"crs": whole["crs"], **f["geometry"]}
+            want.append((str(number), i + 1, properties, geometry))
+    file = F.regexp_extract("file", r"(\d)\.geojson$", 1)
+    found = geojson.geojson_features(spark, str(tmp_path)).select(file, "feature_id", "properties", "geometry", "error").collect()
+    assert all(r.error is None for r in found)
+    assert sorted(((r[0], r[1], json.loads(r[2]), r[3] and json.loads(r[3])) for r in found), key=lambda r: r[:2]) == want
+    shown = geojson.geojson_headers(spark, str(tmp_path)).select(file, "header").collect()
+    assert sorted((r[0], json.loads(r[1])) for r in shown) == heads
+
+
+def test_broken_files_give_one_row(spark, tmp_path, blocks_of):
+    good = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "n": i} for i in range(6)]})
+    texts = {
+        "a": good[:-1], "b": good[:-2], "c": good + "}", "d": good + " x", "e": "[" + good + "]", "f": good[:100], "g": "7", "h": "{}{}",
+        "i": good.replace('"features": [', '"features": {', 1), "j": good.replace('"type"', "type", 1), "k": '"' + good, "l": " ",
+        "m": '{"features": [1], "features": 2}', "n": '{"features": 2, "features": [{"a": 1}]}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.geojson").write_text(text)
+    found = geojson.geojson_features(spark, str(tmp_path)).select(F.regexp_extract("file", r"(\w)\.geojson$", 1), "feature_id", "error")
+    not_one = jsonparts.NOT_AN_OBJECT
+    # A blank file has no text for some readers.
+    got = [r for r in rows(found) if r[0] != "l"]
+    assert got == [(n, None, not_one) for n in "abcdefghijk"] + [("m", None, geojson.NO_LIST), ("n", 1, None)]
+
+
+def test_bytes_beyond_text(spark, tmp_path, blocks_of):
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"t": "é"}}] * 4}, ensure_ascii=False)
+    (tmp_path / "a.geojson").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    (tmp_path / "b.geojson").write_bytes(text.encode() + b"\r\n")
+    import gzip
+
+    (tmp_path / "c.geojson.gz").write_bytes(gzip.compress(text.encode()))
+    found = geojson.geojson_features(spark, str(tmp_path))
+    assert found.where("error IS NULL").count() == 12 and {r.properties for r in found.collect()} == {'{"name":null,"t":"é"}'}
+
+
+def test_large_files_go_to_many_tasks(spark, tmp_path):
+    text = json.dumps({"type": "FeatureCollection", "features": [feature(random.Random(i), i) for i in range(3000)]})
+    (tmp_path / "a.geojson").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    try:
+        parts, files = jsonparts.parts(spark, str(tmp_path))
+        assert files.first().whole and parts.where("level = 2").agg(F.max(F.length("text"))).first()[0] < 1000
+        assert geojson.geojson_features(spark, str(tmp_path)).agg(F.count_distinct("feature_id")).first()[0] == 3000
+        read = jsonparts.blocks.lines(spark, str(tmp_path), "}")
+        assert read.select("block").distinct().count() == -(-len(text) // (1 << 16))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_values_of_large_documents(spark, tmp_path, blocks_of):
+    whole = {"a": 1, "list": [{"x": t} for t in ODD_TEXTS], "empty": [], "o": {"features": [1, 2]}, "n": None, "s": "}", "list2": [[1], [2, 3]]}
+    (tmp_path / "a.json").write_text(json.dumps(whole))
+    (tmp_path / "b.json").write_text('{"a": [1, 2')
+    found = jsonparts.json_values(spark, str(tmp_path)).select(
+        F.regexp_extract("file", r"(\w)\.json$", 1), "name", "position", F.to_json("value").alias("v"), "error").collect()
+    want = [("a", "a", None, 1), ("a", "o", None, whole["o"]), ("a", "n", None, None), ("a", "s", None, "}")]
+    want += [("a", k, i + 1, v) for k in ("list", "list2") for i, v in enumerate(whole[k])]
+    got = [(r[0], r[1], r[2], json.loads(r.v)) for r in found if r.error is None]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [tuple(r) for r in found if r.error] == [("b", None, None, None, jsonparts.NOT_AN_OBJECT)]
+
+
+def csv_text(rng, n, end="\n"):
+    texts = ["plain", 'say "hi"', "two\nlines", "a,b", "", '"', "\n", '",\n"', "x" * 90, "ü☃"]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["id", "t", "u"])
+    for i in range(n):
+        writer.writerow([i, rng.choice(texts), rng.choice(texts)])
+    return out.getvalue()
+
+
+def test_csv_as_the_one_task_reader(spark, tmp_path, blocks_of):
+    rng = random.Random(3)
+    for name, end in (("a", "\n"), ("b", "\n"), ("c", "\r\n")):
+        (tmp_path / f"{name}.csv").write_text(csv_text(rng, 15, end) + ("7,last,one" if name == "b" else ""), newline="")
+    loaded = csvfiles.load_csv(spark, str(tmp_path), "id INT, t STRING, u STRING")
+    plain = spark.read.schema("id INT, t STRING, u STRING").option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path))
+    assert loaded.where("_bad_record IS NOT NULL").count() == 0
+    assert rows(csvfiles.good_rows(loaded)) == rows(plain)
+
+
+def test_csv_quotes_that_open_nothing(spark, tmp_path, blocks_of):
+    (tmp_path / "a.csv").write_text('id,t,u\n1,5" pipe,x\n2,a"b,"c\nd"\n\n3,"",""""\n4,"open,x\n5,y,z\n')
+    loaded = csvfiles.load_csv(spark, str(tmp_path), "id INT, t STRING, u STRING")
+    assert rows(csvfiles.good_rows(loaded)) == [(1, '5" pipe', "x"), (2, 'a"b', "c\nd"), (3, None, '"')]
+    assert loaded.where("_bad_record IS NOT NULL").count() == 1

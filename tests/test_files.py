@@ -69,6 +69,8 @@ def test_manifest_and_documents(spark, tmp_path):
     (tmp_path / "empty.json").write_text("")
     found = files.file_manifest(spark, f"{tmp_path}/*.json", "md5")
     assert sorted(r["size"] for r in found.collect()) == [0, 2, 8]
+    times = {r["path"].rsplit("/")[-1]: r["modification"].timestamp() for r in found.collect()}
+    assert all(abs(times[n] - (tmp_path / n).stat().st_mtime) < 0.01 for n in ("good.json", "bad.json", "empty.json"))
     docs = files.json_documents(spark, f"{tmp_path}/*.json")
     assert docs.where("large_text IS NOT NULL").count() == 0
     shown = docs.select(F.regexp_extract("path", r"(\w+)\.json$", 1), F.to_json("document"), "error")
@@ -181,3 +183,14 @@ def test_refresh(spark, tmp_path):
     assert refresh.key_conflicts(new).count() == 0
     again = refresh.refresh(spark, {k: v.drop("action") for k, v in new.items()}, sent, do_update=True)
     assert rows(refresh.outcome_table(again)) == [("donatedPack", "updated", 1), ("donor", "updated", 1), ("jurisdiction", "kept", 2)]
+
+
+def test_headers_read_no_further_than_they_go(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbfx,y\r\n" + b"1,2\r\n" * 1000)
+    (tmp_path / "c.csv").write_text("only,header")
+    (tmp_path / "empty.csv").write_text("")
+    read = lambda: rows(csvfiles.csv_headers(spark, str(tmp_path)).select("column", "position"))
+    want = [("header", 1), ("only", 0), ("x", 0), ("y", 1)]
+    assert read() == want
+    monkeypatch.setattr(csvfiles, "is_mounted", lambda *_: False)
+    assert read() == want

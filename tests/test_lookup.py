@@ -166,6 +166,21 @@ def test_ancestors(spark, jurisdiction):
     assert got[4] == ("BR", "BR-SP", "BR-SP-Campinas")
 
 
+def test_ancestors_of_any_depth(spark):
+    schema = "osm_id long, parent_id long, admin_level int, isolabel_ext string"
+    chain = [(1, None, 2, "BR"), (2, 1, 4, "BR-SP"), (3, 2, 5, "X"), (4, 3, 8, "BR-SP-C"), (5, 99, 8, "lost")]
+    deep = [(100 + i, 99 + i if i else 4, 10 + i, f"d{i}") for i in range(40)]
+    cycle = [(200, 202, 4, "a"), (201, 200, 6, "b"), (202, 201, 2, "c"), (203, 200, 8, "d"), (204, 204, 8, "self")]
+    df = spark.createDataFrame(chain + deep + cycle, schema)
+    got = {r.osm_id: (r.country, r.state, r.municipality) for r in catalogue.ancestors(df).collect()}
+    assert len(got) == len(chain + deep + cycle)
+    assert got[4] == ("BR", "BR-SP", "BR-SP-C") and got[3] == ("BR", "BR-SP", None) and got[5] == (None, None, "lost")
+    assert all(got[100 + i] == ("BR", "BR-SP", "BR-SP-C") for i in range(40))
+    assert got[203] == ("c", "a", "d")
+    assert {r.name for r in catalogue.ancestor_cycles(df).collect()} == {"200", "201", "202", "203", "204"}
+    assert catalogue.ancestor_cycles(spark.createDataFrame(chain, schema)).count() == 0
+
+
 @pytest.mark.parametrize("url, strict, loose", [
     ("/v1/vw_core/donor/3", ("json", "vw_core", "donor", "3"), ("json", "vw_core", "donor", "3")),
     ("/v1.json/vw_core/donor/3?x=1", ("json", "vw_core", "donor", "3"), ("json", "vw_core", "donor", "3")),
