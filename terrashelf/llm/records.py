@@ -16,9 +16,10 @@ frames into files on any file system it knows; readers go by the lengths.
 The index is a table beside the files: shard, place, offset, bytes, doc_id, n_tokens, start. A shuffled reader takes any
 rows of it and reads those byte ranges.
 
-Tokens are those of the whole text, although words are encoded one by one and kept: the tokenizer in use never joins
-anything across ASCII blanks and lower-cases first; a text that holds the start of a special token is encoded as it is.
-Words of Latin letters go through the same vocabulary and merges as a ``tiktoken`` encoding, all others through the file.
+Tokens are those of the whole text. The tokenizer lower-cases, cuts text into runs of letters, single digits and runs of other
+signs, and merges each piece on its own. Text of Latin letters and ASCII is cut in the same way and its pieces are merged by
+``tiktoken``, which holds the same merges in the same order; words with other signs, and texts with the start of a special
+token, go through the tokenizer file.
 
 Cases: a null text is empty and has only the end token. Null identifiers come last and are read back as null. Rows that
 repeat an identifier each have a record. Further columns are not carried. An empty table gives no records.
@@ -51,10 +52,6 @@ HAS_ID = 1
 #: Put after every document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words a Python process keeps the tokens of; at more it starts afresh, and of the ones before keeps those that come again.
-KEPT_WORDS = 60_000
-#: Signs that the tokenizer parts from a letter before them (an apostrophe may belong to it).
-MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Bytes of text that are taken apart at a time.
 SPAN_BYTES = 2_000_000
 #: Bytes of text of a range on average, at most.
@@ -67,8 +64,13 @@ FILES = 1 << 32
 WORD_END = "</w>"
 #: Stands between words that are encoded together.
 MARK = "\x01"
-#: Lower-case words of these letters alone are one piece to the tokenizer, and stay as they are when it normalises them.
-LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014b-\u017f]+")
+#: Letters that stay as they are when the tokenizer normalises lower-case text.
+_LETTERS = "a-z\xdf-\xf6\xf8-\u012f\u0131-\u0148\u014b-\u017f"
+#: Lower-case text of such letters and of ASCII, but for other control signs than blanks.
+PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]*")
+BLANKS = re.compile("[\t-\r ]+")
+#: What the tokenizer cuts text into, for these signs.
+CUTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
 def masked(data: bytes) -> int:
@@ -98,16 +100,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.mark, = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.ids, self.lasts = self._word_encoding(path)
+        self.words, self.ids = self._word_encoding(path)
 
     def _word_encoding(self, path: str):
-        """The vocabulary as an encoding of words that each end in ``MARK``, its ids and which of its tokens end a word.
+        """The vocabulary as an encoding of pieces that each end in ``MARK``, and its ids.
 
-        A word's last byte and the mark are merged before anything else, then pairs merge in the file's order.
+        A piece's last byte and the mark are merged before anything else, then pairs merge in the file's order.
         """
         import tiktoken
 
@@ -124,7 +124,7 @@ class Encoder:
         ids = {ended(t): i for t, i in model["vocab"].items() if t not in special}
         encoding = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
         known = np.array([ids.get(data, 0) for data in ranks], dtype=self.kind)
-        return encoding, known, np.array([data.endswith(mark) for data in ranks])
+        return encoding, known
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -136,28 +136,17 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _each(self, words: list[bytes]) -> list[bytes]:
-        """The tokens of each word: many are encoded as one text."""
-        plain, found = [], {}
-        for word in words:
-            text = word.decode()
-            if LETTERS.fullmatch(low := text.lower()):
-                plain.append((word, low))
-            else:
-                found[word] = text
-        rest = list(found.items())
-        found.update(zip((word for word, _ in plain), self._letters([low for _, low in plain])))
-        for at in range(0, len(rest), 2000):
-            some = rest[at : at + 2000]
-            found.update(zip((word for word, _ in some), self._together([text for _, text in some])))
-        return [found[word] for word in words]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """The tokens of words of letters."""
-        places = np.array(self.words.encode_ordinary(MARK.join([*words, ""])), dtype=np.int64)
-        data = self.ids[places].tobytes()
-        ends = ((np.flatnonzero(self.lasts[places]) + 1) * self.width).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+    def _pieces(self, low: str) -> bytes:
+        """The tokens of a lower-case text of plain signs: cut into the tokenizer's pieces, each of which it merges on its own."""
+        places = self.words.encode_ordinary(MARK.join([*CUTS.findall(low), ""]))
+        return self.ids[np.array(places, dtype=np.int64)].tobytes()
+
+    def _by_word(self, text: str) -> bytes:
+        """The tokens of a text in which some words have other signs; those go through the file's tokenizer together."""
+        words = [w for w in BLANKS.split(text) if w]
+        plain = [PLAIN.fullmatch(w.lower()) for w in words]
+        others = iter(self._together([w for w, p in zip(words, plain) if not p]))
+        return b"".join(self._pieces(p[0]) if p else next(others) for p in plain)
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """The tokens of each of ``texts``, encoded in one go with a sign that is a token of its own between them."""
@@ -167,38 +156,16 @@ class Encoder:
         cuts = (np.flatnonzero(ids == self.mark) * self.width).tolist()
         return [data[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Add words: one that ends in marks after a letter is its stem and the marks, which the tokenizer parts there."""
-        young, parts, new = self.young, {}, set()
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if stem and len(stem) < len(word) and (stem[-1:].isalnum() or stem.decode()[-1].lower().isalpha()):
-                parts[word] = (stem, word[len(stem) :])
-                new.update(parts[word])
-            else:
-                new.add(word)
-        young.update((w, self.old[w]) for w in (new - young.keys()) & self.old.keys())
-        new = list(new - young.keys())
-        young.update(zip(new, self._each(new)))
-        for word, (stem, marks) in parts.items():
-            young[word] = young[stem] + young[marks]
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The tokens of each text, little endian. A text is taken apart at ASCII blanks if no special token or mark is in it."""
-        odd = [MARK.encode(), *(s[:2].lower().encode() for s in self.special)]
-        low = [t.lower() for t in texts]
-        plain = [not any(o in t for o in odd) for t in low]
-        words = [t.split() if p else [] for t, p in zip(low, plain)]
-        if len(self.young) > KEPT_WORDS:
-            self.young, self.old = {}, self.young
-        new = set().union(*words) - self.young.keys()
-        again = new & self.old.keys()
-        self.young.update((w, self.old[w]) for w in again)
-        self._learn(new - again)
-        get = self.young.__getitem__
-        found = [b"".join(map(get, ws)) for ws in words]
-        for i in [i for i, p in enumerate(plain) if not p]:
-            found[i] = self._whole(texts[i].decode())
+        """The tokens of each text, little endian."""
+        found = []
+        for data in texts:
+            text = data.decode()
+            low = text.lower()
+            if MARK in text or any(s[:2].lower() in low for s in self.special):
+                found.append(self._whole(text))
+            else:
+                found.append(self._pieces(low) if PLAIN.fullmatch(low) else self._by_word(text))
         return found
 
 
