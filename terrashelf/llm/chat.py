@@ -11,10 +11,11 @@ conversation is an array of spans (start, end in code points of the formatted st
 marks between them are outside.
 
 A conversation is formatted in one row, as its digest needs all of it in order; a group is bounded by the longest
-conversation.
+conversation, whose formatted text Spark takes up to 2 GB. Rows without a conversation id are no conversation that could be put
+in order: each is formatted as a conversation of its own, so they spread however many there are.
 
 Cases: a null text is empty and a null role is the empty role. Null turns sort last. Rows that repeat are turns of their
-own. Rows without a conversation id form one conversation. Further columns are not carried. An empty table gives an empty
+own. Rows without a conversation id are conversations of one turn, with a null id. Further columns are not carried. An empty table gives an empty
 result.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import table
+from terrashelf.llm.common import running, table
 from terrashelf.session import scratch_path
 
 #: Fixed values of the template.
@@ -72,8 +73,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"),
         escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    blocks = sorted_turns.select("conv_id", _merged(F.col("turns")).alias("blocks"))
+    whole = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    alone = turns.where(F.col("conv_id").isNull()).select("conv_id", F.array(row).alias("turns"))
+    blocks = whole.unionByName(alone).select("conv_id", _merged(F.col("turns")).alias("blocks"))
     shown = F.transform("blocks", lambda b: F.concat(
         F.lit(HEAD), b["role"], F.lit(MARK), F.array_join(b["texts"], NEXT), F.lit(END)))
     # Each text with what stands before it, in code points: a block's head or the mark between merged texts.
@@ -84,17 +86,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("after"),
     ))))
     exploded = blocks.select("conv_id", F.array_join(shown, "").alias("formatted"), pieces.alias("pieces"))
-    spans = "array<struct<start:int,end:int>>"
-    walked = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
-            F.when(p["learned"], F.concat(s["spans"], F.array(F.struct(
-                (s["at"] + p["before"]).alias("start"), (s["at"] + p["before"] + p["length"]).alias("end")))))
-            .otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    return exploded.select("conv_id", "formatted", walked["spans"].alias("loss_mask"))
+    size = lambda p: p["before"] + p["length"] + p["after"]
+    placed = exploded.withColumn("pieces", F.arrays_zip(
+        F.col("pieces").alias("p"), running(F.transform("pieces", size)).alias("at")))
+    start = lambda z: (z["at"] + z["p"]["before"]).cast("int")
+    spans = F.transform(F.filter("pieces", lambda z: z["p"]["learned"]), lambda z: F.struct(
+        start(z).alias("start"), (start(z) + z["p"]["length"]).alias("end")))
+    return placed.select("conv_id", "formatted", spans.alias("loss_mask"))
 
 
 def turns_in(formatted: Column) -> Column:
@@ -146,20 +144,22 @@ def digests(chats: DataFrame) -> DataFrame:
 _NASTY_SQL = "'" + NASTY.replace("'", "''") + "'"
 SQL = f"""
 WITH turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', {_NASTY_SQL} UNION ALL SELECT -7, 1, 'assistant', {_NASTY_SQL}),
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role,
+           coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -7, NULL, 0, 'user', {_NASTY_SQL} UNION ALL SELECT -7, NULL, 1, 'assistant', {_NASTY_SQL}),
 placed AS (
     SELECT *, row_number() OVER w AS place,
            coalesce(lag(role) OVER w <> role, true) AS starts,
            length(text) + length(regexp_replace(text, '[^\\\\<#:]', '', 'g')) AS long,
            length(role) + length(regexp_replace(role, '[^\\\\<#:]', '', 'g')) AS role_long
-    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+    FROM turns WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS LAST, role, text))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(long + CASE WHEN starts THEN role_long + {len(HEAD) + len(MARK) + len(END)} ELSE {len(NEXT)} END) AS formatted_chars
-FROM placed GROUP BY conv_id"""
+FROM placed GROUP BY conv_id, alone"""
 
 QUERIES = {"op10_chat_format": op10_chat_format}
 ORACLE = {"op10_chat_format": SQL}

@@ -44,6 +44,34 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def bound_to(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it occurs in there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column) -> Column:
+    """For each of an array's whole numbers the sum of those before it.
+
+    Sums grow within parts of about the square root of the array's length, so long arrays cost little more than short ones.
+    """
+
+    def scan(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("found"))
+        return F.aggregate(part, start, lambda s, x: F.struct(
+            (s["at"] + x).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")))["found"]
+
+    def parted(numbers: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(numbers) / step).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(numbers, i * step + 1, step))
+
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    shifted = lambda parts: F.flatten(F.transform(
+        F.arrays_zip(parts.alias("part"), scan(F.transform(parts, total)).alias("before")),
+        lambda p: F.transform(scan(p["part"]), lambda x: x + p["before"])))
+    return bound_to(values.cast("array<long>"), lambda numbers: bound_to(parted(numbers), shifted))
+
+
 def fitted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` written as a table and its bytes counted: broadcast up to ``limit``, joined as Spark likes beyond."""
     written = cut(df)

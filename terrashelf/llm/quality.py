@@ -11,8 +11,8 @@ The network (two layers, numpy) is fitted on the driver to at most ``MAX_ROWS``
 hash of their identifier; a tenth of them sets the temperature that divides the logit. Corpus statistics cover every text.
 
 Cases: a null text is empty; a text without words has the zero vector and gets a score like any other. Labels that are
-null are left out, of repeated ones the mean counts. Without labels of both classes all scores are the mean label, or one
-half without any. A row without identifier is not held out and never trains. Rows that repeat are scored alike. Further
+null are left out, of repeated ones the mean counts. Without labels of both classes, or with fewer than ``LEAST_ROWS`` labelled
+rows, all scores are the mean label, or one half without any. Rows of one identifier with equal vectors train once. A row without identifier is not held out and never trains. Rows that repeat are scored alike. Further
 columns are kept by ``scored``. An empty table gives an empty result.
 """
 
@@ -37,6 +37,8 @@ WORDS, SHAPES, SIZE = 1 << 14, 1 << 10, 48
 ENTRIES, REACH = 4, 2
 #: Most labelled documents that the network is fitted to.
 MAX_ROWS = 20_000
+#: Labelled rows below which no network is fitted.
+LEAST_ROWS = 20
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 #: Folds by crc32 of the identifier: this remainder of division by FOLDS is held out.
 FOLDS, HELD_OUT = 3, 1
@@ -200,7 +202,7 @@ def _constant(width: int, share: float) -> Network:
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     """The network fitted with Adam to nine tenths of the rows, its temperature to the rest."""
-    if len(set(y.tolist())) < 2 or len(y) < 20:
+    if len(set(y.tolist())) < 2 or len(y) < LEAST_ROWS:
         return _constant(x.shape[1], float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -266,7 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     # The sample has at most ``max_rows`` short rows, so its broadcast is bounded.
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    found = rows.select("doc_id", "label", "_text").mapInArrow(_pool(shared), "doc_id long, label double, pooled binary").collect()
+    pools = rows.select("doc_id", "label", "_text").mapInArrow(_pool(shared), "doc_id long, label double, pooled binary").distinct()
+    # Rows may repeat an identifier, so the bound is set once more on what goes to the driver.
+    found = pools.orderBy(F.xxhash64("doc_id"), "doc_id", "pooled").limit(max_rows).collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.pooled)))
     x = np.array([np.frombuffer(r.pooled, np.float32) for r in found], dtype=np.float64).reshape(-1, 2 * SIZE)
     return vectors, fit(x, np.array([r.label for r in found]))

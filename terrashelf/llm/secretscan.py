@@ -10,6 +10,8 @@ Random runs have even p-values, ordinary ones (words, paths, names) crowd near z
 same encoding and length class, those with p above one half tell how many random ones there are; a run is reported if
 its p is above the lowest bound at which, by that count, at most ``RATE`` of the reported runs are ordinary. Short runs
 tell little and crowd less, so each length class has a bound of its own; runs of under ``LEAST_BITS`` bits are left out.
+A class with few runs would say nothing by itself, so every class starts with the same small number of imagined runs, half of them
+random and half ordinary: a lone secret is reported unless its p is within the lowest bin.
 
 The bounds are read off a histogram of fixed size; nothing else is gathered from the corpus.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrashelf.llm.common import table
+from terrashelf.llm.common import bound_to, running, table
 from terrashelf.session import cut
 
 #: Fixed values of the query: kind, pattern, group whose length counts, least length.
@@ -33,6 +35,8 @@ KINDS = [
 ]
 #: A pattern that every text with a span of the kind matches; the others are not taken apart.
 LIKELY = {"assign": r"(?i)passw(or)?d|secret|token|api_?key", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
+#: Patterns that find the same spans as the kind's own and its least length, without the short ones.
+LONG_ENOUGH = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 RANDOM = "random"
 _DIGITS, _LARGE, _SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +52,8 @@ ENCODINGS = [
     ("base64url", "0-9A-Za-z_-", _LARGE + _SMALL + _DIGITS + "-_"),
 ]
 RATE = 0.05
+#: Runs of either sort that a class counts before any is seen, so that one to five secrets of a rare format are judged by them.
+PRIOR = 20
 LEAST_BITS = 80
 BINS = 50
 #: Length classes go by powers of two up to this one, which holds all longer runs.
@@ -62,30 +68,24 @@ def _places(text: Column, pattern: str, group: int) -> Column:
     """
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    row = "array<struct<start:long,end:long,size:int>>"
+    gaps = F.slice(F.transform(between, lambda x: F.length(x)), F.lit(1), F.size(hits))
     zipped = F.arrays_zip(
-        F.slice(F.transform(between, lambda x: F.length(x)), F.lit(1), F.size(hits)).alias("gap"),
-        F.transform(hits, lambda x: F.length(x)).alias("long"),
+        gaps.alias("gap"), F.transform(hits, lambda x: F.length(x)).alias("long"),
         F.transform(groups, lambda x: F.length(x)).alias("size"),
     )
-    walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(row).alias("found")),
-        lambda s, h: F.struct(
-            (s["at"] + h["gap"] + h["long"]).alias("at"),
-            F.concat(s["found"], F.array(F.struct(
-                (s["at"] + h["gap"]).alias("start"), (s["at"] + h["gap"] + h["long"]).alias("end"), h["size"].alias("size"),
-            ))).alias("found"),
-        ),
-    )
-    return walked["found"]
+    placed = lambda found: F.transform(
+        F.arrays_zip(found.alias("hit"), running(F.transform(found, lambda h: h["gap"] + h["long"])).alias("at")),
+        lambda p: F.struct(
+            (p["at"] + p["hit"]["gap"]).alias("start"), (p["at"] + p["hit"]["gap"] + p["hit"]["long"]).alias("end"),
+            p["hit"]["size"].alias("size")))
+    return bound_to(zipped, placed)
 
 
 def _fixed(text: Column) -> Column:
     """The spans of the fixed kinds by start, then kind."""
 
     def of(number: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        long = F.filter(_places(text, pattern, group), lambda p: p["size"] >= least)
+        long = F.filter(_places(text, LONG_ENOUGH.get(kind, pattern), group), lambda p: p["size"] >= least)
         spans = F.transform(long, lambda p: F.struct(p["start"], F.lit(number).alias("kind"), p["end"]))
         return F.when(F.rlike(text, F.lit(LIKELY[kind])), spans).otherwise(F.array()).cast(_SPANS)
 
@@ -162,17 +162,22 @@ def _candidates(text: Column, fixed: Column) -> Column:
 def bounds(found: DataFrame) -> dict[tuple[int, int], int]:
     """Per encoding and length class the lowest bin of p whose runs, with all above, are reported; absent if there is none.
 
-    At most one row for each of the encodings and classes.
+    Every class that occurs counts ``PRIOR`` random runs, even over the bins, and as many ordinary ones in the lowest bin besides
+    its own. At most one row for each of the encodings, classes and bins.
     """
     listed = found.select(F.explode("candidates").alias("c")).select("c.encoding", "c.class", "c.p")
     bins = listed.groupBy("encoding", "class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    bins = bins.agg(F.count("*").alias("n"))
+    seen = cut(bins.agg(F.count("*").alias("seen")))
+    every = seen.select("encoding", "class").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    prior = F.lit(PRIOR / BINS) + F.when(F.col("bin") == 0, float(PRIOR)).otherwise(0.0)
+    full = every.join(seen, ["encoding", "class", "bin"], "left").withColumn("n", F.coalesce("seen", F.lit(0)) + prior)
     group = Window.partitionBy("encoding", "class")
     above = group.orderBy(F.desc("bin"))
-    high = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(group)
+    high = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0.0)).over(group)
     even = 2.0 * high * (1 - F.col("bin") / F.lit(float(BINS)))
     rate = 1 - even / F.sum("n").over(above)
-    kept = bins.withColumn("rate", rate).where(F.col("rate") <= RATE)
+    # The lowest bin, where ordinary runs crowd, is never reported, so that many secrets do not let ordinary runs in.
+    kept = full.withColumn("rate", rate).where((F.col("rate") <= RATE) & (F.col("bin") > 0))
     return {(r[0], r[1]): r[2] for r in kept.groupBy("encoding", "class").agg(F.min("bin")).collect()}
 
 

@@ -2,9 +2,9 @@
 
 ``write_archive`` writes two tables below a folder. ``payloads`` holds each distinct payload once under its SHA-256
 (pre-aggregated before the shuffle, so a group of copies of any size costs one copy a task). ``headers`` holds, for every
-record, the exact bytes of its WARC 1.1 header block and the digest of its payload. ``read_index`` reads both back,
-computes the digests of the stored payloads anew, and fails on a payload that is not what its address says;
-``records`` joins them into the full original records, and ``export_warc`` writes those as .warc files.
+record, the exact bytes of its WARC 1.1 header block and the digest of its payload. ``records`` joins both into the full
+original records, ``read_index`` takes those apart again and fails on one that is not what it says of itself, and
+``export_warc`` writes them as .warc files.
 
 Of records with equal payloads of at least ``least_bytes``, the one with the largest page_id is the response and the
 others are revisits that refer to it; smaller ones are all responses.
@@ -40,10 +40,10 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def _uri(url: Column) -> Column:
-    text = F.coalesce(url, F.lit(""))
-    for sign in "\r\n\t ":
-        text = F.replace(text, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
-    return text
+    plain = coded = F.coalesce(url, F.lit(""))
+    for code in [*range(0x21), 0x7F]:
+        coded = F.replace(coded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(F.rlike(plain, F.lit(r"[\x00-\x20\x7F]")), coded).otherwise(plain)
 
 
 def _record_id(page_id: Column) -> Column:
@@ -106,11 +106,15 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("number long, address string, header binary").parquet(f"{path}/headers")
 
 
+def _record(head: Column, payload: Column) -> Column:
+    """A record's text: its header block, its payload unless it is a revisit, and two line ends."""
+    revisit = F.split(head, CRLF)[1] == "WARC-Type: revisit"
+    return F.concat(head, F.when(revisit, "").otherwise(payload), F.lit(CRLF + CRLF))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """number, record: the full bytes of every record, closed by two line ends; a revisit has no payload."""
-    head = F.decode("header", "UTF-8")
-    revisit = F.split(head, CRLF)[1] == "WARC-Type: revisit"
-    text = F.concat(head, F.when(revisit, "").otherwise(F.col("payload")), F.lit(CRLF + CRLF))
+    text = _record(F.decode("header", "UTF-8"), F.col("payload"))
     return _headers(spark, path).join(_payloads(spark, path), "address").select(
         "number", F.encode(text, "UTF-8").alias("record")
     )
@@ -131,28 +135,32 @@ def export_warc(spark: SparkSession, path: str, target: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
+    """What the records say, read from their rebuilt bytes: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
 
-    Size and digest are computed from the stored payload, once per distinct payload, and compared with the header's.
+    Every record is put together and taken apart again: its fields come from its own lines, its body must be as long as it
+    says, and size and digest are computed from the payload, which a revisit takes from the record it refers to.
     """
-    facts = _payloads(spark, path).select(
-        "address", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-    )
-    head = F.decode("header", "UTF-8")
+    whole = _headers(spark, path).join(_payloads(spark, path), "address")
+    record = whole.select("address", "payload", _record(F.decode("header", "UTF-8"), F.col("payload")).alias("record"))
+    ends = F.instr("record", CRLF + CRLF)
+    parted = record.select(
+        "address", "payload", F.substr("record", F.lit(1), ends - 1).alias("head"),
+        F.substr("record", ends + 4, F.length("record") - ends - 7).alias("body"))
     field = lambda name: F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1)
-    number = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
-    parsed = _headers(spark, path).select("address", head.alias("head")).select(
-        "address",
-        F.nullif(number("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"),
-        field("WARC-Type").alias("record_type"),
-        F.nullif(number("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
-        field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Payload-Digest").alias("said"),
+    number = lambda name: F.nullif(F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
+    read = parted.select(
+        "address", number("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Payload-Digest").alias("said"), field("Content-Length").cast("long").alias("length"), "body",
+        F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(
+            F.substr("body", F.lit(len(HTTP) + 1))).alias("payload"),
     )
-    right = F.col("said") == F.concat(F.lit("sha1:"), "payload_digest")
+    measured = read.select(
+        "*", F.octet_length("body").alias("found"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest")).drop("body", "payload")
+    right = (F.col("said") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("length") == F.col("found"))
     wrong = F.raise_error(F.concat(F.lit("header and payload differ: "), "address")).cast("string")
-    return parsed.join(facts, "address").select(
+    return measured.select(
         "page_id", "payload_bytes", F.when(right, F.col("payload_digest")).otherwise(wrong).alias("payload_digest"),
         "record_type", "refers_to", "target_uri",
     )

@@ -14,10 +14,10 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 def expected(turns):
     groups = {}
-    for conv, turn, role, text in turns:
-        groups.setdefault(conv, []).append((turn is None, turn, role or "", text or ""))
+    for i, (conv, turn, role, text) in enumerate(turns):
+        groups.setdefault((conv, i if conv is None else None), []).append((turn is None, turn, role or "", text or ""))
     found = []
-    for conv, listed in groups.items():
+    for (conv, _), listed in groups.items():
         listed.sort(key=lambda t: (t[0], t[1] or 0, t[2], t[3]))
         whole = "".join(f"{r}\n{t}\n" for _, _, r, t in listed)
         learned = "".join(t for _, _, r, t in listed if r == "assistant")
@@ -54,3 +54,9 @@ def test_empty_and_further_columns(spark):
     assert formatted(spark, []).count() == 0
     df = spark.createDataFrame([(1, 0, "user", "x", "y")], SCHEMA + ", formatted string")
     assert chat.format_chats(df).first().formatted == "### user: x</turn>\n"
+
+
+def test_turns_without_conversation_and_very_many_turns(spark):
+    turns = [(None, i, "user", f"t{i % 3}") for i in range(50)] + [(None, None, None, None)] * 2
+    turns += [(1, i, "user" if i % 3 else "assistant", f"t{i} <") for i in range(40_000)]
+    assert rows(chat.digests(formatted(spark, turns)).drop("formatted_chars")) == expected(turns)

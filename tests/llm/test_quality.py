@@ -65,3 +65,35 @@ def test_bounded_sample(spark):
     model = quality.train(data, labels, max_rows=100)
     scores = {r.doc_id: r._score for r in quality.scored(data, model).collect()}
     assert all((scores[i] > 0.5) == bool(i % 2) for i in scores)
+
+
+def test_rows_of_one_identifier_are_bounded(spark, monkeypatch):
+    fitted = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: fitted.append(len(y)) or fit(x, y))
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    data = [(one, f"text{i} number of one") for i in range(300)] + [(one, "copy")] * 300
+    labels = spark.createDataFrame([(one, 1)], "doc_id long, quality int")
+    quality.train(docs(spark, data), labels, max_rows=2)
+    quality.train(docs(spark, data), labels)
+    assert fitted == [2, 301]
+
+
+def test_vectors_against_a_plain_version(spark):
+    """Context sums of every occurrence, scaled, plus the own index vector; a document is the mean over words and shapes."""
+    texts = ["the Cat sat on 12 mats.", "the the cat ran", "", None, "x"]
+    found = quality.word_vectors(docs(spark, list(enumerate(texts))))
+    where, signs = quality.index_vectors()
+    index = np.zeros((quality.WORDS + quality.SHAPES, quality.SIZE))
+    np.put_along_axis(index, where, signs, axis=1)
+    sums = np.zeros_like(index)
+    for text in texts:
+        for tokens in quality.places((text or "").encode()):
+            for i, a in enumerate(tokens):
+                for j in range(max(0, i - quality.REACH), min(len(tokens), i + quality.REACH + 1)):
+                    if i != j:
+                        sums[a] += index[tokens[j]]
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(found, sums / np.maximum(length, 1) + index / np.sqrt(quality.ENTRIES), atol=1e-5)
+    words, shapes = quality.places(texts[0].encode())
+    assert np.allclose(quality.pooled(texts[0].encode(), found), np.concatenate([found[words].mean(axis=0), found[shapes].mean(axis=0)]), atol=1e-5)

@@ -88,3 +88,40 @@ def test_query_digest_and_empty(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if not s.startswith("random")] == text.split(",")
     assert secretscan.scan(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_a_few_secrets_of_a_rare_format(spark, n):
+    rng = random.Random(20 + n)
+    letters = string.ascii_letters + string.digits
+    secrets = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(n)]
+    few = [(i, f"key {s} here") for i, s in enumerate(secrets)]
+    plain = [(100 + i, f"see {w * 7}1 there") for i, w in enumerate(["theRoad", "oldLane", "someWord"])]
+    many = few + plain + [(1000 + i, "key " + "".join(rng.choice(letters) for _ in range(40))) for i in range(200)]
+    for data in (few + plain, many):
+        hit = {r.doc_id for r in secretscan.scan(docs(spark, data)).collect() if any(s.kind == 3 for s in r.spans)}
+        assert set(range(n)) <= hit and not hit & {100, 101, 102}
+
+
+def test_bounds_against_plain_counts(spark):
+    rng = random.Random(7)
+    data = [(e, c, min(0.999, rng.random() ** (1 + 3 * (i % 2)))) for e, c, n in ((5, 5, 300), (5, 6, 3), (2, 5, 40)) for i in range(n)]
+    found = spark.createDataFrame([([d],) for d in data], "candidates array<struct<encoding:int,class:int,p:double>>")
+    want = {}
+    for key in {(e, c) for e, c, _ in data}:
+        bins = [secretscan.PRIOR / 50 + (secretscan.PRIOR if b == 0 else 0) for b in range(50)]
+        for e, c, p in data:
+            if (e, c) == key:
+                bins[int(p * 50)] += 1
+        high = sum(bins[25:])
+        good = [b for b in range(1, 50) if 1 - 2 * high * (1 - b / 50) / sum(bins[b:]) <= secretscan.RATE]
+        if good:
+            want[key] = min(good)
+    assert secretscan.bounds(found) == want
+
+
+def test_long_texts_with_very_many_runs(spark):
+    rng = random.Random(3)
+    text = " ".join("%x" % rng.randrange(1 << 12) for _ in range(300_000)) + " " + "ab12" * 8 + " token=abcdef" * 3000 + " deadbeef" * 10 + "0" * 30
+    found = secretscan.scan(docs(spark, [(1, text)])).collect()
+    assert [tuple(s) for s in found[0].base] == base_of(text)
