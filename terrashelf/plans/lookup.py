@@ -38,12 +38,22 @@ def _distinct(requests: DataFrame) -> DataFrame:
     )
 
 
-def _rest(start: int) -> Column:
-    return F.expr(f"substr(p1, {start})")
+def _beyond(n: int) -> Column:
+    """The first path part without its first ``n`` signs."""
+    return F.substr("p1", F.lit(n + 1))
 
 
-def _starts(word: str) -> Column:
-    return F.col("p1").startswith(word) & (F.length("p1") > len(word))
+def _worded(word: str, kind: str, key=lambda rest: rest) -> tuple[Column, str, Column]:
+    """The rule for a part that begins with ``word``; its key comes from what follows, which must not be empty."""
+    return F.col("p1").startswith(word) & (F.length("p1") > len(word)), kind, key(_beyond(len(word)))
+
+
+def _number(text: Column) -> Column:
+    return text.try_cast("long")
+
+
+#: Signs of a country and state in front of a code or name, as in ``br-xx-``, with the sign that ends it.
+STATE_HEAD = len("br-xx-")
 
 
 def _classed(requests: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFrame:
@@ -97,14 +107,14 @@ def jurisdictions(requests: DataFrame, jurisdiction: DataFrame) -> DataFrame:
     two_numbers = F.col("p2").rlike(NUMBER)
     asked = _classed(requests, [
         (F.col("p1") == "", "all", F.lit("")),
-        (_starts("isolabel_ext.lk."), "label_head", F.upper(_rest(17))),
-        (_starts("parent_abbrev.lk."), "label_and_parent", F.upper(_rest(18))),
-        (_starts("parent_abbrev.eq."), "parent", F.upper(_rest(18))),
+        _worded("isolabel_ext.lk.", "label_head", F.upper),
+        _worded("parent_abbrev.lk.", "label_and_parent", F.upper),
+        _worded("parent_abbrev.eq.", "parent", F.upper),
         (F.col("p1").rlike(r"(?s)^br-..-...\z"), "state_abbrev",
-         F.upper(F.concat(F.substring("p1", 1, 6), F.lit("|"), _rest(7)))),
+         F.upper(F.concat(F.substring("p1", 1, STATE_HEAD), F.lit("|"), _beyond(STATE_HEAD)))),
         (F.col("p1").rlike(r"(?s)^br;..;.*\z"), "state_name",
-         F.concat(F.replace(F.upper(F.substring("p1", 1, 6)), F.lit(";"), F.lit("-")), F.lit("|"), _rest(7))),
-        (F.col("p1").rlike(r"^q\d+\z"), "wikidata", _rest(2).try_cast("long")),
+         F.concat(F.replace(F.upper(F.substring("p1", 1, STATE_HEAD)), F.lit(";"), F.lit("-")), F.lit("|"), _beyond(STATE_HEAD))),
+        (F.col("p1").rlike(r"^q\d+\z"), "wikidata", _number(_beyond(len("q")))),
         (F.col("p1").rlike(NUMBER) & F.col("p2").isNull(), "osm", F.col("p1").try_cast("long")),
         (F.col("p1").rlike(NUMBER), "base_local",
          F.when(two_numbers, F.concat_ws("/", F.col("p1").try_cast("int"), F.col("p2").try_cast("int")))),
@@ -118,7 +128,7 @@ def jurisdictions(requests: DataFrame, jurisdiction: DataFrame) -> DataFrame:
         F.concat_ws("/", "jurisd_base_id", F.col("p2").try_cast("int")).alias("key"),
     )
     asked = asked.where("kind <> 'label_local'").unionByName(by_country)
-    label, head = F.upper("isolabel_ext"), F.substring("isolabel_ext", 1, 6)
+    label, head = F.upper("isolabel_ext"), F.substring("isolabel_ext", 1, STATE_HEAD)
     local = F.concat_ws("/", "jurisd_base_id", "jurisd_local_id")
     keys = [
         ("label_and_parent", F.when(F.startswith("isolabel_ext", "parent_abbrev"), F.col("parent_abbrev"))),
@@ -142,11 +152,11 @@ def donors(requests: DataFrame, donor: DataFrame) -> DataFrame:
     asked = _classed(requests, [
         (F.col("p1") == "", "all", F.lit("")),
         (F.col("p1").rlike(NUMBER), "id", F.col("p1").try_cast("long")),
-        (F.col("p1").rlike(r"^q\d+\z"), "wikidata", _rest(2).try_cast("long")),
-        (_starts("scope.lk."), "scope_head", F.upper(_rest(10))),
-        (_starts("legalname.lk."), "legalname_part", F.upper(_rest(14))),
-        (_starts("url.lk."), "url_part", _rest(8)),
-        (_starts("shortname.lk."), "shortname_head", F.upper(_rest(14))),
+        (F.col("p1").rlike(r"^q\d+\z"), "wikidata", _number(_beyond(len("q")))),
+        _worded("scope.lk.", "scope_head", F.upper),
+        _worded("legalname.lk.", "legalname_part", F.upper),
+        _worded("url.lk.", "url_part"),
+        _worded("shortname.lk.", "shortname_head", F.upper),
         (F.col("p1").rlike(r"(?s)^[a-z]+:.+\z"), "vat", vat_key(F.col("p1"))),
         (F.lit(True), "shortname", F.upper("p1")),
     ])
@@ -168,13 +178,13 @@ def donors(requests: DataFrame, donor: DataFrame) -> DataFrame:
 
 def _origin_requests(requests: DataFrame) -> DataFrame:
     return _classed(requests, [
-        (_starts("jurisd_osm_id.eq."), "jurisdiction", _rest(18).try_cast("long")),
-        (_starts("jurisd_isolabel_ext.eq."), "label", F.upper(_rest(24))),
-        (_starts("donor_id.eq."), "donor", _rest(13).try_cast("long")),
-        (_starts("donor_shortname.eq."), "donor_shortname", F.upper(_rest(20))),
-        (_starts("jurisd_state.eq."), "state", F.upper(_rest(17))),
+        _worded("jurisd_osm_id.eq.", "jurisdiction", _number),
+        _worded("jurisd_isolabel_ext.eq.", "label", F.upper),
+        _worded("donor_id.eq.", "donor", _number),
+        _worded("donor_shortname.eq.", "donor_shortname", F.upper),
+        _worded("jurisd_state.eq.", "state", F.upper),
         (F.col("p1").rlike(NUMBER), "id", F.col("p1").try_cast("long")),
-        (F.col("p1").rlike(r"^sha256:[0-9a-f]{4}"), "hash", _rest(8)),
+        (F.col("p1").rlike(r"^sha256:[0-9a-f]{4}"), "hash", _beyond(len("sha256:"))),
     ]).where("kind IS NOT NULL").select("uri", "n_requests", "kind", "key")
 
 

@@ -111,9 +111,9 @@ def csv_records(spark: SparkSession, paths: str | list[str], sep: str = ",") ->
 def _line_end(sep: str):
     """A function of a line and whether a value is open before it: whether one is open after it."""
     quote, part = b'"', re.escape(sep.encode())
-    closed = re.compile(b'(?:^|' + part + b')"(?:[^"]|"")*"')
+    closed = re.compile(b'(?:^|' + part + b')"(?:[^"]|"")*+"')
     opened = re.compile(b'(?:^|' + part + b')"')
-    closes = re.compile(b'^(?:[^"]|"")*"(?!")')
+    closes = re.compile(b'^(?:[^"]|"")*+"')
 
     def end(line: bytes, inside: int) -> int:
         if quote not in line:

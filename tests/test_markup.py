@@ -61,3 +61,10 @@ def test_titles_and_categories(spark):
     assert rows(markup.page_titles(pages)) == [("A b",)]
     assert rows(markup.pages_in_category(pages, "page_title", "text", "Public")) == [("A b",), ("A_b",)]
     assert ("C", "Other one") in rows(markup.page_categories(pages, "page_title", "text"))
+
+
+def test_an_unclosed_opening_loses_no_link(spark):
+    texts = ["[[File:[[File:\na|", "[[File:a]b [[File:c]]", "[[File:x\ny]] [[file: d e |thumb]]", "[[File:]] [[File:f]", "[[File:[[g]]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(markup.link_targets(F.col("t"), ["File"])).collect()]
+    assert got == [["a"], ["c"], ["d e"], [], ["[[g"]]

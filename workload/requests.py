@@ -271,29 +271,24 @@ _D_FOUND = f"""{_TERMS}, answered AS (
     WHERE regexp_matches(p1, '^[a-z]+:')
     UNION ALL SELECT uri, n_requests, d.* FROM plain JOIN donor d ON shortname = upper(p1)
     WHERE NOT regexp_matches(p1, '^[a-z]+:'))"""
-_O_FOUND = """
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.jurisd_osm_id = TRY_CAST(substr(p1, 18) AS BIGINT)
-        WHERE p1 LIKE 'jurisd_osm_id.eq.%'
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON upper(s.jurisd_isolabel_ext) = upper(substr(p1, 24))
-        WHERE p1 LIKE 'jurisd_isolabel_ext.eq.%'
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.donor_id = TRY_CAST(substr(p1, 13) AS BIGINT)
-        WHERE p1 LIKE 'donor_id.eq.%'
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.donor_shortname = upper(substr(p1, 20))
-        WHERE p1 LIKE 'donor_shortname.eq.%'
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.jurisd_state = upper(substr(p1, 17))
-             AND starts_with(substr(s.jurisd_isolabel_ext, 4), upper(substr(p1, 17)))
-        WHERE p1 LIKE 'jurisd_state.eq.%'
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON s.id = TRY_CAST(p1 AS BIGINT)
-        WHERE regexp_matches(p1, '^\\d+$')
-        UNION ALL
-        SELECT a.uri, a.n_requests, s.* FROM asked a JOIN star s ON left(s.fhash, 4) = substr(p1, 8, 4)
-             AND starts_with(s.fhash, substr(p1, 8))
-        WHERE regexp_matches(p1, '^sha256:[0-9a-f]{4}')"""
+# Every row of the joined view under all names it can be asked by; requests name a field and a value, or are a number or a hash.
+_O_FOUND = r"""
+    SELECT uri, n_requests, s.* FROM star s JOIN (
+        SELECT id, unnest([
+                {'field': 'jurisd_osm_id', 'val': CAST(jurisd_osm_id AS VARCHAR)}, {'field': 'donor_id', 'val': CAST(donor_id AS VARCHAR)},
+                {'field': 'jurisd_isolabel_ext', 'val': upper(jurisd_isolabel_ext)}, {'field': 'donor_shortname', 'val': donor_shortname},
+                {'field': 'jurisd_state', 'val': CASE WHEN starts_with(jurisd_isolabel_ext[4:], jurisd_state) THEN jurisd_state END},
+                {'field': 'id', 'val': CAST(id AS VARCHAR)}], recursive := true)
+        FROM star) USING (id) JOIN (
+        SELECT uri, n_requests, CASE WHEN word = '' THEN 'id' ELSE word END AS field,
+               CASE WHEN word IN ('', 'jurisd_osm_id', 'donor_id') THEN CAST(TRY_CAST(val AS BIGINT) AS VARCHAR) ELSE upper(val) END AS val
+        FROM (SELECT *, regexp_extract(p1, '^([a-z_]+)[.]eq[.].+$', 1) AS word,
+                     regexp_extract(p1, '^([a-z_]+[.]eq[.])?(.+)$', 2) AS val FROM asked)
+        WHERE word <> '' OR regexp_matches(p1, '^[0-9]+$')) USING (field, val)
+    UNION ALL
+    SELECT uri, n_requests, s.* FROM (
+        SELECT *, regexp_extract(p1, '^sha256:([0-9a-f]{4}.*)$', 1) AS digits FROM asked) JOIN star s
+    ON digits <> '' AND left(fhash, 4) = left(digits, 4) AND starts_with(fhash, digits)"""
 
 
 def _star_by_id(query: str, requests: str) -> str:
