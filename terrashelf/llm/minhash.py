@@ -40,7 +40,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashelf.llm.common import claim, fitted, small_batches, table
-from terrashelf.llm.simhash import connect, shingle_hashes
+from terrashelf.llm.simhash import shingle_hashes
+from terrashelf.operators.components import connect
 from terrashelf.session import cut
 
 SHINGLE = 4
