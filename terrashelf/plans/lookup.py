@@ -8,11 +8,13 @@ and one key; catalogue rows list the keys under which they can be found, and bot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrashelf.functions.text import split_uri, vat_key
-from terrashelf.operators.prefix import containing, lengths_of, prefix_lengths
+from terrashelf.operators.prefix import containing, containing_indexed, lengths_of, prefix_lengths, store_piece_index
 from terrashelf.plans.catalogue import star
 from terrashelf.session import cut, hinted, measured
 
@@ -144,10 +146,20 @@ def jurisdictions(requests: DataFrame, jurisdiction: DataFrame) -> DataFrame:
     return _joined(asked, jurisdiction, keys, {"label_head": label}).unionByName(_everything(asked, jurisdiction))
 
 
-def donors(requests: DataFrame, donor: DataFrame) -> DataFrame:
+# Texts of a donor that are searched for a part, and how they are compared.
+DONOR_TEXTS = {"legalname_part": "upper(legalname)", "url_part": "url"}
+
+
+def store_donor_index(donor: DataFrame, path: str) -> None:
+    """The index of pieces that ``donors`` takes as ``index``; built once for a version of the table."""
+    store_piece_index(donor, "id", DONOR_TEXTS, path)
+
+
+def donors(requests: DataFrame, donor: DataFrame, index: str | None = None) -> DataFrame:
     """Donors by id, wikidata id, VAT id, short name, or by part of scope, name, URL or short name.
 
-    ``donor`` may carry the totals column of the catalogue; it must still have ``kx_vat_id``.
+    ``donor`` may carry the totals column of the catalogue; it must still have ``kx_vat_id``. ``index`` is where
+    ``store_donor_index`` wrote; without it the pieces that are asked for are cut out of all names and URLs.
     """
     asked = _classed(requests, [
         (F.col("p1") == "", "all", F.lit("")),
@@ -168,12 +180,17 @@ def donors(requests: DataFrame, donor: DataFrame) -> DataFrame:
     ]
     heads = {"scope_head": F.col("scope"), "shortname_head": F.col("shortname")}
     answers = _joined(asked, donor, keys, heads).unionByName(_everything(asked, donor))
-    for kind, text in (("legalname_part", F.upper("legalname")), ("url_part", F.col("url"))):
-        wanted = asked.where(F.col("kind") == kind).select("uri", "n_requests", "kind", "key")
-        pairs = containing(wanted, "key", donor.select("id", text.alias("_searched")), "id", "_searched")
-        found = wanted.join(pairs, "key").join(donor, "id")
-        answers = answers.unionByName(found.select("uri", "n_requests", "kind", *donor.columns))
-    return answers
+    wanted = asked.where(F.col("kind").isin(*DONOR_TEXTS)).select("uri", "n_requests", "kind", "key")
+    if index is not None:
+        needles = wanted.select(F.col("kind").alias("field"), F.col("key").alias("needle"))
+        pairs = containing_indexed(needles, index, donor, "id", DONOR_TEXTS).select(
+            F.col("field").alias("kind"), F.col("needle").alias("key"), "id")
+    else:
+        pairs = reduce(DataFrame.unionByName, [
+            containing(wanted.where(F.col("kind") == kind), "key", donor.select("id", F.expr(text).alias("_searched")), "id", "_searched")
+            .select(F.lit(kind).alias("kind"), "key", "id") for kind, text in DONOR_TEXTS.items()])
+    found = wanted.join(pairs, ["kind", "key"]).join(donor, "id")
+    return answers.unionByName(found.select("uri", "n_requests", "kind", *donor.columns))
 
 
 def _origin_requests(requests: DataFrame) -> DataFrame:

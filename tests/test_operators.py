@@ -149,6 +149,24 @@ def test_containing_equals_brute_force(spark):
     assert got == {(x, i) for x in needles if x for i, text in enumerate(texts) if x in text}
 
 
+def test_stored_pieces_equal_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    rows_ = [(i, rng.choice([None, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 12)))]), "X" * (i % 5)) for i in range(200)]
+    t = spark.createDataFrame(rows_, "id int, t string, u string")
+    texts = {"low": "t", "up": "lower(u)"}
+    prefix.store_piece_index(t, "id", texts, f"{tmp_path}/index", parts=4)
+    asked = [("low", x) for x in ["a", "ab", "abcd", "zz", "abz", "d d", ""]] + [("up", x) for x in ["x", "xxxx", "X", "a"]] + [("none", "a"), ("low", None)]
+    n = spark.createDataFrame(asked, "field string, needle string")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("lookup", "lookup")
+    found = prefix.containing_indexed(n, f"{tmp_path}/index", t, "id", texts, parts=4)
+    assert len(tracker.getJobIdsForGroup("lookup")) == 0
+    sc.setJobGroup(None, None)
+    text = lambda r, f: {"low": r[1], "up": r[2].lower()}.get(f)
+    want = {(f, x, r[0]) for f, x in asked if x for r in rows_ if text(r, f) is not None and x in text(r, f)}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_crosswalk(spark):
     table = spark.createDataFrame(
         [("Itagui", "O", "8UQ", None), ("Medellin", "C", "8U", None), ("Busbanza", "C", "B57", ["H", "G"])],

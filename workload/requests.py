@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrashelf import schemas
 from terrashelf.plans import catalogue, lookup
-from terrashelf.session import cut
+from terrashelf.session import cut, scratch_path
 from workload import reports, tables
 from workload.tables import read, with_tables
 
@@ -129,10 +129,12 @@ def jurisdiction_lookup(spark, sf_dir):
 
 
 def donor_lookup(spark, sf_dir):
-    """The published answer: donors with their totals."""
+    """The published answer: donors with their totals, names and URLs found by the stored index of pieces."""
     donor = tables.donor(spark, sf_dir)
+    index = scratch_path(spark, "donor-index")
+    lookup.store_donor_index(donor, index)
     totals = catalogue.donors_with_totals(donor, reports._base(spark, sf_dir)).select("id", "kx")
-    found = lookup.donors(donor_requests(spark, sf_dir), donor.join(cut(totals), "id"))
+    found = lookup.donors(donor_requests(spark, sf_dir), donor.join(cut(totals), "id"), index)
     return found.select(
         "uri", "n_requests", "id", "scope", "shortname", "legalname", "kx_vat_id", "kx.n_packs", "kx.n_files", "kx.tot_bytes"
     )
