@@ -77,12 +77,18 @@ def insert_ignore(
     components of clashing rows, and each is scanned in order by one task. Only components of more than
     ``COMPONENT_ENTRIES`` go on in rounds. ``report`` is told the number of rounds, those that find components included.
     """
+    return insert_ignore_entries(existing.select(F.inline(key_entries(keys))), incoming, keys, order, report)
+
+
+def insert_ignore_entries(
+    known: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str, report: Callable[[int], None] | None = None
+) -> DataFrame:
+    """``insert_ignore`` against the table's key entries ``known(k, v)`` instead of its rows."""
     entries = incoming.select(F.col(order).alias("_row"), key_entries(keys).alias("_keys"))
     keyless = entries.where(F.size("_keys") == 0).select("_row")
     # Copies that agree in all keys: only the first can ever be taken.
     firsts = entries.where(F.size("_keys") > 0).groupBy("_keys").agg(F.min("_row").alias("_row"))
     offered = firsts.select("_row", F.inline("_keys"))
-    known = existing.select(F.inline(key_entries(keys)))
     clashing = offered.join(known, ["k", "v"], "left_semi").select("_row").distinct()
     undecided = offered.join(clashing, "_row", "left_anti")
     told: list[int] = []
@@ -223,15 +229,17 @@ def rejected_emails(arrivals: DataFrame) -> DataFrame:
     return row_checks(cleaned, F.col("email"), email_checks())
 
 
-def new_subscribers(existing: DataFrame, arrivals: DataFrame) -> DataFrame:
+def new_subscribers(existing: DataFrame, arrivals: DataFrame, highest: Column | None = None) -> DataFrame:
     """Rows to append for addresses not yet known, with ids that go on from the highest one.
 
-    Ids follow first arrival, then address. ``arrivals`` has email and signature_date.
+    Ids follow first arrival, then address. ``arrivals`` has email and signature_date. Where ``highest`` is given,
+    ``existing`` need only hold the addresses that may come.
     """
     rules = reduce(lambda a, b: a & b, email_checks().values())
     firsts = normal_emails(arrivals).where(rules).groupBy("email").agg(F.min("signature_date").alias("signature_date"))
     unknown = firsts.join(existing.select("email"), "email", "left_anti")
-    highest = existing.agg(F.coalesce(F.max("cust_id"), F.lit(0).cast("long"))).scalar()
+    if highest is None:
+        highest = existing.agg(F.coalesce(F.max("cust_id"), F.lit(0).cast("long"))).scalar()
     return (
         numbered(unknown, [], ["signature_date", "email"], "_nth")
         .withColumn("_highest", highest)

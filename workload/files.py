@@ -8,7 +8,7 @@ from terrashelf import schemas
 from terrashelf.plans import catalogue
 from terrashelf.session import scratch_path
 from terrashelf.sinks import writers
-from terrashelf.sources import csvfiles, files, geojson, tableexport
+from terrashelf.sources import csvfiles, files, geojson, jsonparts, tableexport
 from workload import reports, tables
 from workload.tables import read, with_tables
 
@@ -152,6 +152,14 @@ def geojson_features_by_file_id(spark, sf_dir):
     return found.select("file_id", "feature_id", "feature_type", "properties", "jgeom")
 
 
+def json_values(spark, sf_dir):
+    """The same collections as large documents: a row a member, or an element of a member that is an array."""
+    found = jsonparts.json_values(spark, f"{_geojson_delivery(spark, sf_dir)}/bucket=*/*.txt")
+    part = lambda path: F.expr(f"try_variant_get(value, '{path}', 'string')")
+    shown = F.coalesce(part("$.properties.segment"), part("$.properties.name"), part("$"))
+    return found.select(_bucket_of("file"), "name", "position", shown.alias("shown"), "error")
+
+
 def geojson_lines(spark, sf_dir):
     """Customers as features, one a line; every 60th line is cut short."""
     i = F.col("c_custkey")
@@ -229,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_declared_csv, bad_csv_records, csv_header_inventory, csv_header_drift, csv_header_positions, file_manifest,
-        json_documents, geojson_headers, geojson_features, geojson_lines,
+        json_documents, json_values, geojson_headers, geojson_features, geojson_lines,
         geojson_features_by_file_id, table_export_rows, csv_export,
         geojson_feature_export, answer_formats,
     )
@@ -272,6 +280,11 @@ ORACLE = {
         FROM (SELECT c_custkey // 50 AS bucket, '{"first":' || min(c_custkey) || ',"n":' || count(*)
                      || CASE WHEN c_custkey // 50 % 5 = 4 THEN '' ELSE ',"tags":[1,null]}' END AS t
               FROM customer GROUP BY c_custkey // 50)""",
+    "json_values": f"""
+        SELECT c_custkey // 50 AS bucket, 'features' AS name, {_NTH} AS position, c_mktsegment AS shown, NULL AS error FROM customer
+        UNION ALL SELECT DISTINCT c_custkey // 50, unnest(['type', 'name']), NULL,
+               unnest(['FeatureCollection', 'part ' || c_custkey // 50]), NULL FROM customer
+        UNION ALL SELECT DISTINCT c_custkey // 50, 'crs', NULL, 'EPSG:4326', NULL FROM customer WHERE c_custkey // 50 % 2 = 0""",
     "geojson_headers": """
         SELECT bucket, '{"type":"FeatureCollection","name":"part ' || bucket || '"' || CASE WHEN bucket % 2 = 0
                    THEN ',"crs":{"properties":{"name":"EPSG:4326"},"type":"name"}' ELSE '' END || '}' AS header
