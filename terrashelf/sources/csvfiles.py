@@ -191,26 +191,33 @@ def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(found, pa.string())], names=["file", "_header"])
 
 
+#: Ends of names that Spark's readers decompress.
+COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
 def _heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file and _header, the first line, of every file that holds anything.
 
-    Files of a mounted folder are opened by their task and read up to the first line end. A store that only Spark reaches
-    has no reader that stops there: its files are streamed line by line and the first line of their first block goes on.
+    Files of a mounted folder are opened by their task and read up to the first line end. Compressed files and a store that only
+    Spark reaches have no reader that stops there: those are streamed line by line and the first line of their first block
+    goes on.
     """
-    if is_mounted(spark, paths):
-        ship(spark)
-        files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "path")
-        return files.mapInArrow(_first_lines, "file string, _header string")
-    return (
-        spark.read.option("lineSep", "\n").text(paths)
-        .select(
-            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")
-        )
+    file = F.col("_metadata.file_path")
+    read = spark.read.option("lineSep", "\n").text(paths)
+    mounted = is_mounted(spark, paths)
+    streamed = (
+        (read.where(file.rlike(COMPRESSED)) if mounted else read)
+        .select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("_start"))
         .where("_start = 0")
         .withColumn("_line", F.monotonically_increasing_id())
         .groupBy("file")
         .agg(F.min_by("value", "_line").alias("_header"))
     )
+    if not mounted:
+        return streamed
+    ship(spark)
+    files = spark.read.format("binaryFile").load(paths).where(~file.rlike(COMPRESSED)).select(file.alias("file"), "path")
+    return files.mapInArrow(_first_lines, "file string, _header string").unionByName(streamed)
 
 
 def csv_headers(

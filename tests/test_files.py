@@ -1,5 +1,6 @@
 """Sources and sinks over small files."""
 
+import gzip
 import json
 
 import pytest
@@ -189,8 +190,9 @@ def test_headers_read_no_further_than_they_go(spark, tmp_path, monkeypatch):
     (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbfx,y\r\n" + b"1,2\r\n" * 1000)
     (tmp_path / "c.csv").write_text("only,header")
     (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"packed,second\n1,2\n"))
     read = lambda: rows(csvfiles.csv_headers(spark, str(tmp_path)).select("column", "position"))
-    want = [("header", 1), ("only", 0), ("x", 0), ("y", 1)]
+    want = [("header", 1), ("only", 0), ("packed", 0), ("second", 1), ("x", 0), ("y", 1)]
     assert read() == want
     monkeypatch.setattr(csvfiles, "is_mounted", lambda *_: False)
     assert read() == want
