@@ -268,7 +268,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[tup
             yield [w[start] for w in where], {c: v[start:stop] for c, v in found.items()}, [e.slice(start, stop - start) for e in extra]
 
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in (b for b in batches if b.num_rows):
         last = tuple(batch.column(c)[-1].as_py() for c in CELL_KEY)
         if held and last == tuple(held[0].column(c)[0].as_py() for c in CELL_KEY):
             held.append(batch)
