@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ def set_of(text, width=4):
 
 
 def expected(data):
-    """All pairs that share a shingle, compared in full."""
+    """All pairs, compared in full: shingles that only one text has cannot be in an intersection."""
     sets = [set_of(t) for _, t in data]
     parent = list(range(len(data)))
 
@@ -28,20 +29,17 @@ def expected(data):
             x = parent[x]
         return x
 
-    places = {}
+    times = Counter(x for s in sets for x in s)
+    place = {x: i for i, x in enumerate(x for x, n in times.items() if n > 1)}
+    held = np.zeros((len(data), max(1, len(place))), dtype=np.float32)
     for i, s in enumerate(sets):
-        for x in s:
-            places.setdefault(x, []).append(i)
-    for i, s in enumerate(sets):
-        shared = {}
-        for x in s:
-            for j in places[x]:
-                if j > i:
-                    shared[j] = shared.get(j, 0) + 1
-        for j, both in shared.items():
-            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
+        held[i, [place[x] for x in s if x in place]] = 1
+    both = np.rint(held @ held.T).astype(int)
+    size = np.array([len(s) for s in sets], dtype=int)
+    linked = (both > 0) & (100 * both >= 80 * (size[:, None] + size[None, :] - both))
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = find(int(i)), find(int(j))
+        parent[max(a, b)] = min(a, b)
     least = {}
     for i, (doc_id, _) in enumerate(data):
         if doc_id is not None:
