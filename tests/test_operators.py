@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrashelf import schemas, session
 from terrashelf.operators import audit, crosswalk, distribution, prefix, ranking, upsert
+from terrashelf.session import cut
 from tests.conftest import rows
 
 
@@ -197,6 +198,22 @@ def test_numbered_by_slices(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_numbered_deals_rows_out_once(spark, monkeypatch):
+    """Rows of ordinary keys meet one exchange; a hot key is cut into slices and gets the same numbers."""
+    data = [("hot", i % 90) for i in range(400)] + [(f"k{i % 40}", i) for i in range(300)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame(data, "k string, v int").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cold = ranking.numbered(cut(df), ["k"], ["v"], "n")
+        plan = cold._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        monkeypatch.setattr(ranking, "HOT_ROWS", 100)
+        assert len(ranking.hot_buckets(df, "k")) == 1
+        assert rows(ranking.numbered(df, ["k"], ["v"], "n")) == rows(cold)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_numbered_whole_table(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
     got = ranking.numbered(df, [], ["v"], "n")

@@ -91,7 +91,8 @@ def _versioned_files(spark, sf_dir):
 
 def next_file_version(spark, sf_dir):
     # Part and type name the file here; suppliers make the keys of the catalogue nearly unique.
-    df = audit.next_versions(_versioned_files(spark, sf_dir), ["fname", "ctype"], _NEXT_ORDER)
+    rows = _versioned_files(spark, sf_dir).drop("jurisd_osm_id")
+    df = audit.next_versions(rows, ["fname", "ctype"], _NEXT_ORDER)
     return df.select("id", "fname", "ctype", "fhash", "ingest_instant", "next_version")
 
 
