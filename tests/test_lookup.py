@@ -199,3 +199,23 @@ def test_routes(spark, url, strict, loose):
 def test_equal_vat_ids(spark):
     df = spark.createDataFrame([(1, "CNPJ:1.2"), (2, "cnpj:12"), (3, "x"), (4, None)], "id long, vat_id string")
     assert rows(lookup.same_vat_groups(df)) == [("cnpj:12", 1, "CNPJ:1.2", 2, 1), ("cnpj:12", 2, "cnpj:12", 2, 1)]
+
+
+def test_files_of_the_star_are_dealt_out_once(spark):
+    """Files meet packs first, and no text of a jurisdiction goes through an exchange with them."""
+    origin = spark.createDataFrame([(1, 5, "P1", 7), (2, 6, "L1", 7)], "id long, jurisd_osm_id long, ctype string, pack_id long")
+    place = spark.createDataFrame(
+        [(5, "n", "p", "a", "l", 1, 2, 8)],
+        "osm_id long, name string, parent_abbrev string, abbrev string, isolabel_ext string, jurisd_base_id int, parent_id long, admin_level int")
+    kind = spark.createDataFrame([(1, "P1", "m"), (2, "L1", "m")], "id int, label string, model_geo string")
+    pack = spark.createDataFrame([(7, 3, "u", None, None)], "pack_id long, donor_id long, user_resp string, accepted_date date, config_commom string")
+    giver = spark.createDataFrame([(3, "v", "s", "l", "u")], "id long, vat_id string, shortname string, legalname string, url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        starred = catalogue.star(origin, place, kind, pack, giver)
+        plan = starred._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(jurisd_osm_id" not in plan and "hashpartitioning(ctype" not in plan
+        assert plan.count("hashpartitioning(pack_id") == 2
+        assert [(r.id, r.jurisd_name, r.ctype_id, r.donor_id) for r in starred.collect()] == [(1, "n", 1, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
