@@ -58,6 +58,16 @@ def key_entries(keys: list[list[str]]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+def key_digests(keys: list[list[str]]) -> Column:
+    """``key_entries`` with sixteen bytes of a SHA-256 in place of the values, for tables that only ask whether keys are equal."""
+    entries = []
+    for i, key in enumerate(keys):
+        # Null if any part is; the lengths tell parts apart.
+        values = F.concat(*[x for c in key for x in (F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))])
+        entries.append(F.when(values.isNotNull(), F.struct(F.lit(i).alias("k"), F.unhex(F.substring(F.sha2(values, 256), 1, 32)).alias("v"))))
+    return F.array_compact(F.array(*entries))
+
+
 def duplicate_keys(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     """Key values that occur more than once, per unique key; rows with a null in the key never clash.
 

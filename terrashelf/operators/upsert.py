@@ -7,14 +7,14 @@ from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrashelf.functions.text import clean_flag, vat_key
-from terrashelf.operators.audit import email_checks, key_entries, row_checks
+from terrashelf.operators.audit import email_checks, key_digests, key_entries, row_checks
 from terrashelf.operators.components import connect
-from terrashelf.operators.ranking import numbered
+from terrashelf.operators.ranking import bucket, hot_buckets, numbered
 from terrashelf.session import cut, scratch_path, ship
 
 
@@ -81,10 +81,11 @@ def insert_ignore(
 
 
 def insert_ignore_entries(
-    known: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str, report: Callable[[int], None] | None = None
+    known: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str, report: Callable[[int], None] | None = None,
+    listed: Callable[[list[list[str]]], Column] = key_entries,
 ) -> DataFrame:
-    """``insert_ignore`` against the table's key entries ``known(k, v)`` instead of its rows."""
-    entries = incoming.select(F.col(order).alias("_row"), key_entries(keys).alias("_keys"))
+    """``insert_ignore`` against the table's key entries ``known(k, v)``, as ``listed`` makes them, instead of its rows."""
+    entries = incoming.select(F.col(order).alias("_row"), listed(keys).alias("_keys"))
     keyless = entries.where(F.size("_keys") == 0).select("_row")
     # Copies that agree in all keys: only the first can ever be taken.
     firsts = entries.where(F.size("_keys") > 0).groupBy("_keys").agg(F.min("_row").alias("_row"))
@@ -112,6 +113,28 @@ def insert_ignore_entries(
     return incoming.join(taken.withColumnRenamed("_row", order), order, "left_semi").select(*incoming.columns)
 
 
+def insert_ignore_digests(known: DataFrame, incoming: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
+    """``insert_ignore`` against the table's ``key_digests`` as ``known(k, v)``.
+
+    Under a single key whole rows are dealt out by it, once, beside the known ones, and the first of each key stays. Only keys
+    that may be hot by a count of buckets, and tables with several keys, take the way through narrow entries.
+    """
+    if len(keys) > 1:
+        return insert_ignore_entries(known, incoming, keys, order, listed=key_digests)
+    v = F.get(key_digests(keys), F.lit(0))["v"]
+    hot = hot_buckets(incoming.where(v.isNotNull()), v)
+    is_hot = F.coalesce(bucket(v).isin(hot) & v.isNotNull(), F.lit(False))
+    # A row without a key never clashes: it gets a place of its own.
+    alone = F.concat(F.lit("row "), F.col(order).cast("string")).cast("binary")
+    rows = incoming.where(~is_hot) if hot else incoming
+    unknown = rows.withColumn("_v", F.coalesce(v, alone)).join(known.select(F.col("v").alias("_v")), "_v", "left_anti")
+    first = F.row_number().over(Window.partitionBy("_v").orderBy(order))
+    taken = unknown.withColumn("_nth", first).where("_nth = 1").select(*incoming.columns)
+    if not hot:
+        return taken
+    return taken.unionByName(insert_ignore_entries(known, cut(incoming.where(is_hot)), keys, order, listed=key_digests))
+
+
 def _single(incoming: DataFrame, key: str) -> DataFrame:
     """One row per key; a key that comes twice in one load is an error, as in an ON CONFLICT insert."""
     rest = [c for c in incoming.columns if c != key]

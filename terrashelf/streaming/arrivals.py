@@ -1,7 +1,7 @@
 """Arrivals as a stream: subscribers and origins inserted once, batch by batch.
 
 Nothing is kept in the stream's state: a batch is compared with the keys of the table, which holds all that came before, so
-rows are taken however late they come. The keys are stored beside the table, partitioned by their hash, and a batch reads
+rows are taken however late they come. The keys are stored beside the table as digests, partitioned by their hash, and a batch reads
 and writes anew only the partitions its own keys fall into, each of which is one set of files however many batches there were.
 The table itself is read once by every start, which stores its keys anew, so whatever a writer left unfinished is taken as it
 stands in the table. Every writer puts its batches below a run of its own, so a stream that starts anew with an empty checkpoint
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from terrashelf.operators.audit import key_entries
-from terrashelf.operators.upsert import insert_ignore_entries, new_subscribers
-from terrashelf.session import cut
+from terrashelf.operators.audit import key_digests
+from terrashelf.operators.upsert import insert_ignore_digests, new_subscribers
+from terrashelf.session import COMPRESSION, cut
 
 #: Partitions of the stored keys.
 KEY_PARTS = 64
-_KEYS = "k int, v array<string>, run string, batch long, _part int"
+_KEYS = "k int, v binary, run string, batch long, _part int"
 
 
 def _part(parts: int):
@@ -41,12 +41,12 @@ class KnownKeys:
 
     def store(self, table: DataFrame) -> None:
         """Store the keys of the whole table, which tells ``run`` and ``batch`` of its rows."""
-        known = table.select(F.inline(key_entries(self.keys)), "run", "batch").withColumn("_part", _part(self.parts))
-        known.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(self.path)
+        known = table.select(F.inline(key_digests(self.keys)), "run", "batch").withColumn("_part", _part(self.parts))
+        known.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(self.path, compression=COMPRESSION)
 
     def sent(self, rows: DataFrame) -> DataFrame:
         """The keys of ``rows`` with their partition."""
-        return rows.select(F.inline(key_entries(self.keys))).withColumn("_part", _part(self.parts))
+        return rows.select(F.inline(key_digests(self.keys))).withColumn("_part", _part(self.parts))
 
     def read(self, sent: DataFrame) -> DataFrame:
         """The stored keys of all partitions that ``sent`` falls into."""
@@ -57,8 +57,10 @@ class KnownKeys:
     def add(self, stored: DataFrame, added: DataFrame, run: str, batch: int) -> None:
         """Write the partitions that ``stored`` was read from anew, with the keys of the rows that were added."""
         own = self.sent(added).select("k", "v", F.lit(run).alias("run"), F.lit(batch).cast("long").alias("batch"), "_part")
-        whole = cut(stored.where(~_own(run, batch)).unionByName(own))
-        whole.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.path)
+        # Files are replaced only when all new ones are complete; what a failure in between leaves is stored anew by the next start.
+        whole = stored.where(~_own(run, batch)).unionByName(own).repartition("_part")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(
+            self.path, compression=COMPRESSION)
 
 
 def _own(run: str, batch: int):
@@ -98,7 +100,8 @@ def subscriber_writer(
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = cut(batch.select(F.trim(F.lower("email")).alias("email"), "signature_date"))
         stored = known.read(known.sent(rows))
-        taken = stored.where(~_own(name, batch_id)).select(F.col("v")[0].alias("email"))
+        digest = F.get(key_digests([["email"]]), F.lit(0))["v"]
+        taken = rows.select("email", digest.alias("v")).join(stored.where(~_own(name, batch_id)), "v", "left_semi").select("email").distinct()
         new = cut(new_subscribers(taken, rows, F.lit(highest[0]).cast("long")))
         new.write.mode("overwrite").parquet(f"{path}/run={name}/batch={batch_id}")
         known.add(stored, new, name, batch_id)
@@ -115,12 +118,14 @@ def origin_writer(
     name, known = run or uuid.uuid4().hex, KnownKeys(path, keys, parts)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # Written once, so that every step sees the same numbers.
-        arrived = cut(batch.withColumn("_order", F.monotonically_increasing_id()))
-        stored = known.read(known.sent(arrived))
+        arrived = batch.withColumn("_order", F.monotonically_increasing_id())
+        if len(keys) > 1:
+            # Written once, so that every step sees the same numbers.
+            arrived = cut(arrived)
+        stored = known.read(known.sent(batch))
         taken = stored.where(~_own(name, batch_id)).select("k", "v")
-        new = cut(insert_ignore_entries(taken, arrived, keys, "_order").drop("_order"))
-        new.write.mode("overwrite").parquet(f"{path}/run={name}/batch={batch_id}")
-        known.add(stored, new, name, batch_id)
+        folder = f"{path}/run={name}/batch={batch_id}"
+        insert_ignore_digests(taken, arrived, keys, "_order").drop("_order").write.mode("overwrite").parquet(folder, compression=COMPRESSION)
+        known.add(stored, batch.sparkSession.read.schema(batch.schema).parquet(folder), name, batch_id)
 
     return _appended(arrivals, lambda _: known.store(read_table()), append)

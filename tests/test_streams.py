@@ -2,6 +2,9 @@
 
 import datetime
 
+import pytest
+
+from terrashelf.operators import ranking
 from terrashelf.streaming import arrivals
 from tests.conftest import rows
 
@@ -65,3 +68,32 @@ def test_a_batch_reads_only_the_partitions_it_hits(spark, tmp_path):
     assert again.where("run = 'r'").count() == 2
     known.add(again, batch, "r", 0)
     assert known.read(known.sent(batch)).where("run = 'r'").count() == 2
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 20])
+def test_origins_are_written_once_and_their_keys_as_digests(spark, tmp_path, monkeypatch, hot_rows):
+    """Known, repeated, hot and missing keys; the batch is not written beside the table, nor are the keys' texts."""
+    monkeypatch.setattr(ranking, "HOT_ROWS", hot_rows)
+    table, sent = f"{tmp_path}/table", f"{tmp_path}/sent"
+    schema = "fhash string, fname string"
+    spark.createDataFrame([("h1", "known")], schema).write.parquet(f"{table}/run=start/batch=-1")
+    data = [("h1", "late"), ("h2", "first"), ("h2", "second"), (None, "a"), (None, "b")] + [("hot", f"f{i:02}") for i in range(50)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(sent)
+    written = []
+    monkeypatch.setattr(arrivals, "cut", lambda df: written.append(1) or df)
+    arrivals.origin_writer(
+        spark.readStream.schema(schema).parquet(sent), lambda: spark.read.parquet(table), table, [["fhash"]], run="r", parts=4,
+    ).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(table).select("fhash", "fname")) == sorted(
+        [("h1", "known"), ("h2", "first"), (None, "a"), (None, "b"), ("hot", "f00")], key=repr)
+    assert not written
+    assert dict(spark.read.parquet(f"{table}/_known_keys").dtypes)["v"] == "binary"
+
+
+def test_digests_tell_parts_apart(spark):
+    from terrashelf.operators.audit import key_digests
+
+    data = [("a|", "b"), ("a", "|b"), ("1:a", ""), ("", "1:a"), ("a", None)]
+    found = spark.createDataFrame(data, "x string, y string").selectExpr("x", "y").select(key_digests([["x", "y"]]).alias("d")).collect()
+    values = [bytes(r.d[0].v) for r in found if r.d]
+    assert len(set(values)) == len(values) == 4

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrashelf.session import scratch_path
+from terrashelf.session import COMPRESSION, scratch_path
 from terrashelf.streaming import arrivals, slotstream
 from workload import maintenance, tables
 from workload.tables import read, with_tables
@@ -60,7 +60,7 @@ def origin_stream(spark, sf_dir):
     rows = tables.origin(spark, sf_dir)
     rows.where(F.col("l_suppkey") % 4 == 0).groupBy("fhash").agg(
         F.min("fname").alias("fname"), F.min("ingest_instant").alias("ingest_instant")
-    ).select(*columns).write.parquet(f"{path}/run=start/batch=-1")
+    ).select(*columns).write.parquet(f"{path}/run=start/batch=-1", compression=COMPRESSION)
     streamed = _stream(spark, sf_dir, "lineitem").select(
         F.sha2(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]), 256).alias("fhash"),
         F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".zip")).alias("fname"),
