@@ -168,6 +168,17 @@ def test_stored_pieces_equal_brute_force(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_stored_pieces_of_long_needles_are_rare(spark, tmp_path):
+    """Numbers share their pieces of three signs with many rows; a needle is looked up by a piece that few rows hold."""
+    t = spark.range(1000, 3000).selectExpr("cast(id as int) id", "concat('https://donor', id, '.example.org') t")
+    prefix.store_piece_index(t, "id", {"t": "t"}, f"{tmp_path}/index", parts=4)
+    n = spark.createDataFrame([("t", "nor1234.ex"), ("t", "1234"), ("t", "r1234")], "field string, needle string")
+    assert rows(prefix.containing_indexed(n, f"{tmp_path}/index", t, "id", {"t": "t"}, parts=4)) == [
+        ("t", "1234", 1234), ("t", "nor1234.ex", 1234), ("t", "r1234", 1234)]
+    held = spark.read.parquet(f"{tmp_path}/index/counts").where("contains('nor1234.ex', gram)").agg({"n": "min"}).first()[0]
+    assert held == 1
+
+
 def test_crosswalk(spark):
     table = spark.createDataFrame(
         [("Itagui", "O", "8UQ", None), ("Medellin", "C", "8U", None), ("Busbanza", "C", "B57", ["H", "G"])],
