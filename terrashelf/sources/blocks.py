@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +36,34 @@ def lines(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
     )
 
 
+def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, slice]]:
+    """The runs of rows with equal ``columns``, whose values are read once for each: a batch mostly lies in one block."""
+    n, starts = batch.num_rows, {0}
+    for values in (batch.column(c) for c in columns):
+        starts.update((np.flatnonzero(pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist())
+    bounds = [*sorted(starts), n]
+    for start, end in zip(bounds, bounds[1:]):
+        if end > start:
+            yield tuple(batch.column(c)[start].as_py() for c in columns), slice(start, end)
+
+
 def spans(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[bytes] | None]]:
     """The lines of each block, about ``SPAN`` bytes at a time, with the values of ``columns``; None after a block's last."""
     now, held, size = None, [], 0
     for batch in batches:
-        names = zip(*(batch.column(c).to_pylist() for c in columns))
-        for name, text in zip(names, batch.column("text").to_pylist()):
-            if held and (name != now or size >= SPAN):
-                yield now, held
-                held, size = [], 0
+        texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
+        for name, run in _runs(batch, columns):
             if name != now and now is not None:
+                yield now, held
                 yield now, None
+                held, size = [], 0
             now = name
-            held.append(text)
-            size += len(text)
+            for text in texts[run]:
+                if size >= SPAN:
+                    yield now, held
+                    held, size = [], 0
+                held.append(text)
+                size += len(text)
     if now is not None:
         yield now, held
         yield now, None

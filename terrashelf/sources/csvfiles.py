@@ -84,7 +84,8 @@ def _by_records(spark: SparkSession, paths: str | list[str], names: list[str], s
     texts = csv_records(spark, paths, sep).where(F.trim(record) != "").select(record.alias("text"))
     schema = ", ".join(f"`{name}` string" for name in [*names, BAD])
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    return texts.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+    # Generated, since a condition on fields would else be pushed below and parse the text again for each of them.
+    return texts.select(F.inline(F.array(F.from_csv("text", schema, options))))
 
 
 def csv_records(spark: SparkSession, paths: str | list[str], sep: str = ",") -> DataFrame:
@@ -111,9 +112,11 @@ def csv_records(spark: SparkSession, paths: str | list[str], sep: str = ",") ->
 def _line_end(sep: str):
     """A function of a line and whether a value is open before it: whether one is open after it."""
     quote, part = b'"', re.escape(sep.encode())
-    closed = re.compile(b'(?:^|' + part + b')"(?:[^"]|"")*+"')
+    # Runs of other signs are taken at once: sign by sign the pattern would cost most of the pass.
+    rest = b'[^"]*+(?:""[^"]*+)*+"'
+    closed = re.compile(b'(?:^|' + part + b')"' + rest)
     opened = re.compile(b'(?:^|' + part + b')"')
-    closes = re.compile(b'^(?:[^"]|"")*+"')
+    closes = re.compile(b'^' + rest)
 
     def end(line: bytes, inside: int) -> int:
         if quote not in line:
@@ -137,9 +140,14 @@ def _quotes(sep: str):
                 rows.append((*name, *state))
                 state = (0, 1)
                 continue
+            first, second = state
             for line in texts:
                 if b'"' in line:
-                    state = tuple(end(line, s) for s in state)
+                    # Cases that once agree do so from then on.
+                    second = end(line, second) if second != first else None
+                    first = end(line, first)
+                    second = first if second is None else second
+            state = first, second
         if rows:
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -150,10 +158,13 @@ def _quotes(sep: str):
 
 def _records(sep: str):
     names = ("file", "block", "seq", "begins", "ends", "text", "of_seq")
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64())
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+    def batch(file: str, block: int, rows: list[tuple]) -> pa.RecordBatch:
+        seq, begins, ends, text = zip(*rows)
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(rows))
+        return pa.RecordBatch.from_arrays([
+            same(file, pa.string()), same(block, pa.int64()), pa.array(seq, pa.int64()), pa.array(begins, pa.bool_()),
+            pa.array(ends, pa.bool_()), pa.array(text, pa.string()), same(None, pa.int64())], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, started = _line_end(sep), False
@@ -167,13 +178,13 @@ def _records(sep: str):
                 now = end(line, now)
                 held.append(line)
                 if not now:
-                    rows.append((file, block, seq, begins, True, b"\n".join(held).decode("utf-8", "replace"), None))
+                    rows.append((seq, begins, True, b"\n".join(held).decode("utf-8", "replace")))
                     held, seq, begins = [], seq + 1, True
             started = texts is not None
             if not started and held:
-                rows.append((file, block, seq, begins, False, b"\n".join(held).decode("utf-8", "replace"), None))
+                rows.append((seq, begins, False, b"\n".join(held).decode("utf-8", "replace")))
             if rows:
-                yield batch(rows)
+                yield batch(file, block, rows)
 
     return run
 

@@ -5,10 +5,11 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrashelf.sources import csvfiles, geojson, jsonparts
+from terrashelf.sources import blocks, csvfiles, geojson, jsonparts
 from tests.conftest import rows
 
 
@@ -140,3 +141,19 @@ def test_csv_quotes_that_open_nothing(spark, tmp_path, blocks_of):
     loaded = csvfiles.load_csv(spark, str(tmp_path), "id INT, t STRING, u STRING")
     assert rows(csvfiles.good_rows(loaded)) == [(1, '5" pipe', "x"), (2, 'a"b', "c\nd"), (3, None, '"')]
     assert loaded.where("_bad_record IS NOT NULL").count() == 1
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t,u\n1,"a\nb",x\ny,2,z\n')
+    loaded = csvfiles.load_csv(spark, str(tmp_path), "id INT, t STRING, u STRING")
+    for found, want in ((csvfiles.good_rows(loaded), [(1, "a\nb", "x")]), (loaded.where("_bad_record IS NOT NULL").select("t"), [("2",)])):
+        assert rows(found) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+
+
+def test_runs_of_a_block_may_end_within_a_batch():
+    made = lambda *found: pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64(), pa.binary()))], names=["file", "block", "text"])
+    batches = [made(("a", 0, b"1"), ("a", 0, b"2"), ("a", 9, b"3")), made(("a", 9, b"4"), ("b", 9, b"5"))]
+    want = [(("a", 0), [b"1", b"2"]), (("a", 0), None), (("a", 9), [b"3", b"4"]), (("a", 9), None), (("b", 9), [b"5"]), (("b", 9), None)]
+    assert list(blocks.spans(iter(batches), ["file", "block"])) == want
