@@ -11,6 +11,7 @@ from terrashelf.plans import refresh
 from terrashelf.sinks import writers
 from terrashelf.sources import csvfiles, files, geojson, tableexport
 from tests.conftest import rows
+from workload import files as workload_files
 
 
 def test_headers(spark, tmp_path):
@@ -196,3 +197,11 @@ def test_headers_read_no_further_than_they_go(spark, tmp_path, monkeypatch):
     assert read() == want
     monkeypatch.setattr(csvfiles, "is_mounted", lambda *_: False)
     assert read() == want
+
+
+def test_small_files_are_written_by_many_tasks(spark):
+    grouped = spark.range(400).groupBy((F.col("id") % 40).alias("bucket")).agg(F.max("id").cast("string").alias("value"))
+    path = workload_files._write_texts(grouped, "spread", "value")
+    written = spark.read.text(path).select("value", "bucket", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("task")).collect()
+    assert sorted((int(r["value"]), r["bucket"]) for r in written) == [(360 + i, i) for i in range(40)]
+    assert len({r["task"] for r in written}) >= 4

@@ -19,12 +19,17 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
-def _write_texts(df, label: str, order: str) -> str:
-    """One file per bucket of at most fifty rows, lines in ``order``; gives the folder."""
-    path = scratch_path(df.sparkSession, label)
-    df.repartition("bucket").sortWithinPartitions("bucket", order).select("bucket", "value").write.partitionBy(
-        "bucket"
-    ).text(path)
+def _write_texts(df, label: str, order: str, spread: bool = True) -> str:
+    """One file per bucket of at most fifty rows, lines in ``order``; gives the folder.
+
+    Small files cost far more than their bytes. ``spread`` gives the number of tasks, as adaptive execution counts bytes and
+    would leave all files to one or two; and deals by a hash of the bucket, as rows grouped by bucket would not be dealt again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(tasks, F.xxhash64("bucket")) if spread else df.repartition("bucket")
+    dealt.sortWithinPartitions("bucket", order).select("bucket", "value").write.partitionBy("bucket").text(path)
     return path
 
 
@@ -96,7 +101,7 @@ def file_manifest(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(
         F.floor(F.col("doc_id") / PER_FILE).alias("bucket"), "doc_id", F.col("text").alias("value")
     )
-    path = _write_texts(docs, "manifest", "doc_id")
+    path = _write_texts(docs, "manifest", "doc_id", spread=False)
     return files.file_manifest(spark, f"{path}/bucket=*/*.txt", "md5").select(_bucket_of(), "size", "hash")
 
 
