@@ -219,3 +219,13 @@ def test_files_of_the_star_are_dealt_out_once(spark):
         assert [(r.id, r.jurisd_name, r.ctype_id, r.donor_id) for r in starred.collect()] == [(1, "n", 1, 3)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hash_keys_of_many_lengths_share_few_heads(spark):
+    keys = [(f"{n:04x}" + "abcdef0"[:n % 8],) for n in range(300)] + [("beef" + f"{n:03x}",) for n in range(40)] + [("beef0",)]
+    found = {r["key"]: r["head"] for r in lookup._heads(spark.createDataFrame(keys, "key string")).collect()}
+    assert found.keys() == {k for k, in keys}
+    assert all(k.startswith(h) for k, h in found.items())
+    # Only the crowd under one beginning is listed deeper, and not deeper than it must.
+    assert {len(h) for k, h in found.items() if not k.startswith("beef")} == {4}
+    assert {h for k, h in found.items() if k.startswith("beef")} == {"beef0", "beef02", *[f"beef{n:03x}" for n in range(32)]}
