@@ -295,7 +295,8 @@ def _scanner(payloads: bool):
 def _shard() -> Column:
     """The number of the task that wrote a file, plus ``FILES`` for each file of that task before it."""
     number = lambda pattern: F.regexp_extract(F.col("path"), pattern, 1).cast("long")
-    return (number(r"/part-(\d+)-[^/]*$") + FILES * number(r"-c(\d+)[^/]*$")).alias("shard")
+    # The count of files stands last: the write's random name before it may hold a "-c" and digits, too.
+    return (number(r"/part-(\d+)-[^/]*$") + FILES * number(r"-c(\d+)[^/-]*$")).alias("shard")
 
 
 def scan(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

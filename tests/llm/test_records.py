@@ -110,6 +110,12 @@ def test_long_neighbours_spread_over_files(spark, monkeypatch):
     assert found == expected(data)
 
 
+def test_files_of_one_task_are_told_apart_whatever_the_writes_name(spark):
+    name = "file:/x/records/part-00002-7f3e1a52-c149-4a0b-8f00-c23a4b5c6d7e-c{:03d}.txt"
+    paths = spark.createDataFrame([(name.format(i),) for i in range(3)], "path string")
+    assert [r.shard for r in paths.select("path", records._shard()).orderBy("path").collect()] == [2 + records.FILES * i for i in range(3)]
+
+
 def test_words_of_letters_as_the_file_has_them():
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêñçœæøåšžřőű"
