@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from terrashelf import schemas
 from terrashelf.plans import catalogue, lookup
 from tests.conftest import rows
+from workload import tables
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +133,29 @@ def test_origins(spark, origins, uri, ids):
     assert sorted(r.id for r in got.collect()) == ids
 
 
+@pytest.mark.parametrize("most", [-1, 1 << 30])
+def test_origins_by_many_and_by_few_keys(spark, origins, monkeypatch, most):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(lookup, "JURISDICTION_BYTES", most)
+    uris = ["jurisd_osm_id.eq.3", "jurisd_state.eq.sp", "donor_id.eq.1", "donor_id.eq.01", "2", "002", "9", "sha256:abcd", "sha256:abcd22", "sha256:ffff0"]
+    got = lookup.origins(asked(spark, *uris, "2"), **origins).select("uri", "n_requests", "kind", "id")
+    assert rows(got) == sorted([
+        ("jurisd_osm_id.eq.3", 1, "jurisdiction", 1), ("jurisd_state.eq.sp", 1, "state", 1), ("jurisd_state.eq.sp", 1, "state", 2),
+        ("donor_id.eq.1", 1, "donor", 1), ("donor_id.eq.1", 1, "donor", 2), ("donor_id.eq.01", 1, "donor", 1), ("donor_id.eq.01", 1, "donor", 2),
+        ("2", 2, "id", 2), ("002", 1, "id", 2), ("sha256:abcd", 1, "hash", 1), ("sha256:abcd", 1, "hash", 2),
+        ("sha256:abcd22", 1, "hash", 2), ("sha256:ffff0", 1, "hash", 3)], key=repr)
+
+
+def test_one_row_per_id_lies_where_ids_are_joined(spark, tmp_path):
+    """The files are dealt once, by id: before, once by their keys and once more, with all their texts, by id."""
+    spark.sql("""SELECT CAST(id DIV 2 AS BIGINT) AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id AS l_suppkey, 1.0D AS l_extendedprice,
+        'O' AS l_linestatus, TIMESTAMP_NTZ '2022-01-01 00:00:00' AS l_shipdate FROM range(20)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    origin = tables.origin_by_id(spark, str(tmp_path))
+    found = origin.join(spark.range(300).hint("merge"), "id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert rows(found.select("id", "fname")) == [(1, "f0.zip"), (101, "f2.zip"), (201, "f4.zip")]
+
+
 def test_answers_are_counted_per_distinct_uri(spark, origins):
     requests = asked(spark, "donor_id.eq.1", "/DONOR_ID.eq.1/", "donor_id.eq.9", "", "a/b")
     answers = lookup.origins(requests, **origins)
