@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrashelf.session import mount_point, ship
+
 
 def export_path(name: str, root: str) -> str:
     """``.csv`` is added to a name without suffix; relative names go under ``root``."""
@@ -46,6 +53,53 @@ def write_dump(dump: DataFrame, path: str) -> None:
     dump.write.option("ignoreNullFields", False).json(path)
 
 
+#: The name Spark gives to the folder of a null bucket.
+NULL_BUCKET = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _files_under(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes one file per bucket for rows that come bucket by bucket; a file has its name only once it is whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        hidden = f".{name}.{uuid.uuid4().hex}"
+        file, at = None, None
+        for batch in batches:
+            for bucket, value in zip(*(column.to_pylist() for column in batch.columns)):
+                place = f"{folder}/bucket={NULL_BUCKET if bucket is None else bucket}"
+                if place != at:
+                    if file is not None:
+                        file.close()
+                        os.replace(f"{at}/{hidden}", f"{at}/{name}")
+                    os.makedirs(place, exist_ok=True)
+                    file, at = open(f"{place}/{hidden}", "wb"), place
+                file.write((value or b"") + b"\n")
+        if file is not None:
+            file.close()
+            os.replace(f"{at}/{hidden}", f"{at}/{name}")
+        yield from ()
+
+    return write
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """Text files ``bucket=<bucket>/part-*.txt`` with a line per ``value``, one file per bucket and task.
+
+    ``df`` has the columns ``bucket`` (a whole number) and ``value``, and each task's rows come bucket by bucket. In a mounted folder
+    the tasks open the files themselves: Spark's writer starts several processes per file there to set permissions, and its
+    commit renames each folder on the driver. Elsewhere Spark's writer writes them.
+    """
+    spark, rows = df.sparkSession, df.select("bucket", "value")
+    folder = mount_point(spark, path)
+    if folder is None:
+        rows.write.partitionBy("bucket").text(path)
+        return
+    ship(spark)
+    os.makedirs(folder)
+    written = rows.select(F.col("bucket").cast("long"), F.col("value").cast("binary")).mapInArrow(_files_under(folder), "n long")
+    written.write.format("noop").mode("overwrite").save()
+
+
 def geojson_feature(
     geometry: Column, properties: Column, feature_id: Column, name: Column, title: Column,
     id_as_int: bool = False, decimals: int = 6,

@@ -205,3 +205,36 @@ def test_small_files_are_written_by_many_tasks(spark):
     written = spark.read.text(path).select("value", "bucket", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("task")).collect()
     assert sorted((int(r["value"]), r["bucket"]) for r in written) == [(360 + i, i) for i in range(40)]
     assert len({r["task"] for r in written}) >= 4
+
+
+def _small_texts(spark):
+    data = [(i % 30, f"line {i} é\r" if i % 7 else None) for i in range(300)] + [(None, "no bucket"), (5, "two\nlines")]
+    return spark.createDataFrame(data, "bucket long, value string").repartition(3, "bucket").sortWithinPartitions("bucket", "value")
+
+
+def test_texts_are_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    df, read = _small_texts(spark), lambda at: {p.parent.name: p.read_bytes() for p in (tmp_path / at).glob("bucket=*/part-*.txt")}
+    writers.write_texts(df, str(tmp_path / "own"))
+    df.write.partitionBy("bucket").text(str(tmp_path / "spark"))
+    assert read("own") == read("spark") and len(read("own")) == 31
+    # Spark's writer leaves a checksum beside each file; here nothing but the files is left.
+    assert len([p for p in (tmp_path / "own").rglob("*") if p.is_file()]) == 31
+    monkeypatch.setattr(writers, "mount_point", lambda *_: None)
+    writers.write_texts(df, str(tmp_path / "store"))
+    assert read("store") == read("spark")
+
+
+def test_files_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LISTING_TASKS", 1)
+    writers.write_texts(_small_texts(spark), str(tmp_path / "texts"))
+    tracker, group = spark.sparkContext.statusTracker(), str(tmp_path)
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.threshold", 2)
+    spark.sparkContext.setJobGroup(group, "listing")
+    try:
+        found = files.file_manifest(spark, f"{tmp_path}/texts/bucket=*/*.txt", "md5")
+    finally:
+        spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.threshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism < 31
+    assert found.count() == 31 and spark.conf.get(files._LISTING, None) is None

@@ -29,7 +29,7 @@ def _write_texts(df, label: str, order: str, spread: bool = True) -> str:
     path = scratch_path(spark, label)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(tasks, F.xxhash64("bucket")) if spread else df.repartition("bucket")
-    dealt.sortWithinPartitions("bucket", order).select("bucket", "value").write.partitionBy("bucket").text(path)
+    writers.write_texts(dealt.sortWithinPartitions("bucket", order), path)
     return path
 
 
