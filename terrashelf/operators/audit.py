@@ -68,15 +68,42 @@ def key_digests(keys: list[list[str]]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+#: Keys that one task counts, so that its table of them stays in memory however many there are.
+TASK_KEYS = 500_000
+#: The share of rows that is looked at first, to learn how many keys there are and which values are hot; it decides no count.
+LOOKED_AT = 0.001
+#: Rows of a hot value, which would make its task the longest.
+HOT_ROWS = 1_000_000
+
+
+def _key_counts(df: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """Rows per (number of the key, its values).
+
+    Nearly every key is different, so adding them up before the exchange fills memory and spills without making them fewer: they are
+    dealt out as they are, to as many tasks as they need. Only rows of hot values are added up first.
+    """
+    entries = df.select(F.inline(key_entries(keys)))
+    looked = df.sample(LOOKED_AT, seed=0).select(F.inline(key_entries(keys))).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.when(F.col("n") >= HOT_ROWS * LOOKED_AT, F.struct("k", "v"))
+    found = looked.agg(F.sum("n").alias("n"), F.collect_list(hot).alias("hot")).first()
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int((found["n"] or 0) / LOOKED_AT / TASK_KEYS) + 1)
+    total = F.count(F.lit(1)).alias("n_rows")
+    if not found["hot"]:
+        return entries.repartition(tasks, "k", "v").groupBy("k", "v").agg(total)
+    values = F.broadcast(spark.createDataFrame(found["hot"], entries.schema))
+    cold = entries.join(values, ["k", "v"], "left_anti").repartition(tasks, "k", "v").groupBy("k", "v").agg(total)
+    return cold.unionByName(entries.join(values, ["k", "v"], "left_semi").groupBy("k", "v").agg(total))
+
+
 def duplicate_keys(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     """Key values that occur more than once, per unique key; rows with a null in the key never clash.
 
-    All keys are counted in one pass over the table: each row is listed under every key it has, and counts are added up
-    before the exchange, so a value that most rows share is one row a task.
+    All keys are counted in one pass over the table, each row listed under every key it has; a table with hot values, which
+    a look at a thousandth of the rows shows, is read once more for those.
     """
     names = F.array(*[F.lit(",".join(key)) for key in keys])
-    counted = df.select(F.inline(key_entries(keys))).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.where("n_rows > 1").select(
+    return _key_counts(df, keys).where("n_rows > 1").select(
         names[F.col("k")].alias("unique_key"), F.array_join("v", "|").alias("value"), "n_rows")
 
 

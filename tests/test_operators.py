@@ -382,6 +382,21 @@ def test_keys_are_counted_in_one_scan(spark, tmp_path):
     assert {r.unique_key: r.n_rows for r in found.collect() if r.value in ("0", "0|v0")} == {"a": 9, "a,b": 3}
 
 
+def test_keys_are_dealt_by_their_number_and_hot_values_first_added_up(spark, monkeypatch):
+    df = spark.createDataFrame([(None if i % 11 == 0 else i % 150, "hot" if i % 3 else f"v{i}", i) for i in range(600)], "a long, b string, c long")
+    keys = [["a"], ["b"], ["c"], ["b", "a"]]
+    want = rows(audit.duplicate_keys(df, keys))
+    assert ("b", "hot", 400) in want and len(want) == 251
+    monkeypatch.setattr(audit, "LOOKED_AT", 1.0)
+    monkeypatch.setattr(audit, "TASK_KEYS", 50)
+    dealt = audit.duplicate_keys(df, keys)
+    # However the session is set, a task counts no more keys than it was given.
+    assert dealt.rdd.getNumPartitions() > 40 and rows(dealt) == want
+    monkeypatch.setattr(audit, "HOT_ROWS", 300)
+    split = audit.duplicate_keys(df, keys)
+    assert "LeftAnti" in split._jdf.queryExecution().executedPlan().toString() and rows(split) == want
+
+
 def test_stored_upsert_leaves_other_partitions(spark, tmp_path):
     path = f"{tmp_path}/t"
     table = spark.createDataFrame([(i, f"n{i}", i) for i in range(200)], "id long, name string, kept long")
