@@ -1,6 +1,9 @@
 """Hand cases for the lookups, the router and the joined catalogue."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrashelf import schemas
@@ -183,6 +186,17 @@ def test_reports(spark, origins):
     )
 
 
+def test_reports_deal_packs_by_the_number_of_files(spark, origins, monkeypatch):
+    """Tasks hold a bounded number of files, and packs are counted where they lie: before, each was sent on once per group."""
+    many = {**origins, "origin": reduce(DataFrame.unionByName, [origins["origin"]] * 20)}
+    want = [rows(report(catalogue.report_base(**many))) for report in (catalogue.state_report, catalogue.donor_report, catalogue.country_report)]
+    assert {r[:5] for r in want[1]} == {(1, "PMSP", "Prefeitura de Sao Paulo", 40, 1), (3, "DANE", "Departamento 100% _ nacional", 20, 1)}
+    monkeypatch.setattr(catalogue, "TASK_FILES", 2)
+    base = catalogue.report_base(**many)
+    assert "REPARTITION_BY_NUM" in base._jdf.queryExecution().executedPlan().toString()
+    assert [rows(report(base)) for report in (catalogue.state_report, catalogue.donor_report, catalogue.country_report)] == want
+
+
 def test_ancestors(spark, jurisdiction):
     got = {r.osm_id: (r.country, r.state, r.municipality) for r in catalogue.ancestors(jurisdiction).collect()}
     assert got[1] == ("BR", None, None)
