@@ -197,6 +197,16 @@ def test_reports_deal_packs_by_the_number_of_files(spark, origins, monkeypatch):
     assert [rows(report(base)) for report in (catalogue.state_report, catalogue.donor_report, catalogue.country_report)] == want
 
 
+def test_packs_are_counted_once_per_group(spark):
+    data = [("x", 1, 7, 1, 1), ("x", 1, 8, 1, 1), ("x", 2, 7, 1, 1), (None, 1, 7, 1, 1), (None, None, 7, 1, 1), ("y", None, 9, 2, 5)]
+    base = spark.createDataFrame(data, "jurisd_state string, pack_id long, jurisd_osm_id long, n_files long, bytes long").select(
+        "*", F.lit(76).alias("jurisd_base_id"), F.lit(4).alias("jurisd_admin_level"), F.lit(1).alias("donor_id"))
+    found = catalogue.state_report(base)
+    assert {r.jurisd_state: (r.n_files, r.n_packs, r.n_donors, r.n_jurisds) for r in found.collect()} == {
+        "x": (3, 2, 1, 2), None: (2, 1, 1, 1), "y": (2, 0, 1, 1)}
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ancestors(spark, jurisdiction):
     got = {r.osm_id: (r.country, r.state, r.municipality) for r in catalogue.ancestors(jurisdiction).collect()}
     assert got[1] == ("BR", None, None)
